@@ -13,9 +13,10 @@
 4. In a bucket each class is first paired with the bucket's least class alone.
    The joint likelihood of two sketches over the similarity drops pairs that
    can't reach the threshold; the rest are verified on full shingle sets.
-5. Buckets whose classes the links found have not joined yet are then paired
-   across components in full, so no link that banding reveals is lost.  A
-   large group of near copies is one component by then and makes no pairs.
+5. In buckets whose classes the links found have not joined yet, classes are
+   compared across components on full sets, by products of the bucket's
+   incidence matrix inside its task, so no link that banding reveals is lost
+   and no pair becomes a row unless it is a link.
 6. Components come from alternating large-star and small-star rounds.
 
 Defined cases: null, empty or word-free text has an empty set and is linked
@@ -146,7 +147,7 @@ def bands(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "sketch").mapInArrow(run, "bucket long, cls binary")
 
 
-def likely(pairs: DataFrame, threshold: float, slack: float = 20.0) -> DataFrame:
+def likely(pairs: DataFrame, threshold: float, slack: float = 12.0) -> DataFrame:
     """Pairs whose joint likelihood at some similarity from ``threshold`` on is within e**-slack of the best.
 
     ``pairs`` has a, b, na, nb, sa, sb; set sizes are known, so the likelihood
@@ -205,6 +206,57 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return out.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
+def across(opened: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components inside each bucket: enough of them to join all that full sets link.
+
+    ``opened`` has bucket, cls, root, text.  Intersections of a bucket's sets
+    are products of its incidence matrix of shared shingles, in blocks of rows
+    and of shingles, so no pair becomes a row before it is known to be a link.
+    Only classes outside the bucket's largest component look for partners; a
+    pair of two components has one such class.
+    """
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        g = group.num_rows
+        cls, text = group.column("cls").to_pylist(), group.column("text").combine_chunks()
+        order = sorted(range(g), key=cls.__getitem__)
+        cls, text = [cls[i] for i in order], text.take(pa.array(order))
+        roots = group.column("root").to_pylist()
+        names = {r: i for i, r in enumerate(sorted(set(roots)))}
+        label = np.array([names[roots[i]] for i in order])
+        sets = [shingle_sets(data, offs, k) for _, _, data, offs in X.slices(text)]
+        first = np.cumsum([0] + [j - i for i, j, _, _ in X.slices(text)])
+        sh, who = np.concatenate([s[0] for s in sets]), np.concatenate([s[1] + f for s, f in zip(sets, first)])
+        size = np.bincount(who, minlength=g)
+        _, col, often = np.unique(sh, return_inverse=True, return_counts=True)
+        on = often[col] > 1
+        col, who = np.unique(col[on], return_inverse=True)[1], who[on]
+        by_col = np.argsort(col, kind="stable")
+        col, who = col[by_col], who[by_col]
+        width = int(col[-1]) + 1 if len(col) else 0
+        seek = np.flatnonzero(label != np.bincount(label).argmax())
+        rows, cols = 512, max(64, (4 << 20) // g)
+        edges = []
+        for r in range(0, len(seek), rows):
+            x = seek[r : r + rows]
+            both = np.zeros((len(x), g), np.float32)
+            for c in range(0, width, cols):
+                a, z = np.searchsorted(col, [c, c + cols])
+                part = np.zeros((g, cols), np.float32)
+                part[who[a:z], col[a:z] - c] = 1
+                both += part[x] @ part.T
+            linked = 100 * both >= percent * (size[x][:, None] + size - both)
+            for i, row in zip(x.tolist(), linked):
+                near = np.flatnonzero(row & (label != label[i]))
+                for other, at in zip(*np.unique(label[near], return_index=True)):
+                    edges.append((i, int(near[at])))
+                    label[label == other] = label[i]
+        pairs = [(min(e), max(e)) for e in edges]
+        return pa.table({"a": pa.array([cls[a] for a, _ in pairs], pa.binary()), "b": pa.array([cls[b] for _, b in pairs], pa.binary())})
+
+    return opened.select("bucket", "cls", "root", "text").groupBy("bucket").applyInArrow(run, "a binary, b binary")
+
+
 def _one_set(text: str, k: int) -> np.ndarray:
     raw = np.frombuffer(text.encode(), np.uint8)
     return shingle_sets(raw, np.array([0, len(raw)]), k)[0]
@@ -231,7 +283,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, keys: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, links (of the document's class to other classes) for every row.
+    """doc_id, n_shingles, component_id, kept for every row.
 
     ``keys`` names further columns of ``docs`` to carry along.
     """
@@ -243,31 +295,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, keys: tuple[
     stars = keyed.withColumnRenamed("cls", "b").join(hubs, "bucket").where("a != b").select("a", "b").distinct()
     first = materialize(likely(_with_sketches(stars, classes), percent / 100), "pairs")
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        ids = ends.join(classes, "cls").select("cls", F.col("rep").alias("doc_id"))
-        # the row of that id whose set is the class's: ids can repeat
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
-        return materialize(verify(pairs, materialize(_of_class(texts, k), "texts"), k, percent), "links")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """(cls, text) of the classes of ``ids``, from the row of their representative whose set is theirs: ids can repeat."""
+        ids = ids.select("cls").distinct().join(classes, "cls").select("cls", F.col("rep").alias("doc_id"))
+        return materialize(_of_class(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id"), k), "texts")
 
-    links = checked(first)
+    ends = first.select(F.col("a").alias("cls")).union(first.select("b"))
+    links = materialize(verify(first, texts_of(ends), k, percent), "links")
     comp = materialize(components(links), "components")
     labelled = keyed.join(comp, keyed["cls"] == comp["node"], "left").select("bucket", "cls", F.coalesce("root", "cls").alias("root"))
-    split = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
-    open_rows = materialize(labelled.join(split, "bucket"), "open")
-    x, y = open_rows.select("bucket", F.col("cls").alias("a"), F.col("root").alias("ra")), open_rows.select("bucket", F.col("cls").alias("b"), F.col("root").alias("rb"))
-    cross = x.join(y, "bucket").where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = materialize(likely(_with_sketches(cross, classes), percent / 100).join(first, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        links = links.union(checked(rest))
+    # buckets of several bands often hold the same classes, which are compared once
+    groups = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("n")).where("lo != hi")
+    opened = materialize(labelled.join(groups.groupBy("sum", "n").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket"), "opened")
+    if not opened.isEmpty():
+        links = links.union(materialize(across(opened.join(texts_of(opened), "cls"), k, percent), "links"))
         comp = materialize(components(links), "components")
-    degree = links.union(links.select("b", "a")).groupBy(F.col("a").alias("cls")).agg(F.count(F.lit(1)).alias("links"))
     of_class = classes.join(comp, classes["cls"] == comp["node"], "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     least = of_class.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = of_class.join(least, "root").join(degree, "cls", "left").select("cls", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    labels = of_class.join(least, "root").select("cls", "component_id")
     out = rows.select(*keys, "doc_id", "n_shingles", "cls").join(labels, "cls", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select(*keys, "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return out.select(*keys, "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _of_class(texts: DataFrame, k: int) -> DataFrame:
