@@ -277,11 +277,15 @@ def _joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["stop"])), ",")
 
 
+def _is(kind: int):
+    return lambda x: x == kind  # one parameter: a second one would be the element's index
+
+
 def digest(found: DataFrame) -> DataFrame:
-    count = lambda test: F.size(F.filter("pii", test)).cast("long")
+    base = F.transform(F.filter("pii", lambda s: s["base"]), lambda s: s["kind"])
     return found.select(
         F.col("doc_id"),
-        *[count(lambda s, k=k: (s["kind"] == k) & s["base"]).alias(f"n_{KINDS[k]}") for k in range(4)],
+        *[F.size(F.filter(base, _is(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)],
         F.sha2(_joined(F.filter("pii", lambda s: s["base"])), 256).alias("base_sha256"),
         _joined(F.col("pii")).alias("spans"),
     )

@@ -103,12 +103,16 @@ def _joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["stop"])), ",")
 
 
+def _is(kind: int):
+    return lambda x: x == kind  # one parameter: a second one would be the element's index
+
+
 def digest(found: DataFrame) -> DataFrame:
     count = lambda test: F.size(F.filter("spans", test)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] < 3)
     return found.select(
         "doc_id",
-        *[count(lambda s, k=k: s["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(3)],
+        *[F.size(F.filter(F.transform("spans", lambda s: s["kind"]), _is(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
         count(lambda s: s["verdict"] == "live").alias("n_live"),
