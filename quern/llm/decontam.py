@@ -116,7 +116,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: i
             for batch in batches:
                 counts, spans, items = [], [], []
                 old_spans, old_items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-                for i, j, data, offs in X.slices(batch.column("text")):
+                for i, j, data, offs in X.slices(batch.column("text"), X.SMALL):
                     words = X.Words(X.LOWER[data], offs, X.ALNUM)
                     hit, found = index.hits(words)
                     counts += words.counts.tolist()

@@ -107,7 +107,7 @@ def scan(docs: DataFrame, k: int, keys: tuple[str, ...] = ()) -> DataFrame:
                 rows.clear(), sets.clear()
 
             small: tuple[list, list] = ([], [])
-            for i, j, data, offs in X.slices(batch.column("text")):
+            for i, j, data, offs in X.slices(batch.column("text"), X.SMALL):
                 sh, rows = shingle_sets(data, offs, k)
                 first = np.searchsorted(rows, np.arange(j - i + 1))
                 sizes[i:j], fps[i:j] = np.diff(first), fingerprints(sh, first)
@@ -224,8 +224,8 @@ def across(opened: DataFrame, k: int, percent: int) -> DataFrame:
         roots = group.column("root").to_pylist()
         names = {r: i for i, r in enumerate(sorted(set(roots)))}
         label = np.array([names[roots[i]] for i in order])
-        sets = [shingle_sets(data, offs, k) for _, _, data, offs in X.slices(text)]
-        first = np.cumsum([0] + [j - i for i, j, _, _ in X.slices(text)])
+        sets = [shingle_sets(data, offs, k) for _, _, data, offs in X.slices(text, X.SMALL)]
+        first = np.cumsum([0] + [j - i for i, j, _, _ in X.slices(text, X.SMALL)])
         sh, who = np.concatenate([s[0] for s in sets]), np.concatenate([s[1] + f for s, f in zip(sets, first)])
         size = np.bincount(who, minlength=g)
         _, col, often = np.unique(sh, return_inverse=True, return_counts=True)
@@ -235,7 +235,7 @@ def across(opened: DataFrame, k: int, percent: int) -> DataFrame:
         col, who = col[by_col], who[by_col]
         width = int(col[-1]) + 1 if len(col) else 0
         seek = np.flatnonzero(label != np.bincount(label).argmax())
-        rows, cols = 512, max(64, (4 << 20) // g)
+        rows, cols = 512, min(max(width, 1), max(64, (4 << 20) // g))
         edges = []
         for r in range(0, len(seek), rows):
             x = seek[r : r + rows]
@@ -325,7 +325,7 @@ def _of_class(texts: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             ok = np.zeros(batch.num_rows, bool)
             cls = batch.column("cls").to_pylist()
-            for i, j, data, offs in X.slices(batch.column("text")):
+            for i, j, data, offs in X.slices(batch.column("text"), X.SMALL):
                 sh, rows = shingle_sets(data, offs, k)
                 fp = fingerprints(sh, np.searchsorted(rows, np.arange(j - i + 1)))
                 ok[i:j] = [fp[r].tobytes() == cls[i + r] for r in range(j - i)]

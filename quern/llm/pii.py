@@ -251,7 +251,7 @@ def find_pii(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             added: dict[int, list[tuple[int, int, int]]] = {}
             having = [i for i, s in enumerate(base) if s]
             picked = texts.take(pa.array(having, pa.int64()))
-            for i, j, data, offs in X.slices(picked):
+            for i, j, data, offs in X.slices(picked, X.SMALL):
                 graph = Graph(data, offs)
                 kind = graph.on_spans([base[k] for k in having[i:j]])
                 if not len(graph.left):

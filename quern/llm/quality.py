@@ -84,7 +84,7 @@ def count_rules(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [_count(data, offs) for _, _, data, offs in X.slices(batch.column(text))]
+            parts = [_count(data, offs) for _, _, data, offs in X.slices(batch.column(text), X.SMALL)]
             cols = [batch.column(c) for c in kept]
             new = [pa.array(np.concatenate([p[c] for p in parts]) if parts else [], pa.int64()) for c in COUNTS]
             yield pa.RecordBatch.from_arrays([*cols, *new], names=[*kept, *COUNTS])

@@ -14,6 +14,8 @@ import pyarrow as pa
 
 U = np.uint64
 SLICE = 1 << 20
+#: For operators whose results don't depend on the slices: a worker's arrays are some 100 times as large.
+SMALL = 1 << 18
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 #: One odd random multiplier per byte; the base of the polynomial and its inverse modulo 2**64.
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
