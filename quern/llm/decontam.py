@@ -135,7 +135,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: i
                 new = {"n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, _OUT.field("spans").type), "items": pa.array(items, _OUT.field("items").type)}
                 yield pa.RecordBatch.from_arrays([new.get(c, batch.column(x)) for x, c in enumerate(batch.schema.names)], names=batch.schema.names)
 
-        out = out.mapInArrow(scan, out.schema)
+        out = out.mapInArrow(X.tidy(scan), out.schema)
     return out
 
 
@@ -174,4 +174,4 @@ def remove_spans(hits: DataFrame, whole_share: float = 0.5) -> DataFrame:
             cols = [pa.array(out, f.type) if f.name == "text" else batch.column(k) for k, f in enumerate(batch.schema)]
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema).filter(pa.array(keep))
 
-    return hits.mapInArrow(cut, hits.schema)
+    return hits.mapInArrow(X.tidy(cut), hits.schema)

@@ -125,7 +125,7 @@ def scan(docs: DataFrame, k: int, keys: tuple[str, ...] = ()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], batch.column("doc_id"), pa.array(sizes), pa.array(cls, pa.binary()), pa.array(sketches, pa.binary())], names=[*keys, "doc_id", "n_shingles", "cls", "sketch"])
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys] + [SCAN])
-    return docs.select(*keys, F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(*keys, F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(X.tidy(run), schema)
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def bands(classes: DataFrame) -> DataFrame:
             cls = batch.column("cls").take(pa.array(np.repeat(np.arange(n), BANDS)))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), cls], names=["bucket", "cls"])
 
-    return classes.select("cls", "sketch").mapInArrow(run, "bucket long, cls binary")
+    return classes.select("cls", "sketch").mapInArrow(X.tidy(run), "bucket long, cls binary")
 
 
 def likely(pairs: DataFrame, threshold: float, slack: float = 12.0) -> DataFrame:
@@ -174,7 +174,7 @@ def likely(pairs: DataFrame, threshold: float, slack: float = 12.0) -> DataFrame
             ok = (np.minimum(na, nb) >= threshold * np.maximum(na, nb)) & (ll[:, grid >= threshold - 1e-9].max(1) >= ll.max(1) - slack)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+    return pairs.mapInArrow(X.tidy(run), "a binary, b binary")
 
 
 def _with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 
     out = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
     out = out.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
-    return out.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    return out.select("a", "b", "ta", "tb").mapInArrow(X.tidy(run), "a binary, b binary")
 
 
 def across(opened: DataFrame, k: int, percent: int) -> DataFrame:
@@ -331,4 +331,4 @@ def _of_class(texts: DataFrame, k: int) -> DataFrame:
                 ok[i:j] = [fp[r].tobytes() == cls[i + r] for r in range(j - i)]
             yield batch.select(["cls", "text"]).filter(pa.array(ok))
 
-    return texts.select("cls", "text").mapInArrow(run, "cls binary, text string").dropDuplicates(["cls"])
+    return texts.select("cls", "text").mapInArrow(X.tidy(run), "cls binary, text string").dropDuplicates(["cls"])

@@ -269,7 +269,7 @@ def find_pii(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out, _ARROW)], names=[*kept, "pii"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"pii {_SPAN}"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(X.tidy(run), schema)
 
 
 def _joined(spans):
@@ -309,4 +309,4 @@ def mask(found: DataFrame) -> DataFrame:
             cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays(cols, names=kept)
 
-    return found.mapInArrow(run, found.select(*kept).schema)
+    return found.mapInArrow(X.tidy(run), found.select(*kept).schema)

@@ -89,7 +89,7 @@ def count_rules(docs: DataFrame, text: str = "text") -> DataFrame:
             new = [pa.array(np.concatenate([p[c] for p in parts]) if parts else [], pa.int64()) for c in COUNTS]
             yield pa.RecordBatch.from_arrays([*cols, *new], names=[*kept, *COUNTS])
 
-    return docs.select(*kept, text).mapInArrow(scan, schema)
+    return docs.select(*kept, text).mapInArrow(X.tidy(scan), schema)
 
 
 def _bin(feature: str):
