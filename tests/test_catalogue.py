@@ -7,7 +7,8 @@ import duckdb
 import pytest
 
 from quern.operators import graph
-from quern.plans import catalogue
+from quern.functions import globs
+from quern.plans import catalogue, reports
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,7 +31,14 @@ def test_no_edges(spark):
     assert _closure(spark, []) == {}
 
 
-@pytest.mark.parametrize("name", ["sloc_per_file", "dup_block_windows", "edges_first_wins", "layer_relations", "session_debounce", "unused_dependencies"])
+def test_globs_cover_folders_choices_and_exclusions(spark):
+    rows = spark.createDataFrame([(p,) for p in ("src/a.ts", "src/x/b.tsx", "lib/a.ts", "srcs/a.ts", "src/gen/c.ts", "a.ts")], "path string")
+    kept = lambda *g: {r.path for r in rows.where(globs.matches("path", list(g))).collect()}
+    assert kept("src") == {"src/a.ts", "src/x/b.tsx", "src/gen/c.ts"} and kept() == set()
+    assert kept("src", "!src/gen") == {"src/a.ts", "src/x/b.tsx"} and kept("**/*.{ts,tsx}", "!**/a.ts", "lib/**") == {"src/x/b.tsx", "src/gen/c.ts", "lib/a.ts"}
+
+
+@pytest.mark.parametrize("name", ["sloc_per_file", "dup_block_windows", "edges_first_wins", "layer_relations", "session_debounce", "unused_dependencies", *(n for n, f in catalogue.QUERIES.items() if f.__module__ == reports.__name__)])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
