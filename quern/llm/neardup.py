@@ -14,9 +14,10 @@
    The joint likelihood of two sketches over the similarity drops pairs that
    can't reach the threshold; the rest are verified on full shingle sets.
 5. In buckets whose classes the links found have not joined yet, classes are
-   compared across components on full sets, by products of the bucket's
-   incidence matrix inside its task, so no link that banding reveals is lost
-   and no pair becomes a row unless it is a link.
+   compared across components on full sets, by products of incidence
+   matrices, so no link that banding reveals is lost and no pair becomes a row
+   unless it is a link.  A large bucket is dealt out in pairs of blocks, so
+   what one task holds is bounded.
 6. Components come from alternating large-star and small-star rounds.
 
 Defined cases: null, empty or word-free text has an empty set and is linked
@@ -40,6 +41,7 @@ BANDS, ROWS = 25, 5
 M = 128
 REACH = 8.0
 BASE = 1.001
+BLOCK, BLOCK_SHINGLES = 2048, 4 << 20
 SCAN = "doc_id long, n_shingles long, cls binary, sketch binary"
 _SEED_T, _SEED_R = X.U(0xA0761D6478BD642F), X.U(0xE7037ED1A0B428DB)
 
@@ -206,14 +208,35 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return out.select("a", "b", "ta", "tb").mapInArrow(X.tidy(run), "a binary, b binary")
 
 
-def across(opened: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between components inside each bucket: enough of them to join all that full sets link.
+def blocks(opened: DataFrame) -> DataFrame:
+    """Rows of open buckets dealt to groups of bounded size: bucket, grp, cls, root, seeks, offered.
 
-    ``opened`` has bucket, cls, root, text.  Intersections of a bucket's sets
-    are products of its incidence matrix of shared shingles, in blocks of rows
-    and of shingles, so no pair becomes a row before it is known to be a link.
-    Only classes outside the bucket's largest component look for partners; a
-    pair of two components has one such class.
+    ``opened`` has bucket, cls, root, n_shingles.  A class outside the
+    bucket's largest component seeks partners among all of the bucket; a pair
+    of two components has such a class.  A bucket of more than ``BLOCK``
+    classes or ``BLOCK_SHINGLES`` shingles falls into ``nb`` blocks by a hash
+    of the class, and group (i, j) holds the seekers of block i and what block
+    j offers them; two blocks of seekers meet once.
+    """
+    per_root = opened.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    wanted = F.ceil(F.greatest(F.sum("n") / BLOCK, F.sum("s") / BLOCK_SHINGLES))
+    per = per_root.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("top"), wanted.cast("int").alias("nb"))
+    rows = opened.join(per, "bucket").withColumn("seek", F.col("root") != F.col("top")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("nb") - 1)
+    seeks = F.when(F.col("seek"), F.transform(every, lambda j: F.struct(F.col("own").alias("i"), j.alias("j"))))
+    offered = F.transform(F.filter(every, lambda i: ~F.col("seek") | (i <= F.col("own"))), lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))
+    rows = rows.withColumn("grp", F.explode(F.array_distinct(F.concat(F.coalesce(seeks, F.array().cast("array<struct<i:int,j:int>>")), offered))))
+    gives = (F.col("grp.j") == F.col("own")) & (~F.col("seek") | (F.col("grp.i") <= F.col("own")))
+    return rows.select("bucket", "grp", "cls", "root", (F.col("seek") & (F.col("grp.i") == F.col("own"))).alias("seeks"), gives.alias("offered"))
+
+
+def across(dealt: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components inside each group of ``blocks``: enough of them to join all that full sets link.
+
+    ``dealt`` has the columns of ``blocks`` and text.  Intersections of the
+    sets are products of the group's incidence matrix of shared shingles, in
+    blocks of rows and of shingles, so no pair becomes a row before it is
+    known to be a link.
     """
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
@@ -224,37 +247,38 @@ def across(opened: DataFrame, k: int, percent: int) -> DataFrame:
         roots = group.column("root").to_pylist()
         names = {r: i for i, r in enumerate(sorted(set(roots)))}
         label = np.array([names[roots[i]] for i in order])
-        sets = [shingle_sets(data, offs, k) for _, _, data, offs in X.slices(text, X.SMALL)]
-        first = np.cumsum([0] + [j - i for i, j, _, _ in X.slices(text, X.SMALL)])
-        sh, who = np.concatenate([s[0] for s in sets]), np.concatenate([s[1] + f for s, f in zip(sets, first)])
-        size = np.bincount(who, minlength=g)
-        _, col, often = np.unique(sh, return_inverse=True, return_counts=True)
-        on = often[col] > 1
-        col, who = np.unique(col[on], return_inverse=True)[1], who[on]
-        by_col = np.argsort(col, kind="stable")
-        col, who = col[by_col], who[by_col]
-        width = int(col[-1]) + 1 if len(col) else 0
-        seek = np.flatnonzero(label != np.bincount(label).argmax())
-        rows, cols = 512, min(max(width, 1), max(64, (4 << 20) // g))
+        seek = np.flatnonzero(group.column("seeks").to_numpy()[order])
+        offered = group.column("offered").to_numpy()[order]
         edges = []
-        for r in range(0, len(seek), rows):
-            x = seek[r : r + rows]
-            both = np.zeros((len(x), g), np.float32)
-            for c in range(0, width, cols):
-                a, z = np.searchsorted(col, [c, c + cols])
-                part = np.zeros((g, cols), np.float32)
-                part[who[a:z], col[a:z] - c] = 1
-                both += part[x] @ part.T
-            linked = 100 * both >= percent * (size[x][:, None] + size - both)
-            for i, row in zip(x.tolist(), linked):
-                near = np.flatnonzero(row & (label != label[i]))
-                for other, at in zip(*np.unique(label[near], return_index=True)):
-                    edges.append((i, int(near[at])))
-                    label[label == other] = label[i]
+        if len(seek) and offered.any():
+            sets = [(i, *shingle_sets(data, offs, k)) for i, _, data, offs in X.slices(text, X.SMALL)]
+            sh, who = np.concatenate([s for _, s, _ in sets]), np.concatenate([w + i for i, _, w in sets])
+            size = np.bincount(who, minlength=g)
+            _, col, often = np.unique(sh, return_inverse=True, return_counts=True)
+            on = often[col] > 1
+            col, who = np.unique(col[on], return_inverse=True)[1], who[on]
+            by_col = np.argsort(col, kind="stable")
+            col, who = col[by_col], who[by_col]
+            width = int(col[-1]) + 1 if len(col) else 0
+            rows, cols = 512, min(max(width, 1), max(64, (4 << 20) // g))
+            for r in range(0, len(seek), rows):
+                x = seek[r : r + rows]
+                both = np.zeros((len(x), g), np.float32)
+                for c in range(0, width, cols):
+                    a, z = np.searchsorted(col, [c, c + cols])
+                    part = np.zeros((g, cols), np.float32)
+                    part[who[a:z], col[a:z] - c] = 1
+                    both += part[x] @ part.T
+                linked = offered & (100 * both >= percent * (size[x][:, None] + size - both))
+                for i, row in zip(x.tolist(), linked):
+                    near = np.flatnonzero(row & (label != label[i]))
+                    for other, at in zip(*np.unique(label[near], return_index=True)):
+                        edges.append((i, int(near[at])))
+                        label[label == other] = label[i]
         pairs = [(min(e), max(e)) for e in edges]
         return pa.table({"a": pa.array([cls[a] for a, _ in pairs], pa.binary()), "b": pa.array([cls[b] for _, b in pairs], pa.binary())})
 
-    return opened.select("bucket", "cls", "root", "text").groupBy("bucket").applyInArrow(run, "a binary, b binary")
+    return dealt.groupBy("bucket", "grp").applyInArrow(run, "a binary, b binary")
 
 
 def _one_set(text: str, k: int) -> np.ndarray:
@@ -306,9 +330,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, keys: tuple[
     labelled = keyed.join(comp, keyed["cls"] == comp["node"], "left").select("bucket", "cls", F.coalesce("root", "cls").alias("root"))
     # buckets of several bands often hold the same classes, which are compared once
     groups = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("n")).where("lo != hi")
-    opened = materialize(labelled.join(groups.groupBy("sum", "n").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket"), "opened")
+    chosen = labelled.join(groups.groupBy("sum", "n").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket")
+    opened = materialize(chosen.join(classes.select("cls", "n_shingles"), "cls"), "opened")
     if not opened.isEmpty():
-        links = links.union(materialize(across(opened.join(texts_of(opened), "cls"), k, percent), "links"))
+        links = links.union(materialize(across(blocks(opened).join(texts_of(opened), "cls"), k, percent), "links"))
         comp = materialize(components(links), "components")
     of_class = classes.join(comp, classes["cls"] == comp["node"], "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     least = of_class.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -1,6 +1,7 @@
 """Corpus operators on small rows with nulls, empties, repeats, ties and clashing columns, against plain versions."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -135,3 +136,33 @@ def test_held_out_accuracy(spark):
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
     total = lm.score(table).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert total[0] > total[1]
+
+
+def test_buckets_dealt_in_blocks_lose_no_link(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    texts = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(i % 9):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    least = list(range(90))
+    for i in range(90):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                lo, hi = sorted((least[i], least[j]))
+                least = [lo if x == hi else x for x in least]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one = neardup.scan(docs, 5).join(docs, "doc_id").dropDuplicates(["cls"]).select(F.lit(1).alias("bucket"), "cls", F.col("cls").alias("root"), "n_shingles", "doc_id", "text").cache()
+    ids = {r.cls: r.doc_id for r in one.select("cls", "doc_id").collect()}
+    for block, groups in ((2048, 1), (7, None)):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        dealt = neardup.blocks(one.select("bucket", "cls", "root", "n_shingles"))
+        assert groups is None or dealt.select("grp").distinct().count() == groups
+        found = neardup.components(neardup.across(dealt.join(one.select("cls", "text"), "cls"), 5, 80)).collect()
+        root = {ids[r.node]: ids[r.root] for r in found}
+        pairs = {(root.get(i, i), least[i]) for i in ids.values()}
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
