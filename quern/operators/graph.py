@@ -22,12 +22,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst, depth) of all pairs joined by a path of one edge or more; depth is the shortest."""
+def closure(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(src, dst, depth) of all pairs joined by a path of one edge or more, and of ``most`` at most if given; depth is the shortest."""
     edges = cut(edges.select("src", "dst").distinct())
     known = fresh = cut(edges.withColumn("depth", F.lit(1).cast("long")))
     depth = 1
-    while not fresh.isEmpty():
+    while depth != most and not fresh.isEmpty():
         depth += 1
         step = fresh.alias("f").join(edges.alias("e"), F.col("f.dst") == F.col("e.src")).select("f.src", F.col("e.dst").alias("dst")).distinct()
         fresh = cut(step.join(known, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
@@ -39,3 +39,63 @@ def strong_components(pairs: DataFrame) -> DataFrame:
     """(node, component) for nodes on cycles, from a closure: the least node that both reaches it and is reached."""
     back = pairs.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
     return pairs.select("src", "dst").join(back, ["src", "dst"]).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
+
+
+def _spread(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, label): the least of ``start``'s labels that reaches each node, its own among them."""
+    known = fresh = cut(start)
+    while not fresh.isEmpty():
+        step = fresh.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("label"))
+        old = known.withColumnRenamed("label", "old")
+        fresh = cut(step.join(old, "node", "left").where("old is null or label < old").select("node", "label"))
+        known = cut(known.union(fresh).groupBy("node").agg(F.min("label").alias("label")))
+    return known
+
+
+def _trim(edges: DataFrame) -> DataFrame:
+    """Without nodes that nothing enters or nothing leaves, which are on no cycle."""
+    n = edges.count()
+    while n:
+        src, dst = edges.select("src").distinct(), edges.select(F.col("dst").alias("src")).distinct()
+        both = src.join(dst, "src", "left_semi")
+        edges = cut(edges.join(both, "src", "left_semi").join(both.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst"))
+        before, n = n, edges.count()
+        if n == before:
+            break
+    return edges
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for nodes on cycles, as ``strong_components`` has it, holding a row per node instead of all pairs.
+
+    In each round every node takes the least node that reaches it as its colour; the nodes that reach their colour's
+    node inside the colour are one component and leave the graph.
+    """
+    live = edges = cut(edges.select("src", "dst").distinct())
+    parts = []
+    while not (live := _trim(live)).isEmpty():
+        colour = _spread(live, live.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct())
+        a, b = colour.toDF("src", "a"), colour.toDF("dst", "b")
+        inside = cut(live.join(a, "src").join(b, "dst").where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        gone = _spread(inside, colour.where("node = label"))
+        parts.append(gone)
+        live = cut(live.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    found = edges.select(F.col("src").alias("node"), F.col("src").alias("label")).limit(0)
+    for p in parts:
+        found = found.union(p)
+    # a component of one node is a cycle only by a self edge
+    cyclic = found.groupBy("label").count().where("count > 1").select("label").union(edges.where("src = dst").select(F.col("src").alias("label"))).distinct()
+    return cut(found.join(cyclic, "label", "left_semi").select("node", F.col("label").alias("component")))
+
+
+def reach_counts(edges: DataFrame) -> DataFrame:
+    """(node, affected): how many nodes reach each node that any reaches, itself too if on a cycle; pairs are held of components only."""
+    edges = cut(edges.select("src", "dst").distinct())
+    own = components(edges)
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
+    part = cut(nodes.join(own, "node", "left").select("node", F.coalesce("component", "node").alias("part"), F.col("component").isNotNull().alias("cyclic")))
+    size = part.groupBy("part").agg(F.count(F.lit(1)).alias("size"), F.bool_or("cyclic").alias("cyclic"))
+    a, b = part.select(F.col("node").alias("src"), F.col("part").alias("a")), part.select(F.col("node").alias("dst"), F.col("part").alias("b"))
+    above = closure(edges.join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    into = above.join(size.select(F.col("part").alias("src"), "size"), "src").select(F.col("dst").alias("part"), "size").union(size.where("cyclic").select("part", "size"))
+    return part.select("node", "part").join(into.groupBy("part").agg(F.sum("size").alias("affected")), "part").select("node", "affected")

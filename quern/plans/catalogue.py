@@ -84,8 +84,8 @@ def edges_first_wins(spark, d):
 
 
 @query(f"WITH e AS ({_EDGES}) SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY node")
-def in_out_degree(spark, d):
-    e = T.edges(spark, d)
+def in_out_degree(spark, d, edges=T.edges):
+    e = edges(spark, d)
     ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"))))
     return e.select(ends.alias("x")).select("x.*").groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
@@ -107,10 +107,10 @@ def cycle_findings(spark, d):
 
 
 @query(f"WITH e AS ({_EDGES}) SELECT CASE WHEN dst % 4 = src % 4 THEN 'same' WHEN dst % 4 < src % 4 THEN 'violation' WHEN dst % 4 > src % 4 + 1 THEN 'skip' ELSE 'ok' END AS relation, count(*) AS n FROM e GROUP BY 1")
-def layer_relations(spark, d):
+def layer_relations(spark, d, edges=T.edges):
     s, t = F.col("src") % 4, F.col("dst") % 4
     relation = F.when(t == s, "same").when(t < s, "violation").when(t > s + 1, "skip").otherwise("ok")
-    return T.edges(spark, d).groupBy(relation.alias("relation")).agg(F.count(F.lit(1)).alias("n"))
+    return edges(spark, d).groupBy(relation.alias("relation")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT p_brand AS layer, count(*) AS n, count(*) FILTER (p_size > 25) AS covered, floor(100.0 * count(*) FILTER (p_size > 25) / count(*) + 0.5)::BIGINT AS percent FROM part GROUP BY p_brand")

@@ -63,8 +63,8 @@ def stats_counts(spark, d):
 
 
 @query(f"SELECT dst AS module, count(*) AS dependents FROM ({_EDGES}) GROUP BY dst ORDER BY dependents DESC, module LIMIT 10")
-def central_modules(spark, d):
-    return T.edges(spark, d).groupBy(F.col("dst").alias("module")).agg(_count_all().alias("dependents")).orderBy(F.desc("dependents"), "module").limit(10)
+def central_modules(spark, d, edges=T.edges):
+    return edges(spark, d).groupBy(F.col("dst").alias("module")).agg(_count_all().alias("dependents")).orderBy(F.desc("dependents"), "module").limit(10)
 
 
 @query("SELECT o_custkey AS author, count(*) AS commits, min(o_orderdate) AS first_commit, max(o_orderdate) AS last_commit FROM orders GROUP BY o_custkey")

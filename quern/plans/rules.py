@@ -40,16 +40,16 @@ def impact_levels(spark, d):
 
 
 @query(f"SELECT src % 5 AS from_feature, dst % 5 AS to_feature, count(*) AS n FROM ({_EDGES}) WHERE src % 5 <> dst % 5 GROUP BY 1, 2")
-def cross_feature_imports(spark, d):
+def cross_feature_imports(spark, d, edges=T.edges):
     a, b = F.col("src") % 5, F.col("dst") % 5
-    return T.edges(spark, d).where(a != b).groupBy(a.alias("from_feature"), b.alias("to_feature")).agg(_count_all().alias("n"))
+    return edges(spark, d).where(a != b).groupBy(a.alias("from_feature"), b.alias("to_feature")).agg(_count_all().alias("n"))
 
 
 @query(f"SELECT src, dst FROM ({_EDGES}) JOIN (VALUES {', '.join(map(str, FORBIDDEN))}) AS f(a, b) ON src % 4 = a AND dst % 4 = b")
-def forbidden_dependencies(spark, d):
+def forbidden_dependencies(spark, d, edges=T.edges):
     # the configured pairs are a handful: a disjunction needs no join
     pair = F.concat_ws(">", F.col("src") % 4, F.col("dst") % 4)
-    return T.edges(spark, d).where(pair.isin([f"{a}>{b}" for a, b in FORBIDDEN])).select("src", "dst")
+    return edges(spark, d).where(pair.isin([f"{a}>{b}" for a, b in FORBIDDEN])).select("src", "dst")
 
 
 @query(" UNION ALL ".join(f"SELECT l_orderkey AS file, l_linenumber::BIGINT AS ordinal, '{rule}' AS rule, {column}::DOUBLE AS measured FROM lineitem WHERE {column} > {limit}" for rule, column, limit in LIMITS))

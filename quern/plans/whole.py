@@ -1,0 +1,53 @@
+"""The graph queries on all edges: the older ones keep to the residues that their SQL asks for."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quern.operators import graph
+from quern.plans import catalogue, reports, rules
+from quern.plans.catalogue import _EDGES, QUERIES, SQL
+from quern.sources import tables as T
+
+_ALL_EDGES = _EDGES.removesuffix(" AND src % 26 = dst % 26")
+
+
+def _on_all_edges(f):
+    QUERIES[f"all_{f.__name__}"] = lambda spark, d: f(spark, d, T.all_edges)
+    SQL[f"all_{f.__name__}"] = SQL[f.__name__].replace(_EDGES, _ALL_EDGES)
+
+
+for _f in (catalogue.in_out_degree, catalogue.layer_relations, rules.cross_feature_imports, rules.forbidden_dependencies, reports.central_modules):
+    _on_all_edges(_f)
+
+
+def _no_sql(f):
+    """SQL would have to hold all pairs."""
+    QUERIES[f.__name__] = f
+    return f
+
+
+@_no_sql
+def all_reverse_reachable(spark, d):
+    return graph.reach_counts(T.all_edges(spark, d))
+
+
+@_no_sql
+def all_scc_members(spark, d):
+    return graph.components(T.all_edges(spark, d))
+
+
+@_no_sql
+def all_cycle_findings(spark, d):
+    m = graph.components(T.all_edges(spark, d))
+    return m.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.array_join(F.array_sort(F.collect_list("node")).cast("array<string>"), " ").alias("members"))
+
+
+@_no_sql
+def all_impact_levels(spark, d):
+    # pairs are held up to three steps; the rest of those affected is low
+    e = graph.cut(T.all_edges(spark, d))
+    near = graph.closure(e, 3).groupBy(F.col("dst").alias("node")).agg(F.count(F.when(F.col("depth") <= 1, 1)).alias("high"), F.count(F.when(F.col("depth") > 1, 1)).alias("medium"))
+    rows = graph.reach_counts(e).join(near, "node").withColumn("low", F.col("affected") - F.col("high") - F.col("medium"))
+    level = F.explode(F.array(*[F.struct(F.lit(x).alias("level"), F.col(x).alias("n")) for x in ("high", "medium", "low")]))
+    return rows.select(F.col("node").alias("changed"), level.alias("x")).select("changed", "x.*").where("n > 0")
