@@ -15,8 +15,7 @@ model with one indicator per word, whose optimum is the smoothed share of the
 word in its class.  Rows are trained by distributed gradient updates: every
 task takes AdaGrad steps over slices of all its training texts from common
 weights, and the tasks' weights are averaged by row block in Spark, weighted by
-tokens.  A step uses every ``STRIDE``-th token of its slice, from a changing
-start, so each text takes part.
+tokens.  Every token of every training text is a target once.
 
 Scores.  The known part of a text's score needs the broadcast tables only.
 Rare words go to their buckets once per block of texts with the place of
@@ -42,7 +41,6 @@ from quern.llm.store import doc_hash, materialize, text_bytes
 VOCAB = 1 << 15
 CLASSES = 32
 ROWS = 1 << 14
-STRIDE = 8
 SAMPLE = 1500
 RATE = 0.3
 BUCKET_BYTES = 12 << 20
@@ -199,14 +197,13 @@ def class_log_probs(weights: np.ndarray, f: np.ndarray, chunk: int = 16384) -> I
 
 def local_steps(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, weights: np.ndarray) -> tuple[np.ndarray, int]:
     """Weights after AdaGrad steps over the texts, and the tokens used."""
-    w, g2, used, turn = weights.copy(), np.full(ROWS, 1e-4, np.float32), 0, 0
+    w, g2, used = weights.copy(), np.full(ROWS, 1e-4, np.float32), 0
     for batch in batches:
         for _, _, data, offs in X.slices(batch.column("text")):
             h, rows, _ = tokens(data, offs)
             at = vocab.find(h)
-            f = features(at, h, rows, vocab.classes)[turn % STRIDE :: STRIDE]
-            y = vocab.classes[at][turn % STRIDE :: STRIDE]
-            turn += 1
+            f = features(at, h, rows, vocab.classes)
+            y = vocab.classes[at]
             for a, z, p in class_log_probs(w, f, 4096):
                 p[np.arange(z - a), y[a:z]] -= 1
                 flat = f[a:z].ravel()
