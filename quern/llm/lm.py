@@ -7,7 +7,8 @@ leaves at most ``VOCAB`` words (a fixed bound, so they are broadcast); the
 others form the rare class and never leave their buckets.
 
 Model.  P(word | history) = P(class | history) * P(word | class).  Classes are
-found by k-means on the words that follow; each word has one.  P(class |
+found by k-means on which of the ``NEAR`` commonest words stand next to a word,
+counted over all training rows; each word has one.  P(class |
 history) is a softmax over sums of weight rows, one for each active feature:
 bias, previous word, the word before it (skip), their pair, and the pair of
 their classes, hashed to ``ROWS`` rows.  P(word | class) is the maximum-entropy
@@ -41,7 +42,7 @@ from quern.llm.store import doc_hash, materialize, text_bytes
 VOCAB = 1 << 15
 CLASSES = 32
 ROWS = 1 << 14
-SAMPLE = 1500
+NEAR = 128
 RATE = 0.3
 BUCKET_BYTES = 12 << 20
 #: The hash that stands for a text's end.
@@ -96,7 +97,7 @@ def word_counts(train: DataFrame, buckets: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [_tally(tokens(data, offs)[0]) for _, _, data, offs in X.slices(batch.column("text"))]
+            parts = [_tally(tokens(data, offs)[0]) for _, _, data, offs in X.slices(batch.column("text"), X.SMALL)]
             if parts:
                 h, c = _tally(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
                 yield pa.RecordBatch.from_pydict(_split(_bucket(h, buckets), keys=h, counts=c.astype("<u4")))
@@ -106,7 +107,7 @@ def word_counts(train: DataFrame, buckets: int) -> DataFrame:
         return pa.table(_split(np.full(len(h), key[0].as_py()), keys=h, counts=c.astype("<u4")))
 
     schema = "place long, keys binary, counts binary"
-    return train.select("text").mapInArrow(scan, schema).groupBy("place").applyInArrow(add, schema)
+    return train.select("text").mapInArrow(X.tidy(scan), schema).groupBy("place").applyInArrow(add, schema)
 
 
 class Vocabulary:
@@ -132,15 +133,16 @@ class Vocabulary:
             out[may[ok]] = at[ok]
         return out
 
-    def classify(self, streams: list[np.ndarray]) -> None:
+    def near(self) -> np.ndarray:
+        """The place of each word among the ``NEAR`` commonest, the last for the others."""
+        n, top = len(self.keys), min(NEAR, len(self.keys))
+        out = np.full(n + 1, top)
+        out[np.argsort(-self.counts, kind="stable")[:top]] = np.arange(top)
+        return out
+
+    def classify(self, side: np.ndarray) -> None:
         """Classes by k-means of which of the commonest words stand next to a word; the end has its own."""
-        n, top = len(self.keys), min(128, len(self.keys))
-        near = np.full(n + 1, top)
-        near[np.argsort(-self.counts, kind="stable")[:top]] = np.arange(top)
-        side = np.zeros((n + 1, 2 * (top + 1)), np.float32)
-        for s in streams:
-            np.add.at(side, (s[:-1], near[s[1:]]), 1)
-            np.add.at(side, (s[1:], top + 1 + near[s[:-1]]), 1)
+        n = len(self.keys)
         seen = side.sum(1) > 0
         x = np.sqrt(side / np.maximum(side.sum(1, keepdims=True), 1))
         k = CLASSES - 2
@@ -166,6 +168,41 @@ class Vocabulary:
         self.rare = float(np.log10(rare_mass + rare_words + 1))  # one more for words never met
 
 
+def neighbours(train: DataFrame, vocab: Vocabulary) -> np.ndarray:
+    """Of each vocabulary word, how often each of the commonest stands after and before it in all rows; neighbours cross no row."""
+    shared = train.sparkSession.sparkContext.broadcast(vocab)
+    n, wide = len(vocab.keys) + 1, 2 * (min(NEAR, len(vocab.keys)) + 1)
+
+    def pack(cells: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(_split(cells // (_BLOCK * wide), cells=cells.astype("<u4"), counts=counts.astype("<i8")))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = shared.value
+        near, side = vocab.near(), np.zeros(n * wide, np.uint32)
+        for batch in batches:
+            for _, _, data, offs in X.slices(batch.column("text"), X.SMALL):
+                h, rows, _ = tokens(data, offs)
+                at = vocab.find(h)
+                both = rows[1:] == rows[:-1]
+                a, b = at[:-1][both], at[1:][both]
+                cells, counts = np.unique(np.concatenate([a * wide + near[b], b * wide + wide // 2 + near[a]]), return_counts=True)
+                side[cells] += counts.astype(np.uint32)
+        cells = np.flatnonzero(side)
+        if len(cells):
+            yield pack(cells, side[cells])
+
+    def add(key: tuple, group: pa.Table) -> pa.Table:
+        cells, back = np.unique(_all(group, "cells", "<u4"), return_inverse=True)
+        counts = np.bincount(back, _all(group, "counts", "<i8"), len(cells))
+        return pa.Table.from_batches([pack(cells.astype(np.int64), counts)])
+
+    schema = "place long, cells binary, counts binary"
+    side = np.zeros(n * wide, np.float32)
+    for row in train.select("text").mapInArrow(X.tidy(scan), schema).groupBy("place").applyInArrow(add, schema).toLocalIterator():
+        side[np.frombuffer(row["cells"], "<u4")] = np.frombuffer(row["counts"], "<i8")
+    return side.reshape(n, wide)
+
+
 def features(at: np.ndarray, h: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Weight rows of each token's history: bias, previous, skip, pair, pair of classes."""
     n = len(h)
@@ -245,7 +282,7 @@ def train_weights(train: DataFrame, vocab: Vocabulary) -> np.ndarray:
 
     schema = "block int, used long, w binary"
     out = start.copy()
-    for row in train.select("text").mapInArrow(steps, schema).groupBy("block").applyInArrow(average, schema).collect():
+    for row in train.select("text").mapInArrow(X.tidy(steps), schema).groupBy("block").applyInArrow(average, schema).collect():
         out[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["w"], np.float32).reshape(-1, CLASSES)
     return out
 
@@ -286,10 +323,7 @@ def score(docs: DataFrame, held_out_mod: int = 7, held_out: int = 2) -> DataFram
     train = rows.where("not held_out")
     counts = materialize(word_counts(train, buckets), "counts")
     vocab = _vocabulary(counts)
-    texts = train.select(F.xxhash64("doc_id").alias("h"), "text")
-    least = texts.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
-    sample = [] if least is None else [r[0] or "" for r in texts.where(F.col("h") <= least).select("text").limit(2 * SAMPLE).collect()]
-    vocab.classify([vocab.find(tokens(data, offs)[0]) for _, _, data, offs in X.slices(pa.array(sorted(sample), pa.string()))])
+    vocab.classify(neighbours(train, vocab))
     vocab.finish()
     weights = train_weights(train, vocab)
     shared = spark.sparkContext.broadcast((vocab, weights))
@@ -302,7 +336,7 @@ def score(docs: DataFrame, held_out_mod: int = 7, held_out: int = 2) -> DataFram
         denominator = np.log10(vocab.total + vocab.distinct + 1.0)
         for batch in batches:
             rid, keys, whose, out = batch.column("rid").to_numpy(), [], [], []
-            for i, _, data, offs in X.slices(batch.column("text")):
+            for i, _, data, offs in X.slices(batch.column("text"), X.SMALL):
                 h, rows, first = tokens(data, offs)
                 at = vocab.find(h)
                 cls = vocab.classes[at]
@@ -326,7 +360,7 @@ def score(docs: DataFrame, held_out_mod: int = 7, held_out: int = 2) -> DataFram
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name]).cast(f.type) if f.name in columns else pa.nulls(size, f.type) for f in _WIDE], schema=_WIDE)
 
     numbered = rows.withColumn("rid", F.monotonically_increasing_id())
-    wide = materialize(numbered.mapInArrow(scan, "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, full double, place long, keys binary, rids binary"), "scores")
+    wide = materialize(numbered.mapInArrow(X.tidy(scan), "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, full double, place long, keys binary, rids binary"), "scores")
     asked = wide.where("place is not null").select("place", "keys", "rids")
 
     def answer(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:

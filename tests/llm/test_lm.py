@@ -21,3 +21,16 @@ def test_every_token_is_a_target():
     assert used == n and np.isfinite(w).all()
     for text in ("x", "two words"):  # texts of a few tokens take part too
         assert lm.local_steps(iter([pa.RecordBatch.from_pydict({"text": [text]})]), vocab, w)[1] == len(text.split()) + 1
+
+
+def test_neighbours_are_counted_over_all_rows(spark):
+    vocab = _vocabulary()
+    rows = spark.createDataFrame([(t,) for t in TEXTS * 40 + [None]], "text string").repartition(3)
+    side, near, want = lm.neighbours(rows, vocab), vocab.near(), np.zeros((len(vocab.keys) + 1, 2 * (min(lm.NEAR, len(vocab.keys)) + 1)))
+    for t in TEXTS * 40:
+        data, offs = lm.X.buffers(pa.array([t]))
+        at = vocab.find(lm.tokens(data, offs)[0])
+        for a, b in zip(at, at[1:]):
+            want[a, near[b]] += 1
+            want[b, want.shape[1] // 2 + near[a]] += 1
+    assert len(TEXTS) * 40 > 1500 and (side == want).all() and side[:-1].any(1).all()
