@@ -4,9 +4,9 @@ Terms are lower-cased words and their five- and four-byte stems, hashed.  The ma
 scores the set of a text's terms as w0 + sum(w) + sum over pairs of <v, v'>,
 so a pair (an insult and a group mention, say) can count for more than its
 parts.  It is trained by AdaGrad in numpy on the driver, on a bounded sample
-of labelled rows: ``SAMPLE`` rows of each class, by a hash of doc_id.  Terms
-are the ``TERMS`` hashes that tell the classes of the sample apart best; the
-intercept is corrected for the share of each class among all labelled rows.
+of labelled rows: ``SAMPLE`` rows of each class, by a hash of doc_id.  Every
+hashed term of the sample has a weight and factors, shrunk by how little its
+chi-square is above ``CHANCE``; the intercept is corrected for the share of each class among all labelled rows.
 
 Defined cases: null and empty texts get the intercept's score; without
 labelled rows of both classes every score is the smoothed share of class 1;
@@ -26,8 +26,8 @@ from quern.llm import textops as X
 from quern.llm.store import doc_hash
 
 BITS = 20
-TERMS = 256
 FACTORS = 8
+CHANCE = 300.0
 SAMPLE = 3000
 EPOCHS = 12
 THRESHOLD = 0.3
@@ -50,13 +50,13 @@ def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Machine:
-    """slot: the place of each hash among the terms, 0 for none; weights of places from 1 on."""
+    """slot: the place of each hash among the sample's terms, 0 for none; weights of places from 1 on."""
 
     def __init__(self, texts: list[str], y: np.ndarray, prior: float) -> None:
-        self.slot = np.zeros(1 << BITS, np.int16)
+        self.slot = np.zeros(1 << BITS, np.int32)
         n = len(texts)
         self.w0 = float(np.log(prior / (1 - prior)))
-        self.w, self.v = np.zeros(TERMS + 1), np.zeros((TERMS + 1, FACTORS))
+        self.w, self.v = np.zeros(1), np.zeros((1, FACTORS))
         if not n or y.min() == y.max():
             return
         pairs = []
@@ -65,19 +65,18 @@ class Machine:
             pairs.append(np.unique((r + i) << BITS | t))
         pairs = np.concatenate(pairs)
         rows, t = pairs >> BITS, pairs & ((1 << BITS) - 1)
-        seen = [np.bincount(t[y[rows] == c], minlength=1 << BITS) for c in (0, 1)]
-        share = [s / max(1, (y == c).sum()) for c, s in enumerate(seen)]
-        # a signed chi-square of each term's presence against the class
-        gain = (share[1] - share[0]) ** 2 / (share[1] + share[0] + 4.0 / n)
-        gain[seen[0] + seen[1] < 4] = 0
-        best = np.argsort(-gain, kind="stable")[:TERMS]
-        best = best[gain[best] > 0]
-        self.slot[best] = np.arange(1, len(best) + 1)
-        on = self.slot[t] > 0
-        self._fit(rows[on], self.slot[t[on]].astype(np.int64), y, n)
+        own = np.unique(t)
+        self.slot[own] = np.arange(1, len(own) + 1)
+        self.w, self.v = np.zeros(len(own) + 1), np.zeros((len(own) + 1, FACTORS))
+        # a signed chi-square of each term's presence against the class: terms count by how far it is above chance
+        share = [np.bincount(self.slot[t[y[rows] == c]], minlength=len(own) + 1) / max(1, (y == c).sum()) for c in (0, 1)]
+        gain = n * (share[1] - share[0]) ** 2 / (share[1] + share[0] + 4.0 / n)
+        size = (gain / (gain + CHANCE))[:, None]
+        self._fit(rows, self.slot[t].astype(np.int64), size[:, 0], y, n)
+        self.w, self.v = (self.w * size[:, 0]).astype(np.float32), (self.v * size).astype(np.float32)
         self.w0 += float(np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean())))
 
-    def _fit(self, rows: np.ndarray, slots: np.ndarray, y: np.ndarray, n: int) -> None:
+    def _fit(self, rows: np.ndarray, slots: np.ndarray, size: np.ndarray, y: np.ndarray, n: int) -> None:
         rng = np.random.Generator(np.random.PCG64(7))
         first = np.searchsorted(rows, np.arange(n + 1))
         self.v = rng.normal(0, 0.01, self.v.shape)
@@ -91,18 +90,18 @@ class Machine:
                 own = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
                 local = np.repeat(np.arange(len(docs)), first[docs + 1] - first[docs])
                 s = slots[own]
-                lin, vs = np.bincount(local, w[s], len(docs)), np.zeros((len(docs), FACTORS))
-                np.add.at(vs, local, v[s])
-                sq = np.bincount(local, (v[s] ** 2).sum(1), len(docs))
+                x, xv = size[s], v[s] * size[s, None]
+                lin = np.bincount(local, w[s] * x, len(docs))
+                vs = np.stack([np.bincount(local, k, len(docs)) for k in xv.T], 1)
+                sq = np.bincount(local, (xv**2).sum(1), len(docs))
                 z = b + lin + 0.5 * ((vs**2).sum(1) - sq)
                 g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[docs]) / len(docs)
                 gb += g.sum() ** 2
                 b -= 0.1 * g.sum() / np.sqrt(gb)
-                dw, dv = np.zeros_like(w), np.zeros_like(v)
-                np.add.at(dw, s, g[local])
-                np.add.at(dv, s, g[local, None] * (vs[local] - v[s]))
-                on = np.unique(s)
-                dw, dv = dw[on] + 1e-5 * w[on], dv[on] + 1e-5 * v[on]
+                on, back = np.unique(s, return_inverse=True)
+                dw, dv = np.bincount(back, g[local] * x, len(on)), (g[local] * x)[:, None] * (vs[local] - xv)
+                dv = np.stack([np.bincount(back, k, len(on)) for k in dv.T], 1)
+                dw, dv = dw + 1e-5 * w[on], dv + 1e-5 * v[on]
                 gw[on] += dw**2
                 gv[on] += dv**2
                 w[on] -= 0.1 * dw / np.sqrt(gw[on])
@@ -114,8 +113,8 @@ class Machine:
         t, r = terms(data, offs)
         s = self.slot[t].astype(np.int64)
         on = s > 0
-        key = np.unique(r[on] * (TERMS + 1) + s[on])
-        r, s = key // (TERMS + 1), key % (TERMS + 1)
+        key = np.unique(r[on] * len(self.w) + s[on])
+        r, s = key // len(self.w), key % len(self.w)
         z = self.w0 + np.bincount(r, self.w[s], n)
         for f in range(FACTORS):
             x = self.v[s, f]
@@ -145,7 +144,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     """doc_id, held_out, score, predicted for every row."""
     rows, prior = labelled(docs, labels, sample=sample)
     machine = Machine([r[0] for r in rows], np.array([r[1] for r in rows]), prior)
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # fixed size: 2**BITS slots and TERMS weights
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # bounded: 2**BITS slots, and weights of at most as many terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
