@@ -1,22 +1,30 @@
 """Language-model scoring by a hashed maximum-entropy model with class-factored softmax.
 
 Counts.  Word counts of all training rows: every task sends the distinct words
-of its batches with counts to buckets by hash, which add them up.  Words with
-at least ``t`` occurrences are the vocabulary, ``t`` the least count that
-leaves at most ``VOCAB`` words (a fixed bound, so they are broadcast); the
-others form the rare class and never leave their buckets.
-
-Model.  P(word | history) = P(class | history) * P(word | class).  Classes are
-found by k-means on which of the ``NEAR`` commonest words stand next to a word,
-counted over all training rows; each word has one.  P(class |
-history) is a softmax over sums of weight rows, one for each active feature:
-bias, previous word, the word before it (skip), their pair, and the pair of
-their classes, hashed to ``ROWS`` rows.  P(word | class) is the maximum-entropy
-model with one indicator per word, whose optimum is the smoothed share of the
-word in its class.  Rows are trained by distributed gradient updates: every
-task takes AdaGrad steps over slices of all its training texts from common
-weights, and the tasks' weights are averaged by row block in Spark, weighted by
-tokens.  Every token of every training text is a target once.
+of its batches with counts to buckets by hash, which add them up.  The words
+with at least ``t`` occurrences are the vocabulary, ``t`` the least count that
+leaves at most ``room(N)`` words; the others form the rare class and never
+leave their buckets.
+
+Model.  P(word | history) = P(class | history) * P(member | class, history) *
+P(word | member).  Classes are found by k-means on which of the ``NEAR``
+commonest words stand next to a word, counted over all training rows; each
+word has one.  A class has ``CLASSES`` members: its commonest words by
+themselves, and its other words together.  Both softmaxes sum weight rows of
+the active features: bias, the previous word, the word before it (skip), their
+pair, and the pair of their classes; the second crosses each with the target's
+class.  Rows are hashed, and their number, like the vocabulary's, follows the
+square root of the training tokens up to ``MOST``, since all tasks hold them.
+P(word | member) and P(word | rare) are the optimum of one indicator per word:
+its smoothed share.
+
+Training.  The weights start from the features' own counts with each class.
+Then come ``ROUNDS`` distributed gradient updates, each on the texts of one
+residue of a hash of doc_id, so that every training token is a target once:
+every task sums over its texts how often each cell occurs beyond what the
+common weights expect, the sums are added over all tasks, and one step is
+taken.  A step depends on the sums alone, so scores don't depend on how rows
+fall to tasks.
 
 Scores.  The known part of a text's score needs the broadcast tables only.
 Rare words go to their buckets once per block of texts with the place of
@@ -39,18 +47,25 @@ from pyspark.sql import functions as F
 from quern.llm import textops as X
 from quern.llm.store import doc_hash, materialize, text_bytes
 
-VOCAB = 1 << 15
 CLASSES = 32
-ROWS = 1 << 14
 NEAR = 128
-RATE = 0.3
+ROUNDS = 3
+#: Bounds of the vocabulary and of the weight rows of a level: a broadcast of at most 270 MB.
+LEAST, MOST = 1 << 13, 1 << 20
+SHRINK, PULL, STEP = 4.0, 0.5, 0.4
+TASK_BYTES = 64 << 20
 BUCKET_BYTES = 12 << 20
 #: The hash that stands for a text's end.
 END = X.U(0x5EED0FE4D0C0FFEE)
-_BLOCK = 256  # weight rows in a message
+_BLOCK = 1 << 16  # cells in a message
 RARE = 0
 
 
+def room(n_tokens: int) -> int:
+    """Vocabulary and weight rows of a level for so many training tokens: a power of two."""
+    return min(MOST, max(LEAST, 1 << int(np.ceil(np.log2(2.0 * max(n_tokens, 1) ** 0.5)))))
+
+
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of words and ends, rows, rows' offsets): each row's words, then its end."""
     words = X.Words(X.LOWER[data], offs)
@@ -160,12 +175,19 @@ class Vocabulary:
         self.classes[n] = RARE
 
     def finish(self) -> None:
-        """log10 P(word | class) of each frequent word and the denominator of the rare class."""
+        """Members of each class, log10 P(word | member) and the denominator of the rare class."""
         n = len(self.keys)
-        mass = np.bincount(self.classes[:n], self.counts, CLASSES)
-        self.inside = np.log10(self.counts / np.maximum(mass[self.classes[:n]], 1)) if n else np.zeros(0)
+        own = self.classes[:n]
+        order = np.lexsort((self.keys, -self.counts, own))
+        starts = np.searchsorted(own[order], np.arange(CLASSES))
+        self.member = np.zeros(n + 1, np.int64)
+        self.member[order] = np.minimum(np.arange(n) - starts[own[order]], CLASSES - 1)
+        mass = np.bincount(own * CLASSES + self.member[:n], self.counts, CLASSES * CLASSES)
+        self.inside = np.append(np.log10(self.counts / np.maximum(mass[own * CLASSES + self.member[:n]], 1)), 0.0)
         rare_mass, rare_words = self.total - self.counts.sum(), self.distinct - n
         self.rare = float(np.log10(rare_mass + rare_words + 1))  # one more for words never met
+        mass[RARE * CLASSES] = max(rare_mass, 1)  # a class of one member, like the end's
+        self.mass = mass.reshape(CLASSES, CLASSES)
 
 
 def neighbours(train: DataFrame, vocab: Vocabulary) -> np.ndarray:
@@ -203,8 +225,8 @@ def neighbours(train: DataFrame, vocab: Vocabulary) -> np.ndarray:
     return side.reshape(n, wide)
 
 
-def features(at: np.ndarray, h: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Weight rows of each token's history: bias, previous, skip, pair, pair of classes."""
+def features(at: np.ndarray, h: np.ndarray, rows: np.ndarray, classes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weight rows of each token's history and class, by level: bias, class pair, previous, skip, pair."""
     n = len(h)
     one, two = np.full(n, END, X.U), np.full(n, END, X.U)
     c1, c2 = np.ones(n, np.int64), np.ones(n, np.int64)
@@ -214,76 +236,146 @@ def features(at: np.ndarray, h: np.ndarray, rows: np.ndarray, classes: np.ndarra
     if n > 2:
         in2 = rows[2:] == rows[:-2]
         two[2:][in2], c2[2:][in2] = h[:-2][in2], classes[at[:-2]][in2]
-    low = CLASSES * CLASSES + 1
-    put = lambda x: (X.mix(x) % X.U(ROWS - low)).astype(np.int64) + low
-    return np.stack([np.zeros(n, np.int64), 1 + c1 * CLASSES + c2, put(one + X.U(1)), put(two * X._Q + X.U(2)), put(X.mix(one) + two * X._P)], 1)
-
-
-def class_log_probs(weights: np.ndarray, f: np.ndarray, chunk: int = 16384) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(from, to, probabilities of classes) for runs of tokens."""
-    for a in range(0, len(f), chunk):
-        part = f[a : a + chunk]
-        z = weights[part[:, 0]]
-        for k in range(1, part.shape[1]):
-            z = z + weights[part[:, k]]
+    own, pair = classes[at], c1 * CLASSES + c2
+    history = (one + X.U(1), two * X._Q + X.U(2), X.mix(one) + two * X._P)
+
+    def put(x: np.ndarray, low: int) -> np.ndarray:
+        return (X.mix(x) % X.U(room - low)).astype(np.int64) + low
+
+    first = np.stack([np.zeros(n, np.int64), 1 + pair, *[put(x, 1 + CLASSES * CLASSES) for x in history]])
+    cross = own.astype(X.U) * X.U(0x9E3779B97F4A7C15)
+    second = np.stack([own, *[put(X.mix(x) + cross, CLASSES) for x in (pair.astype(X.U) + X.U(3), *history)]])
+    return first, second
+
+
+class Weights:
+    """Weight rows of both levels, a column for each class or member, and how they are learnt."""
+
+    def __init__(self, room: int) -> None:
+        self.room = room
+        self.w = np.zeros((2, room, CLASSES), np.float32)
+
+    def probabilities(self, level: int, f: np.ndarray) -> np.ndarray:
+        """Softmax over classes or members of each token (a row)."""
+        w = self.w[level]
+        z = w[f[0]]
+        for x in f[1:]:
+            z += w[x]
         z -= z.max(1, keepdims=True)
         np.exp(z, out=z)
         z /= z.sum(1, keepdims=True)
-        yield a, a + len(part), z
-
-
-def local_steps(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, weights: np.ndarray) -> tuple[np.ndarray, int]:
-    """Weights after AdaGrad steps over the texts, and the tokens used."""
-    w, g2, used = weights.copy(), np.full(ROWS, 1e-4, np.float32), 0
+        return z
+
+    def start(self, observed: np.ndarray, vocab: Vocabulary) -> None:
+        """From counts alone: biases are log shares, other rows of the first level the shrunken log ratio of their shares to the bias."""
+        share = observed[0][0] + 0.5
+        share /= share.sum()
+        o = observed[0][1:]
+        self.w[0][0] = np.log(share)
+        self.w[0][1:] = PULL * np.log((o + SHRINK * share) / ((o.sum(1, keepdims=True) + SHRINK) * share))
+        mass = vocab.mass / np.maximum(vocab.mass.sum(1, keepdims=True), 1)
+        self.w[1][:CLASSES] = np.where(mass > 0, np.log(np.maximum(mass, 1e-12)), -60.0)  # members that a class lacks are never chosen
+
+        # how much a part of the texts is expected to tell of each cell, which scales the steps
+        self.scale = []
+        for o in observed:
+            share = o.sum(0) / max(o.sum(), 1)
+            self.scale.append((o + o.sum(1, keepdims=True) * share) / (2 * ROUNDS) + SHRINK)
+
+    def step(self, gradient: np.ndarray) -> None:
+        """One gradient step on all cells."""
+        for w, g, scale in zip(self.w, gradient, self.scale):
+            w += STEP * np.clip(g / scale, -2.0, 2.0)
+
+
+def _tokens_of(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, room: int, chunk: int = 16384) -> Iterator[tuple]:
+    """Runs of training tokens: (features of the first level, classes, features of the second, members)."""
     for batch in batches:
-        for _, _, data, offs in X.slices(batch.column("text")):
+        for _, _, data, offs in X.slices(batch.column("text"), X.SMALL):
             h, rows, _ = tokens(data, offs)
             at = vocab.find(h)
-            f = features(at, h, rows, vocab.classes)
-            y = vocab.classes[at]
-            for a, z, p in class_log_probs(w, f, 4096):
-                p[np.arange(z - a), y[a:z]] -= 1
-                flat = f[a:z].ravel()
-                order = np.argsort(flat, kind="stable")
-                s = flat[order]
-                cut = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-                grad = np.add.reduceat(p[order // f.shape[1]], cut, axis=0) / np.float32(8)
-                own = s[cut]
-                g2[own] += (grad * grad).mean(1)
-                w[own] -= RATE * grad / np.sqrt(g2[own])[:, None]
-                used += z - a
-    return w, used
-
-
-def train_weights(train: DataFrame, vocab: Vocabulary) -> np.ndarray:
-    """One round of local steps in every task over all its rows, averaged in blocks of weight rows."""
-    spark = train.sparkSession
-    shared = spark.sparkContext.broadcast(vocab)
-    start = np.zeros((ROWS, CLASSES), np.float32)
-
-    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, used = local_steps(batches, shared.value, start)
-        if used:
-            n = ROWS // _BLOCK
-            yield pa.RecordBatch.from_pydict({"block": pa.array(range(n), pa.int32()), "used": pa.array([used] * n, pa.int64()), "w": pa.array([w[i * _BLOCK : (i + 1) * _BLOCK].astype(np.float16).tobytes() for i in range(n)], pa.binary())})
-
-    def average(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, used = np.zeros(_BLOCK * CLASSES, np.float64), 0
-        touched = np.zeros(_BLOCK * CLASSES, np.float64)
-        for t in tables:
-            for u, w in zip(t.column("used").to_pylist(), t.column("w").to_pylist()):
-                x = np.frombuffer(w, np.float16).astype(np.float64)
-                total += u * x
-                touched += u * (x != 0)
-                used += u
-        # a row that a task never touched has no say in its average
-        w = (total / np.maximum(touched, 1)).astype(np.float32)
-        yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "used": pa.array([used], pa.int64()), "w": pa.array([w.tobytes()], pa.binary())})
-
-    schema = "block int, used long, w binary"
-    out = start.copy()
-    for row in train.select("text").mapInArrow(X.tidy(steps), schema).groupBy("block").applyInArrow(average, schema).collect():
-        out[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["w"], np.float32).reshape(-1, CLASSES)
+            f, g = features(at, h, rows, vocab.classes, room)
+            y, m = vocab.classes[at], vocab.member[at]
+            inner = np.flatnonzero(y > 1)  # the rare class and the end have one member
+            for a in range(0, len(h), chunk):
+                z = min(a + chunk, len(h))
+                i = inner[np.searchsorted(inner, a) : np.searchsorted(inner, z)]
+                yield f[:, a:z], y[a:z], g[:, i], m[i]
+
+
+def observe(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, room: int) -> np.ndarray:
+    """How often each cell (level, row, class or member) occurs."""
+    out = np.zeros((2, room * CLASSES))
+    for f, y, g, m in _tokens_of(batches, vocab, room):
+        np.add.at(out[0], (f * CLASSES + y).ravel(), 1.0)
+        np.add.at(out[1], (g * CLASSES + m).ravel(), 1.0)
+    return out
+
+
+def gradient(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, weights: Weights) -> np.ndarray:
+    """How often each cell occurs beyond what the weights expect."""
+    room = weights.room
+    seen, out = np.zeros((2, room * CLASSES)), np.zeros((2, CLASSES, room))
+    for f, y, g, m in _tokens_of(batches, vocab, room):
+        for level, x, t in ((0, f, y), (1, g, m)):
+            np.add.at(seen[level], (x * CLASSES + t).ravel(), 1.0)
+            p = weights.probabilities(level, x).T.astype(np.float64)
+            flat = x.ravel()
+            for c in range(CLASSES):
+                out[level, c] += np.bincount(flat, np.tile(p[c], len(x)), room)
+    return seen.reshape(2, room, CLASSES) - out.transpose(0, 2, 1)
+
+
+def _summed(train: DataFrame, cells: int, run) -> np.ndarray:
+    """``run`` over the batches of each task, added over all tasks in blocks of cells."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = run(batches).reshape(-1)
+        for i in range(0, cells, _BLOCK):
+            part = got[i : i + _BLOCK]
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([i // _BLOCK], pa.int32()), "x": pa.array([part.astype("<f4").tobytes()], pa.binary())})
+
+    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(min(_BLOCK, cells))
+        for t in parts:
+            for x in t.column("x").to_pylist():
+                total += np.frombuffer(x, "<f4")
+        yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "x": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+
+    schema, out = "block int, x binary", np.zeros(cells, np.float32)
+    for row in train.select("text").mapInArrow(X.tidy(scan), schema).groupBy("block").applyInArrow(add, schema).toLocalIterator():
+        out[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["x"], "<f4")
+    return out
+
+
+def train_weights(train: DataFrame, vocab: Vocabulary, size: int) -> Weights:
+    """Counts of all cells, then a step for each part of the texts, on sums over all tasks; ``size`` (bytes) decides how many tasks."""
+    sc = train.sparkSession.sparkContext
+    weights = Weights(room(vocab.total))
+    cells, shape, shared = weights.w.size, weights.w.shape, sc.broadcast(vocab)
+    tasks = max(2 * sc.defaultParallelism, -(-size // TASK_BYTES))  # a task sends a whole table, so it reads more than one split
+    width = weights.room
+    observed = _summed(train.coalesce(tasks), cells, lambda b: observe(b, shared.value, width))
+    weights.start(observed.reshape(shape), vocab)
+    for r in range(ROUNDS):
+        now = sc.broadcast(weights)
+        part = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == r).coalesce(tasks)
+        weights.step(_summed(part, cells, lambda b, now=now: gradient(b, shared.value, now.value)).reshape(shape))
+    return weights
+
+
+def log_probs(vocab: Vocabulary, weights: Weights, at: np.ndarray, h: np.ndarray, rows: np.ndarray, chunk: int = 16384) -> np.ndarray:
+    """log10 P(token | history) of each token; of a rare one, of its class alone."""
+    f, g = features(at, h, rows, vocab.classes, weights.room)
+    y, m = vocab.classes[at], vocab.member[at]
+    out = vocab.inside[at]
+    inner = np.flatnonzero(y > 1)
+    for level, x, t, place in ((0, f, y, np.arange(len(h))), (1, g, m, inner)):
+        for a in range(0, len(place), chunk):
+            i = place[a : a + chunk]
+            p = weights.probabilities(level, x[:, i])
+            out[i] += np.log10(np.maximum(p[np.arange(len(i)), t[i]], 1e-30))
     return out
 
 
@@ -301,7 +393,7 @@ def _vocabulary(counts: DataFrame) -> Vocabulary:
     total, distinct = sum(r[2] for r in rows), sum(r[1] for r in rows)
     least, held = (1 << 20) + 1, 0
     for c, words, _ in reversed(rows):
-        if held + words > VOCAB:
+        if held + words > room(total):
             break
         least, held = c, held + words
 
@@ -318,36 +410,33 @@ def _vocabulary(counts: DataFrame) -> Vocabulary:
 def score(docs: DataFrame, held_out_mod: int = 7, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
-    buckets = max(32, -(-text_bytes(docs) // BUCKET_BYTES))
+    size = text_bytes(docs)
+    buckets = max(32, -(-size // BUCKET_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (doc_hash(held_out_mod) == held_out).alias("held_out"), "text")
     train = rows.where("not held_out")
     counts = materialize(word_counts(train, buckets), "counts")
     vocab = _vocabulary(counts)
     vocab.classify(neighbours(train, vocab))
     vocab.finish()
-    weights = train_weights(train, vocab)
+    weights = train_weights(train, vocab, size)
     shared = spark.sparkContext.broadcast((vocab, weights))
     block = 4096
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, weights = shared.value
         known = np.append(np.log10(vocab.counts + 1.0), 0.0)
-        inside = np.append(vocab.inside, 0.0)
         denominator = np.log10(vocab.total + vocab.distinct + 1.0)
         for batch in batches:
             rid, keys, whose, out = batch.column("rid").to_numpy(), [], [], []
             for i, _, data, offs in X.slices(batch.column("text"), X.SMALL):
                 h, rows, first = tokens(data, offs)
                 at = vocab.find(h)
-                cls = vocab.classes[at]
-                lp = inside[at]
-                f = features(at, h, rows, vocab.classes)
-                for a, z, p in class_log_probs(weights, f):
-                    lp[a:z] += np.log10(np.maximum(p[np.arange(z - a), cls[a:z]], 1e-30))
+                lp = log_probs(vocab, weights, at, h, rows)
                 rare = at == len(vocab.keys)
                 lp[rare] -= vocab.rare
                 n = np.diff(first)
-                out.append((n, X.row_sums(~rare, first), X.row_sums(known[at], first) - n * denominator, X.row_sums(lp, first)))
+                # every row has a token, its end; sums stay within rows, so that long texts lose no digits
+                out.append((n, X.row_sums(~rare, first), np.add.reduceat(known[at] - denominator, first[:-1]), np.add.reduceat(lp, first[:-1])))
                 keys.append(h[rare]), whose.append(rid[i + rows[rare]])
             n, n_known, base, full = (np.concatenate([o[x] for o in out]) for x in range(4)) if out else [np.zeros(0)] * 4
             yield _row(rid=batch.column("rid"), doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), n_tokens=n, n_known=n_known, base=base, full=full, size=batch.num_rows)
