@@ -157,7 +157,8 @@ def training_rows(docs: DataFrame, sample: int) -> list[tuple[str, str]]:
         return []
     chosen = docs.sparkSession.createDataFrame(chosen, "doc_id long, lang string")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"], docs["text"]).where("text is not null")
-    rows = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).collect()
+    # ids may repeat any number of times: one text of each
+    rows = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text")).collect()
     return [(r[2], r[1]) for r in sorted(rows, key=lambda r: (r[0] or 0, r[1], r[2]))]
 
 

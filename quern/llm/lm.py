@@ -240,7 +240,7 @@ def features(at: np.ndarray, h: np.ndarray, rows: np.ndarray, classes: np.ndarra
     history = (one + X.U(1), two * X._Q + X.U(2), X.mix(one) + two * X._P)
 
     def put(x: np.ndarray, low: int) -> np.ndarray:
-        return (X.mix(x) % X.U(room - low)).astype(np.int64) + low
+        return ((X.mix(x) >> X.U(32)) * X.U(room - low) >> X.U(32)).astype(np.int64) + low
 
     first = np.stack([np.zeros(n, np.int64), 1 + pair, *[put(x, 1 + CLASSES * CLASSES) for x in history]])
     cross = own.astype(X.U) * X.U(0x9E3779B97F4A7C15)
@@ -261,9 +261,8 @@ class Weights:
         z = w[f[0]]
         for x in f[1:]:
             z += w[x]
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
+        np.exp(z, out=z)  # weights are bounded, so no sum overflows
+        z /= np.maximum(z.sum(1, keepdims=True), np.float32(1e-30))
         return z
 
     def start(self, observed: np.ndarray, vocab: Vocabulary) -> None:
@@ -286,6 +285,7 @@ class Weights:
         """One gradient step on all cells."""
         for w, g, scale in zip(self.w, gradient, self.scale):
             w += STEP * np.clip(g / scale, -2.0, 2.0)
+            np.clip(w, -60.0, 12.0, out=w)
 
 
 def _tokens_of(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, room: int, chunk: int = 16384) -> Iterator[tuple]:

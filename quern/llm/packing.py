@@ -7,17 +7,22 @@ token capacity left, and a tail that overflows one continues in the next.  A
 block opens as many sequences as its tokens need, so at most one sequence's
 worth of padding is left per block of ``BLOCK_DOCS`` documents.
 
-Blocks are cut by a hash of doc_id; their number follows the row count, so a
-block stays bounded and packing needs one shuffle, of tails only.
-
-Defined cases: null or empty text is the end token alone; repeated rows are
-packed as separate documents; an empty table gives no pieces.
+Blocks are cut by a hash of a row number written with the tokens; their number
+follows the row count, so a block stays bounded even where ids repeat, and
+packing needs one shuffle, of tails only.
+
+Defined cases: null or empty text is the end token alone; a special token of
+the tokenizer in a text is its own id; repeated rows and ids are packed as
+separate documents; a very long text is cut into full sequences where it is
+read; an empty table gives no pieces.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,18 +41,25 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Encoder(dict):
-    """Ids of texts as little-endian 32-bit bytes, by a byte-level BPE rank file.
+    """Ids of texts as little-endian 32-bit bytes, by a byte-level BPE rank file and the tokenizer's own file.
 
-    A text is cut at each single space between two other characters, where the
-    pre-tokenizer always cuts, and the ids of each piece are remembered.  Texts
+    A text is cut at the special tokens that the latter adds, which stand for
+    their ids, and at each single space between two other characters, where
+    the pre-tokenizer always cuts; the ids of each piece are remembered.  Parts
     with other spacing are encoded as one.
     """
 
-    def __init__(self, ranks_file: str) -> None:
+    def __init__(self, ranks_file: str, tokenizer_file: str) -> None:
         import tiktoken
 
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(tokenizer_file, encoding="utf-8") as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        if max([*ranks.values(), *added.values()]) >= 1 << 16:
+            raise ValueError("tails hold 16-bit ids")
+        self.special = {text: np.array([i], "<u4").tobytes() for text, i in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.bpe = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __missing__(self, piece: str) -> bytes:
@@ -64,6 +76,11 @@ class Encoder(dict):
         return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        if self.cut and self.cut.search(text):
+            return b"".join(self.special.get(part) or self._part(part) for part in self.cut.split(text) if part)
+        return self._part(text)
+
+    def _part(self, text: str) -> bytes:
         head, *rest = text.split(" ")
         if not head or head[-1].isspace():
             return self._whole(text)
@@ -73,20 +90,24 @@ class Encoder(dict):
             return self._whole(text)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(*files: str) -> Encoder:
+    if files not in _ENCODERS:
+        _ENCODERS[files] = Encoder(*files)
+    return _ENCODERS[files]
 
 
-def tokenize(docs: DataFrame, ranks_file: str, end_id: int = 0, length: int = LENGTH) -> DataFrame:
-    """doc_id, doc_tokens, crcs of the full sequences (32-bit) and the ids of the tail (16-bit)."""
+def tokenize(docs: DataFrame, ranks_file: str, tokenizer_file: str | None = None, end_id: int = 0, length: int = LENGTH) -> DataFrame:
+    """row number, doc_id, doc_tokens, crcs of the full sequences (32-bit) and the ids of the tail (16-bit); materialize it, which fixes the numbers.
+
+    Without ``tokenizer_file``, that of the ranks' name is taken.
+    """
+    tokenizer_file = tokenizer_file or ranks_file.removesuffix(".tiktoken") + ".json"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, full = encoder(ranks_file), np.array([end_id], "<u4").tobytes(), 4 * length
+        enc, end, full = encoder(ranks_file, tokenizer_file), np.array([end_id], "<u4").tobytes(), 4 * length
         for batch in batches:
             tokens, crcs, tails = [], [], []
             for value in batch.column("text"):
@@ -95,9 +116,10 @@ def tokenize(docs: DataFrame, ranks_file: str, end_id: int = 0, length: int = LE
                 tokens.append(len(ids) // 4)
                 crcs.append(np.array([zlib.crc32(ids[i : i + full]) for i in range(0, cut, full)], "<u4").tobytes())
                 tails.append(np.frombuffer(ids[cut:], "<u4").astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(crcs, pa.binary()), pa.array(tails, pa.binary())], names=["doc_id", "doc_tokens", "crcs", "tail"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(crcs, pa.binary()), pa.array(tails, pa.binary())], names=["row", "doc_id", "doc_tokens", "crcs", "tail"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, doc_tokens long, crcs binary, tail binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(scan, "row long, doc_id long, doc_tokens long, crcs binary, tail binary")
 
 
 def assign(sizes: list[int], length: int) -> list[tuple[int, int, int, int, int]]:
@@ -143,5 +165,5 @@ def pack(tokens: DataFrame, length: int = LENGTH, block_docs: int = BLOCK_DOCS)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         return pa.table({**{n: pa.array(c, pa.int64()) for n, c in zip(names, cols)}, "cost": pa.array(cost, pa.float64())})
 
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
+    block = F.pmod(F.xxhash64("row"), F.lit(blocks))
     return tokens.withColumn("block", block).groupBy("block").applyInArrow(run, PIECES)

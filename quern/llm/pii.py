@@ -1,22 +1,28 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Four base kinds are matched by pattern and checked (octets, Luhn, digits).
-A binary skip-chain CRF over a document's words then looks for more: words
-have shape and context features, neighbours share a potential, and so do
-consecutive occurrences of a word with the same letters and digits (whatever
-its case and punctuation), however far apart.  Loopy belief propagation gives
-each word's marginal; words on a base span are clamped.  A word with a
-marginal of at least ``MIN_MARGINAL`` that is linked to a base span becomes a
-span of that span's kind, so labels are consistent across the document.
+A skip-chain CRF with one label for each kind and one for none then looks for
+more, in every document that has candidates.  Its nodes are words that hold an
+@ or four digits; neighbouring words of digits and signs make one node, so a
+number written with spaces is one.  A node has shape and context features;
+nodes that stand next to each other share a potential, and so do, however far
+apart, nodes whose letters and digits are equal whatever their case, signs and
+spaces (repeated), or whose part before the @ or last seven digits are equal
+(similar).  Like nodes are linked to the first of them on a base span, or,
+where none is, each to the next.  Loopy belief propagation runs until the messages
+settle and gives each node's marginals; nodes on a base span are clamped to
+its kind.  A node becomes a span of a kind whose marginal is at least
+``MIN_MARGINAL``, so labels are consistent across the document.
 
 Weights are trained by pseudo-likelihood in numpy on the driver, on at most
-``SAMPLE`` rows with a base match, by a hash of doc_id, with base spans as
-labels and shape features dropped at random so that context and links count.
-Links join consecutive occurrences, so a word repeated n times has n - 1.
-
-Defined cases: null or empty text has no spans; a document without a base
-match has no linked word and so no added span; repeated rows are scanned
-alike; an empty table gives no rows and needs no model.
+``SAMPLE`` rows of at most ``SAMPLE_BYTES`` bytes, by a hash of doc_id, with
+base spans as labels and features dropped at random so that context and links
+count; nodes that are like a labelled one but match no pattern are left out.  A value met n times has n - 1 links.  What repeated and similar nodes
+share starts from ``SHARE`` and is never less.
+
+Defined cases: null or empty text has no spans; a document without candidates
+has no added span; repeated rows are scanned alike; a very long text is one
+graph; an empty table gives no rows and needs no model.
 """
 
 from __future__ import annotations
@@ -39,10 +45,13 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Cheap tests by a linear-time engine; a text without these has no match of the kind.
 _MAY = [r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", r"(?:[0-9][ -]?){13}[0-9]", r"\+[0-9][ ().0-9-]+[0-9]"]
-SAMPLE = 1000
+SAMPLE, SAMPLE_BYTES = 4000, 1 << 15
 MIN_MARGINAL = 0.9
-SWEEPS = 5
+#: Messages settle when none changes by more; loops that don't settle are left after so many sweeps beyond the nodes of a chain.
+SETTLED, LOOPS = 1e-3, 200
 _SLOTS = 4096
+SHARE = (0.0, 10.0, 7.0)  # neighbours, repeated, similar
+_LABELS = len(KINDS) + 1  # the last is none
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -96,53 +105,95 @@ _UPPER[65:91] = 1
 _PUNCT = np.ones(256, np.uint8)
 _PUNCT[X.ALNUM] = 0
 _PUNCT[65:91] = 0
+_NUMBER = np.zeros(256, np.uint8)  # what a number written in groups is made of
+_NUMBER[48:58] = 1
+_NUMBER[list(b"+-.()")] = 1
+_CLOSE = np.zeros(256, bool)
+_CLOSE[list(b",;:!?.")] = True
 
 
 class Graph:
-    """Words of some texts: positions in code points, features, and links between like words."""
+    """Candidate nodes of some texts: positions in code points, features, and links between like nodes."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray) -> None:
         words = X.Words(data, offs)
-        n, self.rows = len(words), words.rows
-        points = np.zeros(len(data) + 1, np.int64)
-        np.cumsum((data & 0xC0) != 0x80, out=points[1:])
-        base = points[offs[:-1]][self.rows]
-        self.start, self.stop = points[words.starts] - base, points[words.ends] - base
-        self.words = words
-
-        def within(flags: np.ndarray) -> np.ndarray:
-            c = np.zeros(len(data) + 1, np.int64)
-            np.cumsum(flags, out=c[1:])
-            return c[words.ends] - c[words.starts]
-
-        digits, upper, punct, size = within(_DIGIT[data]), within(_UPPER[data]), within(_PUNCT[data]), words.ends - words.starts
+        counts = {}
+
+        def within(name: str, flags: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+            if name not in counts:
+                counts[name] = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+            return counts[name][stop] - counts[name][start]
+
+        starts, ends, rows = words.starts, words.ends, words.rows
+        closed = _CLOSE[data[ends - 1]] if len(ends) else np.zeros(0, bool)  # a comma, say, ends a number
+        number = (within("number", _NUMBER[data], starts, ends - closed) == ends - closed - starts) & (within("digit", _DIGIT[data], starts, ends) > 0)
+        joined = np.zeros(len(starts), bool)  # with the word before: one space between two numbers of a row
+        joined[1:] = number[1:] & number[:-1] & ~closed[:-1] & (starts[1:] - ends[:-1] == 1) & (rows[1:] == rows[:-1])
+        first = np.flatnonzero(~joined)
+        last = np.append(first[1:], len(starts)) - 1
+        starts, ends, rows = starts[first], ends[last], rows[first]
         h = words.hashes()
-        prev, nxt = np.roll(h, 1), np.roll(h, -1)
+        before = np.where(first > 0, h[np.maximum(first - 1, 0)], X.U(1))
+        after = np.where(last < len(h) - 1, h[np.minimum(last + 1, max(len(h) - 1, 0))], X.U(2)) if len(h) else h
+        digits, at_sign = within("digit", _DIGIT[data], starts, ends), within("at", data == 64, starts, ends)
+        on = np.flatnonzero((digits >= 4) | ((at_sign > 0) & (ends - starts > at_sign)))
+        starts, ends, self.rows, digits, at_sign, before, after = starts[on], ends[on], rows[on], digits[on], at_sign[on], before[on], after[on]
+        self.n_rows = len(offs) - 1
+        self.first = np.searchsorted(self.rows, np.arange(self.n_rows + 1))
+        upper, punct = within("upper", _UPPER[data], starts, ends), within("punct", _PUNCT[data], starts, ends)
         shape = np.minimum(digits, 20) * 4 + np.minimum(punct, 3)
         slot = lambda x, k: (X.mix(x.astype(X.U) * X.U(16) + X.U(k)) >> X.U(52)).astype(np.int64)
-        at_sign = within(data == 64)
-        self.features = np.stack([slot(shape, 1), slot(np.minimum(size, 40), 2), slot(at_sign * 2 + (upper > 0), 3), slot(prev, 4), slot(nxt, 5)], 1) if n else np.zeros((0, 5), np.int64)
-        # the letters and digits of each word, whatever its case
+        plus = data[starts] == 43 if len(starts) else np.zeros(0, bool)
+        # whether what looks like a card or an address holds what such a number must
+        check = np.zeros(len(starts), np.int64)
+        dots = within("dot", data == 46, starts, ends)
+        for i in np.flatnonzero(((digits >= 14) & (digits <= 19)) | ((dots >= 3) & (at_sign == 0))).tolist():
+            said = data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace")
+            octets = [x for x in re.split(r"[^0-9]+", said) if x]
+            check[i] = 1 + luhn(_digits(said)) if digits[i] >= 14 else 3 + (len(octets) == 4 and all(len(x) < 4 and int(x) < 256 for x in octets))
+        self.features = np.stack([slot(shape, 1), slot(np.minimum(ends - starts, 40), 2), slot(at_sign * 4 + (upper > 0) * 2 + plus, 3), slot(before, 4), slot(after, 5), slot(check, 6)], 1)
+        # letters and digits alone, whatever the case; and of these what like values share
         low = X.LOWER[data]
         kept = X.ALNUM[low]
-        c = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(kept, out=c[1:])
-        bare = X.span_hashes(X.byte_sums(low[kept]), c[words.starts], c[words.ends])
-        linkable = np.flatnonzero((c[words.ends] - c[words.starts] >= 4) & ((digits >= 4) | (at_sign > 0)))
-        key = X.mix(bare[linkable] + (self.rows[linkable].astype(X.U) + X.U(1)) * X._P)
-        order = linkable[np.argsort(key, kind="stable")]
-        key = np.sort(key)
-        same = key[1:] == key[:-1]
-        self.left, self.right = order[:-1][same], order[1:][same]
-        near = self.rows[1:] == self.rows[:-1]
-        self.chain = np.flatnonzero(near)
+        c = np.concatenate([[0], np.cumsum(kept, dtype=np.int64)])
+        sums = X.byte_sums(low[kept])
+        # spans go from the first letter or digit, or the plus before it, to the last
+        at = np.flatnonzero(kept)
+        a, z = at[c[starts]] if len(starts) else starts, at[c[ends] - 1] + 1 if len(starts) else ends
+        a = a - ((a > starts) & (data[np.maximum(a - 1, 0)] == 43)) if len(starts) else a
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])
+        base = points[offs[:-1]][self.rows]
+        self.start, self.stop = points[a] - base, points[z] - base
+        bare = X.span_hashes(sums, c[starts], c[ends])
+        signs = np.flatnonzero(data == 64)
+        cut = signs[np.minimum(np.searchsorted(signs, starts), max(len(signs) - 1, 0))] if len(signs) else starts
+        cut = np.where(at_sign > 0, cut, ends)
+        like_from = np.where(at_sign > 0, c[starts], np.maximum(c[starts], c[ends] - 7))
+        like = X.span_hashes(sums, like_from, c[cut])
+        can = (c[cut] - like_from >= 4) & ((at_sign > 0) | (digits >= 7))
+        self.chain = np.flatnonzero((self.rows[1:] == self.rows[:-1]) & (starts[1:] - ends[:-1] <= 1)) if len(starts) > 1 else np.zeros(0, np.int64)
+        self.keys = [(bare, np.arange(len(on))), (like ^ X.U(1), np.flatnonzero(can))]
+
+    def _linked(self, key: np.ndarray, among: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Like nodes of a row: from the first on a base span to all others, else from each to the next."""
+        key = X.mix(key[among] + (self.rows[among].astype(X.U) + X.U(1)) * X._P)
+        order = np.lexsort((among, kind[among] < 0, key))
+        among, key = among[order], key[order]
+        same = np.append(False, key[1:] == key[:-1])[: len(key)]
+        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(key)))) if len(key) else np.zeros(0, np.int64)
+        to = np.flatnonzero(same)
+        star = kind[among[head[to]]] >= 0
+        return among[np.where(star, head[to], to - 1)], among[to]
+
+    def edges(self, kind: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Neighbours, repeated nodes, similar nodes; ``kind`` is that of the base span on each node."""
+        return [(self.chain, self.chain + 1), *[self._linked(key, among, kind) for key, among in self.keys]]
 
     def on_spans(self, spans: list[list[tuple[int, int, int]]]) -> np.ndarray:
-        """The kind of the base span that each word lies on, -1 for none."""
+        """The kind of the base span that each node lies on, -1 for none."""
         out = np.full(len(self.rows), -1, np.int64)
-        first = self.words.first
         for r, own in enumerate(spans):
-            a, z = first[r], first[r + 1]
+            a, z = self.first[r], self.first[r + 1]
             for s, kind, e in own:
                 lo = a + np.searchsorted(self.stop[a:z], s, "right")
                 hi = a + np.searchsorted(self.start[a:z], e, "left")
@@ -151,57 +202,71 @@ class Graph:
 
 
 class Crf:
-    """Unary weights by feature slot, and the potentials that neighbours and linked words share."""
+    """Unary weights by feature slot and label, and what neighbours, repeated and similar nodes gain by one label."""
 
     def __init__(self) -> None:
-        self.w, self.bias, self.chain, self.skip = np.zeros(_SLOTS), -4.0, 0.0, 0.5
-
-    def train(self, graph: Graph, y: np.ndarray, epochs: int = 60) -> None:
-        rng = np.random.Generator(np.random.PCG64(5))
-        s = 2.0 * y - 1
-        near, far = np.zeros(len(y)), np.zeros(len(y))
-        near[graph.chain] += s[graph.chain + 1]
-        near[graph.chain + 1] += s[graph.chain]
-        np.add.at(far, graph.left, s[graph.right])
-        np.add.at(far, graph.right, s[graph.left])
-        # every word on a span, every linked word and a tenth of the others
-        use = np.flatnonzero((y > 0) | (far != 0) | (rng.random(len(y)) < 0.1))
-        if not len(use):
+        self.w = np.zeros((_SLOTS, _LABELS), np.float32)
+        self.bias = np.append(np.zeros(len(KINDS)), 4.0)
+        self.share = np.array(SHARE)
+
+    def train(self, graphs: list[tuple[Graph, np.ndarray]], epochs: int = 80) -> None:
+        """Pseudo-likelihood steps over all nodes of some graphs, given the kinds of their base spans."""
+        n = sum(len(kind) for _, kind in graphs)
+        if not n:
             return
-        f, near, far, y = graph.features[use], near[use], far[use], y[use]
-        total, g2 = np.zeros(3), np.full(3, 1e-3)
-        gw = np.full(_SLOTS, 1e-3)
+        rng = np.random.Generator(np.random.PCG64(5))
+        kind = np.concatenate([k for _, k in graphs])
+        target = np.eye(_LABELS)[np.where(kind < 0, _LABELS - 1, kind)]
+        near, at = np.zeros((3, n, _LABELS)), 0  # how many of a node's partners bear each label
+        for graph, own in graphs:
+            for k, (a, b) in enumerate(graph.edges(own)):
+                np.add.at(near[k], a + at, target[b + at])
+                np.add.at(near[k], b + at, target[a + at])
+            at += len(own)
+        # a node without a match that is like one with a match: the patterns can't tell its label
+        sure = ((kind >= 0) | (near[1:, :, :-1].sum((0, 2)) == 0))[:, None] / n
+        gw, gb, gs = np.full(self.w.shape, 1e-4), np.full(_LABELS, 1e-4), np.full(3, 1e-4)
+        f = np.concatenate([g.features for g, _ in graphs])
         for _ in range(epochs):
             seen = rng.random(f.shape) < 0.5
-            z = self.bias + (self.w[f] * seen).sum(1) + self.chain * near + self.skip * far
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-            dw = np.bincount(f.ravel(), (g[:, None] * seen).ravel(), _SLOTS) + 1e-6 * self.w
+            z = self.bias + sum(self.w[f[:, k]] * seen[:, k, None] for k in range(f.shape[1])) + np.tensordot(self.share, near, 1)
+            p = np.exp(z - z.max(1, keepdims=True))
+            g = (p / p.sum(1, keepdims=True) - target) * sure
+            dw = np.stack([np.bincount(f.ravel(), (g[:, c, None] * seen).ravel(), _SLOTS) for c in range(_LABELS)], 1) + 1e-5 * self.w
             gw += dw**2
-            self.w -= 0.5 * dw / np.sqrt(gw)
-            total[:] = g.sum(), (g * near).sum(), (g * far).sum()
-            g2 += total**2
-            step = 0.3 * total / np.sqrt(g2)
-            self.bias, self.chain, self.skip = self.bias - step[0], max(0.0, self.chain - step[1]), max(0.0, self.skip - step[2])
-
-    def marginals(self, graph: Graph, clamped: np.ndarray) -> np.ndarray:
-        """P(personal) of each word by loopy belief propagation; messages are log odds."""
+            self.w -= (0.3 * dw / np.sqrt(gw)).astype(np.float32)
+            db, ds = g.sum(0), (g * near).sum((1, 2))
+            gb, gs = gb + db**2, gs + ds**2
+            self.bias = self.bias - 0.1 * db / np.sqrt(gb)
+            self.share = np.maximum(SHARE, self.share - 0.1 * ds / np.sqrt(gs))
+
+    def marginals(self, graph: Graph, kind: np.ndarray) -> np.ndarray:
+        """Probabilities of the labels of each node, those on base spans clamped; messages are log probabilities."""
         n = len(graph.rows)
-        unary = self.bias + self.w[graph.features].sum(1) if n else np.zeros(0)
-        unary[clamped] = 30.0
-        a = np.concatenate([graph.chain, graph.left])
-        b = np.concatenate([graph.chain + 1, graph.right])
-        j = np.concatenate([np.full(len(graph.chain), self.chain), np.full(len(graph.left), self.skip)])
-        src, dst, j = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([j, j])
-        half, back = len(a), np.zeros(0)
-        msg = np.zeros(2 * half)
-        for _ in range(SWEEPS):
-            belief = unary + np.bincount(dst, msg, n)
-            back = np.concatenate([msg[half:], msg[:half]])
-            into = np.clip(belief[src] - back, -30, 30)
-            # log odds through a coupling exp(+j) for like, exp(-j) for unlike labels
-            msg = np.logaddexp(into + j, -j) - np.logaddexp(into - j, j)
-        z = unary + np.bincount(dst, msg, n)
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        unary = self.bias + sum(self.w[graph.features[:, k]] for k in range(graph.features.shape[1])) if n else np.zeros((0, _LABELS))
+        on = kind >= 0
+        unary[on] = np.where(np.arange(_LABELS) == kind[on, None], 0.0, -1e6)
+        pairs = graph.edges(kind)
+        a, b = (np.concatenate([p[x] for p in pairs]) for x in (0, 1))
+        gain = np.repeat(np.exp(np.minimum(self.share, 12.0)) - 1, [len(p[0]) for p in pairs])
+        src, dst, gain, half = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([gain, gain])[:, None], len(a)
+        msg = np.zeros((2 * half, _LABELS))
+        for sweep in range(n + LOOPS if half else 0):
+            belief = unary + np.stack([np.bincount(dst, msg[:, c], n) for c in range(_LABELS)], 1)
+            into = belief[src] - np.concatenate([msg[half:], msg[:half]])
+            into = np.exp(into - into.max(1, keepdims=True))
+            # a label's own weight counts exp(share) times, all others once
+            new = np.log(into * gain + into.sum(1, keepdims=True))
+            new -= new.max(1, keepdims=True)
+            if sweep > n:
+                new = 0.5 * (new + msg)  # damped where loops keep messages going round
+            change = np.abs(new - msg).max()
+            msg = new
+            if change < SETTLED:
+                break
+        z = unary + np.stack([np.bincount(dst, msg[:, c], n) for c in range(_LABELS)], 1) if half else unary
+        p = np.exp(z - z.max(1, keepdims=True)) if n else z
+        return p / p.sum(1, keepdims=True) if n else p
 
 
 def _scan(texts: pa.Array) -> list[list[tuple[int, int, int]]]:
@@ -210,26 +275,24 @@ def _scan(texts: pa.Array) -> list[list[tuple[int, int, int]]]:
     return [base_spans(texts[i].as_py(), m) if any(m) else [] for i, m in enumerate(zip(*may))]
 
 
-def training_graph(texts: list[str]) -> tuple[Graph, np.ndarray] | None:
+def training_graphs(texts: list[str]) -> list[tuple[Graph, np.ndarray]]:
+    """Graphs of slices of the texts, with the kinds of their base spans."""
     arr = pa.array(texts, pa.string())
     spans = _scan(arr)
-    data, offs = X.buffers(arr)
-    if not len(data):
-        return None
-    graph = Graph(data[offs[0] : offs[-1]], offs - offs[0])
-    return graph, (graph.on_spans(spans) >= 0).astype(float)
+    out = []
+    for i, j, data, offs in X.slices(arr, X.SMALL):
+        graph = Graph(data, offs)
+        out.append((graph, graph.on_spans(spans[i:j])))
+    return out
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Crf:
-    """A CRF from at most ``sample`` rows with what looks like a base match."""
+    """A CRF from at most ``sample`` rows, by hash of doc_id; the texts of the rows chosen are all that is read twice."""
     crf = Crf()
-    like = docs.where(F.col("text").rlike("|".join(_MAY))).select(F.xxhash64("doc_id").alias("h"), "text")
-    least = like.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select(F.xxhash64("doc_id").alias("h"), "text")
+    least = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if least is not None:
-        rows = like.where(F.col("h") <= least).limit(2 * sample).collect()
-        made = training_graph([r[1] for r in sorted(rows)])
-        if made:
-            crf.train(*made)
+        crf.train(training_graphs([r[1] for r in sorted(rows.where(F.col("h") <= least).limit(2 * sample).collect())]))
     return crf
 
 
@@ -249,22 +312,12 @@ def find_pii(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             texts = batch.column("text")
             base = _scan(texts)
             added: dict[int, list[tuple[int, int, int]]] = {}
-            having = [i for i, s in enumerate(base) if s]
-            picked = texts.take(pa.array(having, pa.int64()))
-            for i, j, data, offs in X.slices(picked, X.SMALL):
+            for i, j, data, offs in X.slices(texts, X.SMALL):
                 graph = Graph(data, offs)
-                kind = graph.on_spans([base[k] for k in having[i:j]])
-                if not len(graph.left):
-                    continue
-                p = crf.marginals(graph, kind >= 0)
-                # kinds travel along links, from earlier to later and back
-                reach = kind.copy()
-                for a, b in ((graph.left, graph.right), (graph.right[::-1], graph.left[::-1])):
-                    for x, y in zip(a.tolist(), b.tolist()):
-                        if reach[y] < 0:
-                            reach[y] = reach[x]
-                for w in np.flatnonzero((kind < 0) & (reach >= 0) & (p >= MIN_MARGINAL)).tolist():
-                    added.setdefault(having[i + int(graph.rows[w])], []).append((int(graph.start[w]), int(reach[w]), int(graph.stop[w])))
+                kind = graph.on_spans(base[i:j])
+                p = crf.marginals(graph, kind)
+                for w in np.flatnonzero((kind < 0) & (p[:, :-1].max(1, initial=0) >= MIN_MARGINAL)).tolist():
+                    added.setdefault(i + int(graph.rows[w]), []).append((int(graph.start[w]), int(p[w, :-1].argmax()), int(graph.stop[w])))
             out = [[{"start": s, "kind": k, "stop": e, "base": b} for s, k, e, b in sorted([(*x, True) for x in own] + [(*x, False) for x in added.get(i, [])])] for i, own in enumerate(base)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out, _ARROW)], names=[*kept, "pii"])
 

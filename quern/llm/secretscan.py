@@ -8,7 +8,8 @@ live.  Base spans always stay; a generic token becomes a span if it is live.
 
 Defined cases: null or empty text has no spans; repeated rows are scanned
 alike and count as one owner; an empty table gives no rows; a null owner
-counts as no owner.
+counts as no owner, and where a value has none, its repositories count; a very
+long text is scanned whole.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ _MAY = [r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "AKIA[A-Z0
 #: Owners from which on a value counts as a copied example.
 WIDE_OWNERS = 3
 MIN_BITS = 3.0
+SALTS = 64
 _SPAN = "array<struct<start:long,kind:int,stop:long>>"
 _CAND = "array<struct<start:long,kind:int,stop:long,value:binary,live:boolean>>"
 
@@ -82,18 +84,24 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"rid long, doc_id long, repo string, owner string, found {_CAND}")
 
 
-def find_secrets(docs: DataFrame, repo: str = "source", owner: str = "source", wide_owners: int = WIDE_OWNERS) -> DataFrame:
+def find_secrets(docs: DataFrame, repo: str = "source", owner: str | None = None, wide_owners: int = WIDE_OWNERS) -> DataFrame:
     """doc_id and spans (start, kind index, stop, verdict ``live``, ``example`` or ``weak``) of every row.
 
-    ``repo`` and ``owner`` name the columns whose distinct values are counted.
+    ``repo`` and ``owner`` name the columns whose distinct values are counted;
+    without ``owner`` it is what stands before the first slash of ``repo``.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"], docs[repo].cast("string").alias("repo"), docs[owner].cast("string").alias("owner"))
+    whose = F.substring_index(docs[repo].cast("string"), "/", 1) if owner is None else docs[owner].cast("string")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"], docs[repo].cast("string").alias("repo"), whose.alias("owner"))
     rows = materialize(scan(rows), "secrets")
     each = rows.where(F.size("found") > 0).select("rid", "repo", "owner", F.explode("found").alias("c")).select("rid", "repo", "owner", "c.*")
     held = each.groupBy("value", "repo", "owner").agg(F.max("live").alias("live"))
     spread = held.groupBy("value").agg(F.countDistinct("repo").alias("repos"), F.countDistinct("owner").alias("owners"))
-    verdict = F.when(F.greatest("repos", "owners") >= wide_owners, "example").when(F.col("live"), "live").otherwise("weak")
-    judged = each.join(spread, "value").withColumn("verdict", verdict).where("kind < 3 or verdict = 'live'")
+    # the forks of one owner say little: owners decide, and repositories where owners are unknown
+    wide = spread.where((F.col("owners") >= wide_owners) | ((F.col("owners") == 0) & (F.col("repos") >= wide_owners))).select("value", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("wide"))
+    verdict = F.when(F.col("wide"), "example").when(F.col("live"), "live").otherwise("weak")
+    # a value that a third of all rows hold is dealt to SALTS tasks
+    salted = each.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
+    judged = salted.join(wide, ["value", "salt"], "left").withColumn("verdict", verdict).where("kind < 3 or verdict = 'live'")
     spans = judged.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "verdict"))).alias("spans"))
     return rows.select("rid", "doc_id").join(spans, "rid", "left").select("doc_id", F.coalesce("spans", F.array().cast("array<struct<start:bigint,kind:int,stop:bigint,verdict:string>>")).alias("spans"))
 

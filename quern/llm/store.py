@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, or an own one where none is set (local runs, tests)."""
+    """The folder that the cluster shares; where none is set, one in the warehouse, and a local one only if all runs in one process."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="quern-")
-        sc.setCheckpointDir(root)
+        local = sc.master.startswith("local")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quern-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/quern-scratch")
         root = sc.getCheckpointDir()
     return root
 
@@ -23,21 +23,23 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/quern-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that this application materialized; call it once results are written, since they read from these."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/quern-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of UTF-8 text in all rows; only decides how finely work is dealt out."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def only(docs: DataFrame, *names: str) -> DataFrame:
-    """The named columns alone, so that extra or clashing columns never matter."""
-    return docs.select(*[docs[n] for n in names])
-
-
 def doc_hash(mod: int):
     """crc32(doc_id as text) mod ``mod``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod

@@ -192,7 +192,3 @@ def cover(flags: np.ndarray, k: int, n: int) -> np.ndarray:
     ends = np.bincount(at + k, minlength=n + 1)[: n + 1]
     d -= ends.astype(np.int32)
     return np.cumsum(d[:-1]) > 0
-
-
-def table(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)

@@ -29,7 +29,7 @@ def _rows() -> tuple[list, list]:
     texts += [texts[3], texts[4].replace(texts[4].split()[10], "changed", 1), None, "", _prose(50, 20), "spam eggs ham " * 40]
     texts += [_prose(60, 90) + " " + " ".join(_prose(61, 20).upper().split()), _prose(62, 90) + " ! ! ! ? ?" * 12]
     texts += [_prose(70, 60) + ". " + passage + ", " + _prose(71, 40), passage + " " + _prose(72, 21)]
-    texts += [_prose(80, 50) + " " + " and ".join(PRIVATE) + " " + _prose(81, 30), "naïve 東京 — " + _prose(82, 70)]
+    texts += [_prose(80, 50) + " " + " and ".join(PRIVATE) + " " + _prose(81, 30), "naïve 東京 — " + _prose(82, 70) + "<|endoftext|>"]
     rows = [(i, t, [None, "en", "de"][i % 3], None if i % 5 == 0 else "s", 7) for i, t in enumerate(texts)]
     return [*rows, rows[5]], [(1, passage), (2, None), (3, "")]  # the last row repeats an id and text
 
@@ -108,7 +108,6 @@ def test_run_equals_a_plain_version(spark, tmp_path):
     assert {14, 15, 16, 17, 18, 19, 20, 21, 23}.isdisjoint(want) and {*range(14), 22, 24, 25} == set(want)
     assert "<email> and <ip> and <card> and <phone>" in want[24] and len(want[22]) < len(rows[22][1])
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in want.items()}
     covered = {i: 0 for i in ids}
     for p in corpus_pipeline.run(spark, str(tmp_path)).collect():
