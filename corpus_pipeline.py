@@ -19,7 +19,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS).withColumn("row_key", F.xxhash64("doc_id", "text", "lang", "source"))
+    """Rows with a 128-bit key of all columns: at any size, different rows have different keys."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("doc_id", "lang", "source", "text")]
+    return docs.select(*COLUMNS).withColumn("row_key", F.unhex(F.md5(F.concat_ws("\x01", *parts).cast("binary"))))
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the token sequences."""
-    tokens = packing.tokenize(docs.select(*COLUMNS), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    tokens = packing.tokenize(docs.select(*COLUMNS), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(materialize(tokens, "tokens"))
 
 
