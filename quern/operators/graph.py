@@ -1,27 +1,94 @@
-"""Graph operators on (src, dst) edges by semi-naive iteration over DataFrames."""
+"""Graph operators on (src, dst) edges.
+
+A graph of at most ``LOCAL_EDGES`` edges, counted first, is solved in memory
+on the driver by linear algorithms; a larger one by rounds of joins that hold
+a row per node or edge.  Both ways give the same rows.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict, deque
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges solved in memory: some 100 MB of Python objects.
+LOCAL_EDGES = 1_000_000
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared checkpoint folder and read back, so that plans don't grow with the rounds."""
-    spark = df.sparkSession
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that the cluster shares; where none is set, one in the warehouse, and a local one only if all runs in one process."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
+        local = sc.master.startswith("local")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quern-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/quern-scratch")
         root = sc.getCheckpointDir()
-    path = f"{root}/graph-{uuid.uuid4().hex}"
+    return root
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write to the shared checkpoint folder and read back, so that plans don't grow with the rounds."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _local(edges: DataFrame) -> list[tuple] | None:
+    """All edges, if they are few enough."""
+    rows = edges.limit(LOCAL_EDGES + 1).toArrow()
+    if rows.num_rows > LOCAL_EDGES:
+        return None
+    return list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
+
+
+def _node_type(edges: DataFrame) -> str:
+    return edges.schema["src"].dataType.simpleString()
+
+
+def _adjacency(pairs: list[tuple]) -> dict:
+    out: dict = defaultdict(list)
+    for a, b in pairs:
+        out[a].append(b)
+        out.setdefault(b, out[b])
+    return out
+
+
+def _strong(after: dict) -> list[list]:
+    """Strong components, every one after those it leads to."""
+    index, low, on, stack, out = {}, {}, set(), [], []
+    for root in after:
+        if root in index:
+            continue
+        work = [(root, iter(after[root]))]
+        index[root] = low[root] = len(index)
+        stack.append(root), on.add(root)
+        while work:
+            node, rest = work[-1]
+            for nxt in rest:
+                if nxt not in index:
+                    index[nxt] = low[nxt] = len(index)
+                    stack.append(nxt), on.add(nxt)
+                    work.append((nxt, iter(after[nxt])))
+                    break
+                if nxt in on:
+                    low[node] = min(low[node], index[nxt])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == index[node]:
+                    group = []
+                    while not group or group[-1] != node:
+                        group.append(stack.pop())
+                        on.discard(group[-1])
+                    out.append(group)
+    return out
+
+
 def closure(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(src, dst, depth) of all pairs joined by a path of one edge or more, and of ``most`` at most if given; depth is the shortest."""
     edges = cut(edges.select("src", "dst").distinct())
@@ -35,10 +102,44 @@ def closure(edges: DataFrame, most: int | None = None) -> DataFrame:
     return known
 
 
-def strong_components(pairs: DataFrame) -> DataFrame:
-    """(node, component) for nodes on cycles, from a closure: the least node that both reaches it and is reached."""
-    back = pairs.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    return pairs.select("src", "dst").join(back, ["src", "dst"]).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
+def reach(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """(start, node, distance) along edges from each of ``starts`` (start), the start itself left out, ``most`` steps at most.
+
+    Holds a row for each start and node it reaches, so the starts decide the
+    size: a change, the tests, a page, not all nodes of a large graph.
+    """
+    edges = edges.select("src", "dst").distinct()
+    starts = starts.select("start").distinct()
+    pairs = _local(edges)
+    asked = [r.start for r in starts.limit(1001).collect()] if pairs is not None else []
+    if pairs is not None and len(asked) <= 1000:
+        after, rows = _adjacency(pairs), []
+        for s in asked:
+            seen, queue = {s: 0}, deque([s])
+            while queue:
+                at = queue.popleft()
+                if most is None or seen[at] < most:
+                    for nxt in after.get(at, ()):
+                        if nxt not in seen:
+                            seen[nxt] = seen[at] + 1
+                            queue.append(nxt)
+            rows += [(s, n, d) for n, d in seen.items() if d]
+        kind = _node_type(edges)
+        return edges.sparkSession.createDataFrame(rows, f"start {kind}, node {kind}, distance int")
+    edges = cut(edges)
+    known = fresh = cut(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("distance")))
+    depth = 0
+    while depth != most and not fresh.isEmpty():
+        depth += 1
+        step = fresh.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        fresh = cut(step.join(known, ["start", "node"], "left_anti").withColumn("distance", F.lit(depth)))
+        known = known.union(fresh)
+    return known.where("distance > 0")
+
+
+def dependents(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """``reach`` against the edges: who could break if a start changes."""
+    return reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts, most)
 
 
 def _spread(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -66,12 +167,20 @@ def _trim(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for nodes on cycles, as ``strong_components`` has it, holding a row per node instead of all pairs.
+    """(node, component) for nodes on cycles: the least node of those that reach it and that it reaches.
 
-    In each round every node takes the least node that reaches it as its colour; the nodes that reach their colour's
-    node inside the colour are one component and leave the graph.
+    Beyond the local bound: in each round every node takes the least node that
+    reaches it as its colour; the nodes that reach their colour's node inside
+    the colour are one component and leave the graph.
     """
-    live = edges = cut(edges.select("src", "dst").distinct())
+    edges = edges.select("src", "dst").distinct()
+    pairs = _local(edges)
+    if pairs is not None:
+        own = {a for a, b in pairs if a == b}
+        groups = [g for g in _strong(_adjacency(pairs)) if len(g) > 1 or g[0] in own]
+        kind = _node_type(edges)
+        return edges.sparkSession.createDataFrame([(n, min(g)) for g in groups for n in g], f"node {kind}, component {kind}")
+    live = edges = cut(edges)
     parts = []
     while not (live := _trim(live)).isEmpty():
         colour = _spread(live, live.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct())
@@ -88,6 +197,78 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(found.join(cyclic, "label", "left_semi").select("node", F.col("label").alias("component")))
 
 
+def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, part, size) of every node, and the edges between different parts; a part is a strong component."""
+    edges = edges.select("src", "dst").distinct()
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
+    part = cut(nodes.join(components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("part")))
+    part = part.join(part.groupBy("part").agg(F.count(F.lit(1)).alias("size")), "part").select("node", "part", "size")
+    a, b = part.select(F.col("node").alias("src"), F.col("part").alias("a")), part.select(F.col("node").alias("dst"), F.col("part").alias("b"))
+    return part, edges.join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+
+
+def depths(edges: DataFrame) -> DataFrame:
+    """(node, depth): the longest chain of edges from each node, where a component of n nodes counts n - 1.
+
+    Beyond the local bound: depths of parts grow from those that lead nowhere
+    until none changes, a round for each step of the longest chain.
+    """
+    edges = edges.select("src", "dst").where("src <> dst").distinct()
+    pairs = _local(edges)
+    if pairs is not None:
+        after = _adjacency(pairs)
+        deep: dict = {}
+        for group in _strong(after):
+            own = set(group)
+            beyond = max((1 + deep[t] for n in group for t in after[n] if t not in own), default=0)
+            deep.update(dict.fromkeys(group, len(group) - 1 + beyond))
+        return edges.sparkSession.createDataFrame(list(deep.items()), f"node {_node_type(edges)}, depth int")
+    part, between = condensed(edges)
+    part, between = cut(part), cut(between)
+    known = fresh = cut(part.select(F.col("part").alias("node"), (F.col("size") - 1).cast("int").alias("depth"), "size").distinct())
+    while not fresh.isEmpty():
+        step = between.join(fresh.select(F.col("node").alias("dst"), "depth"), "dst").groupBy(F.col("src").alias("node")).agg(F.max("depth").alias("below"))
+        fresh = cut(known.join(step, "node").withColumn("new", (F.col("size") + F.col("below")).cast("int")).where("new > depth").select("node", F.col("new").alias("depth"), "size"))
+        known = cut(known.union(fresh).groupBy("node", "size").agg(F.max("depth").alias("depth")).select("node", "depth", "size"))
+    return part.select("node", "part").join(known.select(F.col("node").alias("part"), "depth"), "part").select("node", "depth")
+
+
+def loops(edges: DataFrame) -> DataFrame:
+    """(component, files): one loop through each strong component of two nodes or more.
+
+    The loop starts at the least node and goes depth first by name; where that
+    finds none back to the start, it is all members by name.  Components come
+    to one task each, with the edges inside them.
+    """
+    parts = components(edges.where("src <> dst"))
+    a, b = parts.toDF("src", "component"), parts.toDF("dst", "other")
+    inside = edges.join(a, "src").join(b, "dst").where("component = other and src <> dst").select("component", "src", "dst").distinct()
+
+    def one(pairs: list[tuple]) -> list:
+        after = {k: sorted(v) for k, v in _adjacency(pairs).items()}
+        start = min(after)
+        path, seen, work = [start], {start}, [iter(after[start])]
+        while work:
+            for nxt in work[-1]:
+                if nxt == start and len(path) > 1:
+                    return path
+                if nxt not in seen:
+                    path.append(nxt), seen.add(nxt), work.append(iter(after[nxt]))
+                    break
+            else:
+                path.pop(), work.pop()
+        return sorted(after)
+
+    kind = _node_type(edges)
+
+    def run(key, rows):
+        import pandas as pd
+
+        return pd.DataFrame({"component": [key[0]], "files": [one(list(zip(rows["src"], rows["dst"])))]})
+
+    return inside.groupBy("component").applyInPandas(run, f"component {kind}, files array<{kind}>")
+
+
 def reach_counts(edges: DataFrame) -> DataFrame:
     """(node, affected): how many nodes reach each node that any reaches, itself too if on a cycle; pairs are held of components only."""
     edges = cut(edges.select("src", "dst").distinct())

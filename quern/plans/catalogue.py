@@ -17,7 +17,7 @@ SQL: dict[str, str] = {}
 
 _FILES = "SELECT concat_ws('/', source, lang, 'doc' || doc_id || '.txt') AS path, source AS area, lang AS language, text, len(string_split(text, chr(10))) AS lines, doc_id % 7 = 0 AS is_test FROM documents"
 _LINES = f"SELECT path, unnest(range(len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM ({_FILES})"
-_EDGES = "SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst FROM lineitem) WHERE src <> dst AND src % 26 = dst % 26"
+_EDGES = "SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst FROM lineitem) WHERE src <> dst"
 _CLOSURE = f"edges AS ({_EDGES}), reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src)"
 
 
@@ -84,33 +84,33 @@ def edges_first_wins(spark, d):
 
 
 @query(f"WITH e AS ({_EDGES}) SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY node")
-def in_out_degree(spark, d, edges=T.edges):
-    e = edges(spark, d)
+def in_out_degree(spark, d):
+    e = T.edges(spark, d)
     ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"))))
     return e.select(ends.alias("x")).select("x.*").groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
 @query(f"WITH RECURSIVE {_CLOSURE} SELECT dst AS node, count(*) AS affected FROM reach GROUP BY dst")
 def reverse_reachable(spark, d):
-    return graph.closure(T.edges(spark, d)).groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("affected"))
+    return graph.reach_counts(T.edges(spark, d))
 
 
 @query(f"WITH RECURSIVE {_CLOSURE} SELECT a.src AS node, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src")
 def scc_members(spark, d):
-    return graph.strong_components(graph.closure(T.edges(spark, d)))
+    return graph.components(T.edges(spark, d))
 
 
 @query(f"WITH RECURSIVE {_CLOSURE}, m AS (SELECT a.src AS node, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src) SELECT component, count(*) AS size, string_agg(node::VARCHAR, ' ' ORDER BY node) AS members FROM m GROUP BY component")
 def cycle_findings(spark, d):
-    m = graph.strong_components(graph.closure(T.edges(spark, d)))
+    m = graph.components(T.edges(spark, d))
     return m.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.array_join(F.array_sort(F.collect_list("node")).cast("array<string>"), " ").alias("members"))
 
 
 @query(f"WITH e AS ({_EDGES}) SELECT CASE WHEN dst % 4 = src % 4 THEN 'same' WHEN dst % 4 < src % 4 THEN 'violation' WHEN dst % 4 > src % 4 + 1 THEN 'skip' ELSE 'ok' END AS relation, count(*) AS n FROM e GROUP BY 1")
-def layer_relations(spark, d, edges=T.edges):
+def layer_relations(spark, d):
     s, t = F.col("src") % 4, F.col("dst") % 4
     relation = F.when(t == s, "same").when(t < s, "violation").when(t > s + 1, "skip").otherwise("ok")
-    return edges(spark, d).groupBy(relation.alias("relation")).agg(F.count(F.lit(1)).alias("n"))
+    return T.edges(spark, d).groupBy(relation.alias("relation")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT p_brand AS layer, count(*) AS n, count(*) FILTER (p_size > 25) AS covered, floor(100.0 * count(*) FILTER (p_size > 25) / count(*) + 0.5)::BIGINT AS percent FROM part GROUP BY p_brand")

@@ -9,6 +9,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    # small tables: plans are interpreted and not adapted, which spares compiling each of them
+    small = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.enabled": "false", "spark.python.sql.dataFrameDebugging.enabled": "false"}
+    b = SparkSession.builder.master("local[4]")
+    for k, v in small.items():
+        b = b.config(k, v)
+    s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     return s

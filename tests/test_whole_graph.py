@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from quern.operators import graph
-from quern.plans import catalogue, whole
+from quern.plans import catalogue, reports, rules  # noqa: F401 - they register queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,32 +57,32 @@ def test_no_edges(spark):
 
 @pytest.fixture(scope="module")
 def edges():
-    return duckdb.sql(whole._ALL_EDGES.replace("FROM lineitem", f"FROM '{SF}/lineitem.parquet'")).fetchall()
+    return duckdb.sql(catalogue._EDGES.replace("FROM lineitem", f"FROM '{SF}/lineitem.parquet'")).fetchall()
 
 
 def test_closure_queries_use_all_edges(spark, edges):
     depths = _depths(edges)
     run = lambda name: [tuple(r) for r in catalogue.QUERIES[name](spark, SF).collect()]
-    assert dict(run("all_scc_members")) == _components(depths)
-    assert dict(run("all_reverse_reachable")) == _affected(depths)
+    assert dict(run("scc_members")) == _components(depths)
+    assert dict(run("reverse_reachable")) == _affected(depths)
     levels = {}
     for (_, b), k in depths.items():
         key = b, "high" if k == 1 else "medium" if k <= 3 else "low"
         levels[key] = levels.get(key, 0) + 1
-    assert {(c, level): n for c, level, n in run("all_impact_levels")} == levels
+    assert {(c, level): n for c, level, n in run("impact_levels")} == levels
     sizes = {}
     for c in _components(depths).values():
         sizes[c] = sizes.get(c, 0) + 1
-    assert {c: n for c, n, _ in run("all_cycle_findings")} == sizes
+    assert {c: n for c, n, _ in run("cycle_findings")} == sizes
 
 
 @pytest.mark.parametrize("name", ["in_out_degree", "layer_relations", "cross_feature_imports", "forbidden_dependencies", "central_modules"])
 def test_plain_queries_equal_their_sql_on_all_edges(spark, name):
-    rel = duckdb.sql(catalogue.SQL[f"all_{name}"].replace("FROM lineitem", f"FROM '{SF}/lineitem.parquet'"))
-    df = catalogue.QUERIES[f"all_{name}"](spark, SF).select(*rel.columns)
+    rel = duckdb.sql(catalogue.SQL[name].replace("FROM lineitem", f"FROM '{SF}/lineitem.parquet'"))
+    df = catalogue.QUERIES[name](spark, SF).select(*rel.columns)
     assert sorted(map(tuple, df.collect())) == sorted(rel.fetchall())
 
 
 def test_rules_can_fire(spark, edges):
-    found = {tuple(r) for r in catalogue.QUERIES["all_forbidden_dependencies"](spark, SF).select("src", "dst").collect()}
+    found = {tuple(r) for r in catalogue.QUERIES["forbidden_dependencies"](spark, SF).select("src", "dst").collect()}
     assert found == {(a, b) for a, b in edges if (a % 4, b % 4) in {(0, 2), (1, 3), (3, 0)}} and any((a % 4, b % 4) == (3, 0) for a, b in found)
