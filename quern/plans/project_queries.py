@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import paths as P
-from quern.operators import graph, layers
+from quern.operators import layers
 from quern.plans import analysis as A
 from quern.plans import findings as R
 from quern.plans import reports_project as Q
@@ -27,37 +27,42 @@ def analysis(spark: SparkSession, d: str) -> A.Analysis:
 
 
 _LINES = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem"
+_PACKAGE = "CASE l_suppkey % 10 WHEN 0 THEN 'stripe' WHEN 1 THEN '@supabase/js' ELSE 'pkg-' || l_suppkey END"
 _KNOWN = f"(SELECT p_partkey FROM part WHERE p_size <= {sample.LARGEST})"
+_CUSTOMERS = "SELECT *, client + n + direct AS direct_at, client + n + direct + client AS store_at FROM (SELECT *, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n, CASE WHEN c_custkey % 10 = 0 THEN 1 ELSE 0 END AS client, CASE WHEN c_nationkey % 5 = 0 THEN 1 ELSE 0 END AS direct FROM customer)"
 _EDGES = f"""SELECT 'src/services/o' || l_orderkey || '.ts' AS src, 'src/domain/p' || l_partkey || '.ts' AS dst, min(i)::INT AS line, arg_min(l_returnflag = 'R', i) AS type_only FROM ({_LINES}) WHERE l_partkey IN {_KNOWN} GROUP BY l_orderkey, l_partkey
-UNION ALL SELECT 'src/components/c' || o_custkey || '.tsx', 'src/services/o' || o_orderkey || '.ts', (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::INT, false FROM orders
-UNION ALL SELECT 'src/components/c' || c_custkey || '.tsx', 'src/domain/p' || c_custkey || '.ts', 1 + (SELECT count(*) FROM orders WHERE o_custkey = c_custkey)::INT, false FROM customer WHERE c_nationkey % 5 = 0 AND c_custkey IN {_KNOWN}
+UNION ALL SELECT 'src/components/c' || o_custkey || '.tsx', 'src/services/o' || o_orderkey || '.ts', (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + CASE WHEN o_custkey % 10 = 0 THEN 1 ELSE 0 END)::INT, false FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'src/components/c' || c_custkey || '.tsx', 'src/domain/p' || c_custkey || '.ts', direct_at::INT, false FROM ({_CUSTOMERS}) WHERE direct = 1 AND c_custkey IN {_KNOWN}
+UNION ALL SELECT 'src/components/c' || c_custkey || '.tsx', 'src/db/s' || c_custkey || '.ts', store_at::INT, false FROM ({_CUSTOMERS}) WHERE client = 1 AND c_custkey IN (SELECT s_suppkey FROM supplier)
 UNION ALL SELECT 'src/domain/p' || p_partkey || '.ts', 'src/domain/p' || (p_partkey // 2) || '.ts', 1, false FROM part WHERE p_partkey >= 2 AND p_size <= {sample.LARGEST} AND p_partkey // 2 IN {_KNOWN}
 UNION ALL SELECT 'src/db/s' || s_suppkey || '.ts', 'src/components/c' || s_suppkey || '.tsx', 1, false FROM supplier WHERE s_suppkey IN (SELECT c_custkey FROM customer)
 UNION ALL SELECT 'tests/o' || o_orderkey || '.test.ts', 'src/services/o' || o_orderkey || '.ts', 1, false FROM orders WHERE o_orderkey % 50 = 0"""
 _UNRESOLVED = f"""SELECT 'src/services/o' || l_orderkey || '.ts' AS path, '../domain/p' || l_partkey AS specifier, i::INT AS line FROM ({_LINES}) WHERE l_partkey NOT IN {_KNOWN}
-UNION ALL SELECT 'src/components/c' || c_custkey || '.tsx', '../domain/p' || c_custkey, 1 + (SELECT count(*) FROM orders WHERE o_custkey = c_custkey)::INT FROM customer WHERE c_nationkey % 5 = 0 AND c_custkey NOT IN {_KNOWN}
+UNION ALL SELECT 'src/components/c' || c_custkey || '.tsx', '../domain/p' || c_custkey, direct_at::INT FROM ({_CUSTOMERS}) WHERE direct = 1 AND c_custkey NOT IN {_KNOWN}
+UNION ALL SELECT 'src/components/c' || c_custkey || '.tsx', '../db/s' || c_custkey, store_at::INT FROM ({_CUSTOMERS}) WHERE client = 1 AND c_custkey NOT IN (SELECT s_suppkey FROM supplier)
 UNION ALL SELECT 'src/domain/p' || p_partkey || '.ts', './p' || (p_partkey // 2), 1 FROM part WHERE p_partkey >= 2 AND p_size <= {sample.LARGEST} AND p_partkey // 2 NOT IN {_KNOWN}
 UNION ALL SELECT 'src/db/s' || s_suppkey || '.ts', '../components/c' || s_suppkey, 1 FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)"""
 _PER_ORDER = "SELECT o_orderkey, count(l_orderkey) AS n, count(*) FILTER (l_linestatus = 'O') AS anys FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"
 _UP = "CASE WHEN p_partkey >= 2 THEN 1 ELSE 0 END"
 _FUNCTIONS = f"""SELECT 'src/services/o' || o_orderkey || '.ts' AS path, 'order' || o_orderkey AS name, (2 * n + 1)::INT AS line, (n + 2)::INT AS lines, (1 + n + anys)::INT AS complexity, least(n, 1)::INT AS max_nesting, 2 AS params, false AS is_component FROM ({_PER_ORDER})
 UNION ALL SELECT 'src/domain/p' || p_partkey || '.ts', 'part' || p_partkey, ({_UP} + 1)::INT, (3 + 2 * (p_size % 6))::INT, (1 + p_size % 6)::INT, (p_size % 6)::INT, (p_size % 8)::INT, false FROM part WHERE p_size <= {sample.LARGEST}
-UNION ALL SELECT 'src/components/c' || c_custkey || '.tsx', 'C' || c_custkey, (1 + (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) + CASE WHEN c_nationkey % 5 = 0 THEN 1 ELSE 0 END)::INT, 1, 1, 0, 0, true FROM customer
+UNION ALL SELECT 'src/components/c' || c_custkey || '.tsx', 'C' || c_custkey, (store_at + 1)::INT, 1, 1, 0, 0, true FROM ({_CUSTOMERS})
 UNION ALL SELECT 'tests/o' || o_orderkey || '.test.ts', 'test(...)', 2, 1, 1, 0, 0, false FROM orders WHERE o_orderkey % 50 = 0"""
 _FILES = f"""SELECT 'src/services/o' || o_orderkey || '.ts' AS path, (3 * n + 3)::INT AS lines, (3 * n + 2)::INT AS sloc, 1 AS functions, anys FROM ({_PER_ORDER})
-UNION ALL SELECT 'src/domain/p' || p_partkey || '.ts', ({_UP} + 4 + 2 * (p_size % 6))::INT, ({_UP} + 3 + 2 * (p_size % 6))::INT, 1, 0 FROM part WHERE p_size <= {sample.LARGEST}
-UNION ALL SELECT 'src/components/c' || c_custkey || '.tsx', (2 + x)::INT, (1 + x)::INT, 1, 0 FROM (SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) + CASE WHEN c_nationkey % 5 = 0 THEN 1 ELSE 0 END AS x FROM customer)
-UNION ALL SELECT 'src/db/s' || s_suppkey || '.ts', 3, 2, 0, 0 FROM supplier
+UNION ALL SELECT 'src/domain/p' || p_partkey || '.ts', ({_UP} + 5 + 2 * (p_size % 6))::INT, ({_UP} + 4 + 2 * (p_size % 6))::INT, 1, 0 FROM part WHERE p_size <= {sample.LARGEST}
+UNION ALL SELECT 'src/components/c' || c_custkey || '.tsx', (2 + store_at)::INT, (1 + store_at)::INT, 1, 0 FROM ({_CUSTOMERS})
+UNION ALL SELECT 'src/db/s' || s_suppkey || '.ts', CASE WHEN s_suppkey % 5 = 0 THEN 10 ELSE 3 END, CASE WHEN s_suppkey % 5 = 0 THEN 9 ELSE 2 END, 0, 0 FROM supplier
 UNION ALL SELECT 'tests/o' || o_orderkey || '.test.ts', 3, 2, 1, 0 FROM orders WHERE o_orderkey % 50 = 0"""
 _LAYER = lambda c: f"CASE WHEN {c} LIKE 'src/components/%' THEN 0 WHEN {c} LIKE 'src/services/%' THEN 1 WHEN {c} LIKE 'src/domain/%' THEN 2 WHEN {c} LIKE 'src/db/%' THEN 3 END"
 _NAMES = ["ui", "application", "domain", "infrastructure"]
 _RELATION = f"SELECT *, CASE WHEN a IS NULL OR b IS NULL THEN 'unknown' WHEN a = b THEN 'same' WHEN b < a THEN 'inverted' WHEN b - a > 1 THEN 'skip' ELSE 'ok' END AS relation FROM (SELECT *, {_LAYER('src')} AS a, {_LAYER('dst')} AS b FROM ({_EDGES}))"
 # a part's chain goes up by halves until a part without a file
-_PART_DEPTH = f"WITH RECURSIVE known AS {_KNOWN}, up AS (SELECT p_partkey AS p, p_partkey AS at, 0 AS d FROM known UNION ALL SELECT p, at // 2, d + 1 FROM up WHERE at >= 2 AND at // 2 IN (SELECT p_partkey FROM known)), pd AS (SELECT p, max(d) AS d FROM up GROUP BY p)"
+_PART_DEPTH = f"WITH RECURSIVE known AS {_KNOWN}, up AS (SELECT p_partkey AS p, p_partkey AS x, 0 AS d FROM known UNION ALL SELECT p, x // 2, d + 1 FROM up WHERE x >= 2 AND x // 2 IN (SELECT p_partkey FROM known)), pd AS (SELECT p, max(d) AS d FROM up GROUP BY p)"
 _DEPTHS = f"""{_PART_DEPTH},
 od AS (SELECT o_orderkey AS o, coalesce(max(d) + 1, 0) AS d FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN pd ON p = l_partkey GROUP BY o_orderkey),
-cd AS (SELECT c_custkey AS c, greatest(coalesce((SELECT max(od.d) + 1 FROM orders JOIN od ON od.o = o_orderkey WHERE o_custkey = c_custkey), 0), coalesce((SELECT pd.d + 1 FROM pd WHERE pd.p = c_custkey AND c_nationkey % 5 = 0), 0)) AS d FROM customer),
-sd AS (SELECT s_suppkey AS s, coalesce(cd.d + 1, 0) AS d FROM supplier LEFT JOIN cd ON cd.c = s_suppkey),
+co AS (SELECT o_custkey AS c, max(od.d) + 1 AS d FROM orders JOIN od ON od.o = o_orderkey GROUP BY o_custkey),
+cd AS (SELECT c_custkey AS c, greatest(coalesce(co.d, 0), CASE WHEN c_nationkey % 5 = 0 THEN coalesce(pd.d + 1, 0) ELSE 0 END) + CASE WHEN c_custkey % 10 = 0 AND c_custkey IN (SELECT s_suppkey FROM supplier) THEN 1 ELSE 0 END AS d FROM customer LEFT JOIN co ON co.c = c_custkey LEFT JOIN pd ON pd.p = c_custkey),
+sd AS (SELECT s_suppkey AS s, CASE WHEN cd.c IS NULL THEN 0 WHEN s_suppkey % 10 = 0 THEN cd.d ELSE cd.d + 1 END AS d FROM supplier LEFT JOIN cd ON cd.c = s_suppkey),
 depths AS (SELECT 'src/domain/p' || p || '.ts' AS node, d FROM pd UNION ALL SELECT 'src/services/o' || o || '.ts', d FROM od UNION ALL SELECT 'src/components/c' || c || '.tsx', d FROM cd UNION ALL SELECT 'src/db/s' || s || '.ts', d FROM sd UNION ALL SELECT 'tests/o' || o || '.test.ts', d + 1 FROM od WHERE o % 50 = 0)"""
 
 
@@ -66,7 +71,7 @@ def project_edges(spark, d):
     return analysis(spark, d).edges.select("src", "dst", "line", "type_only")
 
 
-@query("SELECT DISTINCT 'src/services/o' || l_orderkey || '.ts' AS path, 'pkg-' || l_suppkey AS package FROM lineitem")
+@query("SELECT DISTINCT 'src/services/o' || l_orderkey || '.ts' AS path, " + _PACKAGE + " AS package FROM lineitem")
 def project_external(spark, d):
     return analysis(spark, d).external
 
@@ -142,12 +147,15 @@ def project_scores(spark, d) -> DataFrame:
     return analysis(spark, d).metrics
 
 
-@_whole
-def project_cycles(spark, d) -> DataFrame:
+_LOOPS = "SELECT s_suppkey AS k FROM supplier JOIN customer ON c_custkey = s_suppkey WHERE s_suppkey % 10 = 0"
+
+
+@query(f"SELECT 2 AS size, 'src/components/c' || k || '.tsx -> src/db/s' || k || '.ts' AS loop FROM ({_LOOPS})")
+def project_cycles(spark, d):
     return analysis(spark, d).cycles.select(F.size("files").alias("size"), F.array_join("files", " -> ").alias("loop"))
 
 
-@query(f"WITH RECURSIVE e AS ({_EDGES}), hit AS (SELECT 'src/domain/p1.ts' AS node, 0 AS k UNION SELECT e.src, hit.k + 1 FROM hit JOIN e ON e.dst = hit.node) SELECT node AS path, min(k)::INT AS distance, CASE WHEN min(k) <= 1 THEN 'high' WHEN min(k) <= 3 THEN 'medium' ELSE 'low' END AS level FROM hit GROUP BY node HAVING min(k) > 0")
+@query(f"WITH RECURSIVE e AS ({_EDGES}), hit AS (SELECT 'src/domain/p1.ts' AS node, 0 AS k UNION SELECT e.src, hit.k + 1 FROM hit JOIN e ON e.dst = hit.node WHERE hit.k < 40) SELECT node AS path, min(k)::INT AS distance, CASE WHEN min(k) <= 1 THEN 'high' WHEN min(k) <= 3 THEN 'medium' ELSE 'low' END AS level FROM hit GROUP BY node HAVING min(k) > 0")
 def project_impact(spark, d):
     return Q.impacted(analysis(spark, d), ["src/domain/p1.ts"])
 
@@ -177,19 +185,19 @@ def project_dead_code(spark, d) -> DataFrame:
     return Q.dead_code(analysis(spark, d))[0].select("path", "confidence", "lines", "exports")
 
 
-@_whole
-def project_unused_exports(spark, d) -> DataFrame:
+@query(f"SELECT 'src/domain/p' || p_partkey || '.ts' AS path, 'spare' || p_partkey AS names, 'high' AS confidence FROM part WHERE p_size <= {sample.LARGEST} AND 'src/domain/p' || p_partkey || '.ts' IN (SELECT dst FROM ({_EDGES}))")
+def project_unused_exports(spark, d):
     return Q.unused_exports(analysis(spark, d)).select("path", F.array_join("names", ",").alias("names"), "confidence")
 
 
-@_whole
-def project_duplicate_blocks(spark, d) -> DataFrame:
+@query("SELECT 7 AS span, 1 AS regions, count(*) AS places FROM supplier WHERE s_suppkey % 5 = 0 HAVING count(*) > 1")
+def project_duplicate_blocks(spark, d):
     r = R.duplicate_regions(analysis(spark, d).sources.select("path", "text"), SETTINGS.thresholds["minDuplicateLines"])
     return r.groupBy("span").agg(F.count(F.lit(1)).alias("regions"), F.sum(F.size("files")).alias("places"))
 
 
-@_whole
-def project_leaks(spark, d) -> DataFrame:
+@query(f"SELECT 'src/components/c' || k || '.tsx' AS client, 'src/db/s' || k || '.ts' AS target, 'src/components/c' || k || '.tsx → src/db/s' || k || '.ts' AS chain FROM ({_LOOPS})")
+def project_leaks(spark, d):
     return analysis(spark, d).leaks.select("client", "target", F.array_join("chain", " → ").alias("chain"))
 
 
@@ -211,12 +219,6 @@ def project_neighbours(spark, d):
     return neighbours(a, a.files.where("path like 'src/db/%'").select(F.col("path").alias("file"))).select("file", "path")
 
 
-@_whole
-def project_services(spark, d) -> DataFrame:
+@query("SELECT CASE l_suppkey % 10 WHEN 0 THEN 'Stripe' ELSE 'Supabase' END AS name, CASE l_suppkey % 10 WHEN 0 THEN 'stripe' ELSE '@supabase/js' END AS packages, count(DISTINCT l_orderkey) AS used_in FROM lineitem WHERE l_suppkey % 10 < 2 GROUP BY 1, 2")
+def project_services(spark, d):
     return Q.external_services(analysis(spark, d).external).select("name", F.array_join("packages", ",").alias("packages"), "used_in")
-
-
-@_whole
-def project_loops_beyond_types(spark, d) -> DataFrame:
-    """Loops on all imports, types too."""
-    return graph.loops(analysis(spark, d).edges.select("src", "dst")).select(F.size("files").alias("size"), F.array_join("files", " -> ").alias("loop"))

@@ -1,10 +1,12 @@
 """A project of source files written from the tables, so that analyses can be held against plain SQL at any size.
 
 customer -> src/components/c<key>.tsx, importing its orders (and, from some
-nations, a part); orders -> src/services/o<key>.ts, importing the parts of its
-lines and a package for each supplier; part (up to size 45) ->
-src/domain/p<key>.ts, importing part key/2; supplier -> src/db/s<key>.ts,
-importing customer <key>; every fiftieth order has a test.
+nations, a part); every tenth runs in the browser and imports supplier <key>.
+orders -> src/services/o<key>.ts, importing the parts of its lines and a
+package for each supplier.  part (up to size 45) -> src/domain/p<key>.ts,
+importing part key/2, with one export that nobody takes.  supplier ->
+src/db/s<key>.ts, importing customer <key> and reading a secret; every fifth
+repeats a block.  Every fiftieth order has a test.
 """
 
 from __future__ import annotations
@@ -24,6 +26,15 @@ def _said(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+def package(supplier: Column) -> Column:
+    """The package that a supplier's goods come from: two that belong to a service, else one of its own."""
+    return F.when(supplier % 10 == 0, "stripe").when(supplier % 10 == 1, "@supabase/js").otherwise(_said("pkg-", supplier))
+
+
+#: Lines that every fifth supplier's file repeats.
+BLOCK = "".join(f"register(table{i}, column{i});\n" for i in range(7))
+
+
 def _ordered(rows: Column, part: str) -> Column:
     """One field of sorted rows, a line each with its line feed."""
     return F.array_join(F.transform(F.array_sort(rows), lambda r: F.concat(r[part], F.lit("\n"))), "")
@@ -34,7 +45,10 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(_ordered(F.collect_list(F.struct(o.alias("k"), _said("import { order", o, " } from '../services/o", o, "';").alias("t"))), "t").alias("imports"))
     c, k = table(spark, d, "customer").join(orders, "c_custkey", "left"), F.col("c_custkey")
     direct = F.when(F.col("c_nationkey") % 5 == 0, _said("import { part", k, " } from '../domain/p", k, "';\n")).otherwise("")
-    text = F.concat(F.coalesce("imports", F.lit("")), direct, _said("export const C", k, " = () => <b>it's {name}</b>;\n"))
+    client = k % 10 == 0
+    head = F.when(client, "'use client';\n").otherwise("")
+    store = F.when(client, _said("import { s", k, " } from '../db/s", k, "';\n")).otherwise("")
+    text = F.concat(head, F.coalesce("imports", F.lit("")), direct, store, _said("export const C", k, " = () => <b>it's {name}</b>;\n"))
     return c.select(_said("src/components/c", k, ".tsx").alias("path"), text.alias("text"))
 
 
@@ -46,7 +60,7 @@ def services(spark: SparkSession, d: str) -> DataFrame:
         F.struct(
             n.alias("n"), p.alias("p"), s.alias("s"), F.col("l_extendedprice").alias("e"),
             _said(kind, " { part", p, " } from '../domain/p", p, "';").alias("own"),
-            _said("import pkg", s, " from 'pkg-", s, "/x';").alias("other"),
+            _said("import pkg", s, " from '", package(s), "/x';").alias("other"),
             F.when(F.col("l_linestatus") == "O", _said("  if (a > ", n, " && b) { const v", n, ": any = pkg", s, "; }")).otherwise(_said("  if (a > ", n, ") { go(", n, "); }")).alias("step"),
         ).alias("l"),
     )
@@ -64,13 +78,14 @@ def domain(spark: SparkSession, d: str) -> DataFrame:
     params = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.when(i < size % 8, F.concat(F.lit("a"), i.cast("string")))), ", ")
     depth = (size % 6).cast("int")
     body = F.concat(F.repeat(F.lit("if (x) {\n"), depth), F.lit("go();\n"), F.repeat(F.lit("}\n"), depth))
-    text = F.concat(up, _said("export function part", k, "(", params, ") {\n"), body, F.lit("}\n"))
+    text = F.concat(up, _said("export function part", k, "(", params, ") {\n"), body, _said("}\nexport const spare", k, " = 1;\n"))
     return table(spark, d, "part").where(size <= LARGEST).select(_said("src/domain/p", k, ".ts").alias("path"), text.alias("text"))
 
 
 def storage(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
     text = _said("import { C", k, " } from '../components/c", k, "';\nexport const s", k, " = process.env.S", k, "_TOKEN;\n")
+    text = F.concat(text, F.when(k % 5 == 0, BLOCK).otherwise(""))
     return table(spark, d, "supplier").select(_said("src/db/s", k, ".ts").alias("path"), text.alias("text"))
 
 
