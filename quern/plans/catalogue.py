@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import fingerprint, round_half_up
+from quern.functions.text import fingerprint, round_half_up, sloc
 from quern.operators import graph
+from quern.plans.findings import is_structural, normalized_line
 from quern.sources import tables as T
 from quern.streaming.sessions import bursts
 
@@ -34,10 +35,13 @@ def large_files(spark, d):
     return T.files(spark, d).where("lines > 20 and not is_test").select("path", "lines")
 
 
-@query(f"SELECT path, count(*) AS n_lines, count(*) FILTER (trim(line) <> '' AND NOT starts_with(trim(line), '*') AND NOT starts_with(trim(line), '//')) AS sloc FROM ({_LINES}) GROUP BY path")
+_STATE = "list_reduce(list_prepend({'n': 0, 'inside': false, 't': ''}, list_transform(string_split(text, chr(10)), lambda x: {'n': 0, 'inside': false, 't': trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))})), lambda s, x: {'n': s.n + CASE WHEN NOT s.inside AND x.t <> '' AND NOT starts_with(x.t, '*') AND NOT starts_with(x.t, '/*') AND NOT starts_with(x.t, '//') THEN 1 ELSE 0 END, 'inside': (s.inside OR starts_with(x.t, '/*')) AND NOT contains(x.t, '*/'), 't': ''}).n"
+
+
+@query(f"SELECT path, lines AS n_lines, {_STATE} AS sloc FROM ({_FILES})")
 def sloc_per_file(spark, d):
-    code = (F.trim("line") != "") & ~F.trim("line").startswith("*") & ~F.trim("line").startswith("//")
-    return T.lines(spark, d).groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"), F.count(F.when(code, 1)).alias("sloc"))
+    # counted inside the row: nothing is dealt out
+    return T.files(spark, d).select("path", F.col("lines").alias("n_lines"), sloc(F.split("text", "\n")).alias("sloc"))
 
 
 @query(f"SELECT area, language, count(*) AS n_files, sum(lines)::BIGINT AS n_lines, count(*) FILTER (is_test) AS n_tests, max(lines) AS longest FROM ({_FILES}) GROUP BY area, language")
@@ -66,15 +70,21 @@ def fingerprints(spark, d):
     return T.files(spark, d).select("path", fingerprint(F.lit("large-file"), F.col("path"), F.when(F.col("is_test"), F.lit("test"))).alias("fingerprint"))
 
 
-@query(f"""WITH l AS (SELECT path, n, trim(line) AS line FROM ({_LINES}) WHERE trim(line) <> ''),
-w AS (SELECT path, n, line || chr(10) || lead(line) OVER p || chr(10) || lead(line, 2) OVER p AS block FROM l WINDOW p AS (PARTITION BY path ORDER BY n)),
-g AS (SELECT sha1(block) AS block, count(*) AS places, count(DISTINCT path) AS files, min(path) AS first_path FROM w WHERE block IS NOT NULL GROUP BY 1) SELECT * FROM g WHERE places > 1""")
+_NORMAL = r"regexp_replace(regexp_replace(line, '^[ \t\r\f\v]+|[ \t\r\f\v]+$', '', 'g'), '[ \t\r\f\v]+', ' ', 'g')"
+_STRUCTURAL = r"(length(line) < 8 OR regexp_matches(line, '^[}\]);,]+$') OR regexp_matches(line, '^(//|#|\*)') OR regexp_matches(line, '^(import|export|from|package|use\s)'))"
+
+
+@query(f"""WITH l AS (SELECT path, n, {_NORMAL} AS line FROM ({_LINES})),
+w AS (SELECT path, n, line || chr(10) || lead(line) OVER p || chr(10) || lead(line, 2) OVER p AS block, bool_or({_STRUCTURAL}) OVER (p ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS broken FROM l WINDOW p AS (PARTITION BY path ORDER BY n)),
+g AS (SELECT sha1(block) AS block, count(*) AS places, count(DISTINCT path) AS files, min(path) AS first_path FROM w WHERE block IS NOT NULL AND NOT broken GROUP BY 1) SELECT * FROM g WHERE places > 1""")
 def dup_block_windows(spark, d):
-    w = Window.partitionBy("path").orderBy("n")
-    rows = T.lines(spark, d).withColumn("line", F.trim("line")).where("line <> ''")
-    block = F.concat("line", F.lit("\n"), F.lead("line").over(w), F.lit("\n"), F.lead("line", 2).over(w))
-    rows = rows.select("path", F.sha1(block).alias("block")).where("block is not null")
-    return rows.groupBy("block").agg(F.count(F.lit(1)).alias("places"), F.countDistinct("path").alias("files"), F.min("path").alias("first_path")).where("places > 1")
+    # windows of three lines are cut inside the row; regions and overlaps are in project_duplicate_blocks
+    lines = F.transform(F.split("text", "\n"), normalized_line)
+    rows = T.files(spark, d).select("path", lines.alias("l")).withColumn("s", F.transform("l", lambda x: is_structural(x).cast("int"))).where("size(l) > 2")
+    free = F.filter(F.sequence(F.lit(1), F.size("l") - 2), lambda i: ~F.array_contains(F.slice("s", i, 3), 1))
+    each = rows.select("path", F.explode(F.transform(free, lambda i: F.sha1(F.array_join(F.slice("l", i, 3), "\n").cast("binary")))).alias("block"))
+    per = each.groupBy("block", "path").agg(F.count(F.lit(1)).alias("n"))  # a file's windows meet before they are dealt out by block
+    return per.groupBy("block").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("files"), F.min("path").alias("first_path")).where("places > 1")
 
 
 @query("SELECT l_partkey AS src, l_suppkey AS dst, l_linenumber::BIGINT AS line FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS k FROM lineitem) WHERE k = 1")
@@ -143,11 +153,18 @@ def rank_and_number(spark, d):
     return T.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.row_number().over(w).cast("long").alias("k")).where("k <= 20")
 
 
-@query("WITH c AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT a.l_partkey AS a, b.l_partkey AS b, count(*) AS together FROM c a JOIN c b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) > 1")
+#: The file asked about, and how many of its last commits count (fixed).
+CHANGED_FILE, LAST_COMMITS = 7, 30
+
+
+@query(f"WITH c AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), last AS (SELECT l_orderkey FROM c JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey = {CHANGED_FILE} ORDER BY o_orderdate DESC, l_orderkey DESC LIMIT {LAST_COMMITS}) SELECT l_partkey AS file, count(*) AS times FROM c WHERE l_orderkey IN (FROM last) AND l_partkey <> {CHANGED_FILE} GROUP BY 1")
 def cochange_pairs(spark, d):
+    # the commits of the file are found first, so no pairs of other files are made
     c = T.table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    pairs = c.withColumnRenamed("l_partkey", "a").join(c.withColumnRenamed("l_partkey", "b"), "l_orderkey").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("together")).where("together > 1")
+    dates = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    last = c.where(F.col("l_partkey") == CHANGED_FILE).join(dates, "l_orderkey").orderBy(F.desc("o_orderdate"), F.desc("l_orderkey")).limit(LAST_COMMITS).select("l_orderkey")
+    others = c.where(F.col("l_partkey") != CHANGED_FILE).join(F.broadcast(last), "l_orderkey", "left_semi")
+    return others.groupBy(F.col("l_partkey").alias("file")).agg(F.count(F.lit(1)).alias("times"))
 
 
 @query("""SELECT user_id, min(ts) AS started, count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM

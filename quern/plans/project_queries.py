@@ -142,8 +142,14 @@ def _whole(f):
     return f
 
 
-@_whole
-def project_scores(spark, d) -> DataFrame:
+_ROUND = lambda x: f"greatest(0, least(100, floor({x} + 0.5)))"
+_SCORES = f"""{_DEPTHS}, s AS ({_STATS}), x AS (SELECT s.*, greatest(1, files / 100.0) AS per, greatest(1, linesOfCode / 1000.0) AS kloc, (SELECT count(*) FROM supplier JOIN customer ON c_custkey = s_suppkey WHERE s_suppkey % 10 = 0) AS cycles, (SELECT CASE WHEN count(*) > 1 THEN 1 ELSE 0 END FROM supplier WHERE s_suppkey % 5 = 0) AS dups, (SELECT coalesce(max(d), 0) FROM depths WHERE node NOT IN (SELECT dst FROM ({_EDGES}))) AS deep FROM s),
+y AS (SELECT {_ROUND('100 - (cycles * 10 + layerViolations * 5 + layerSkips * 2) / per')} AS architecture, {_ROUND('100 - complexFunctions / functions * 180 - deeplyNested / functions * 60')} AS complexity, {_ROUND('100 - largeFiles / files * 200 - largeFunctions / functions * 100 - dups / per * 2')} AS maintainability, {_ROUND('100 - unresolvedImports / per * 3 - greatest(0, deep - 8) * 2')} AS dependencies, {_ROUND('100 - anyUsages / kloc * 3')} AS typeSafety FROM x)
+SELECT {_ROUND('architecture * 0.3 + complexity * 0.2 + maintainability * 0.2 + dependencies * 0.15 + typeSafety * 0.15')}::BIGINT AS overall, architecture::BIGINT AS architecture, complexity::BIGINT AS complexity, maintainability::BIGINT AS maintainability, dependencies::BIGINT AS dependencies, typeSafety::BIGINT AS typeSafety FROM y"""
+
+
+@query(_SCORES)
+def project_scores(spark, d):
     return analysis(spark, d).metrics
 
 

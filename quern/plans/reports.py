@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from quern.functions import globs, paths
 from quern.functions.text import round_half_up
-from quern.plans.catalogue import _EDGES, _FILES, _LINES, query
+from quern.plans.catalogue import _EDGES, _FILES, _LINES, _NORMAL, _STRUCTURAL, query
+from quern.plans.findings import is_structural, normalized_line
+from quern.plans.reports_project import age_text, days_since
 from quern.sources import tables as T
 
 _NOW = "1998-12-01"
@@ -32,7 +34,7 @@ def content_hashes(spark, d):
 
 @query(f"SELECT path, CASE WHEN regexp_matches(path, '^src1/') THEN true WHEN regexp_matches(path, '/de/') THEN false ELSE regexp_matches(path, '^src1[^/]*/') END AS admitted FROM ({_FILES})")
 def glob_last_match_wins(spark, d):
-    return T.files(spark, d).select("path", globs.matches("path", ["src1*", "!**/{de}/**", "src1"]).alias("admitted"))
+    return T.files(spark, d).select("path", globs.matches("path", ["src1*/**", "!**/{de}/**", "src1"]).alias("admitted"))
 
 
 @query(r"SELECT language, count(*) FILTER (regexp_matches(text, 'https?://')) AS links, count(*) FILTER (regexp_matches(text, '[0-9]{4}-[0-9]{2}')) AS dates, count(*) FILTER (regexp_matches(text, '(secret|token|password)')) AS secrets FROM (" + _FILES + ") GROUP BY language")
@@ -41,10 +43,11 @@ def marker_counts(spark, d):
     return T.files(spark, d).groupBy("language").agg(has("https?://").alias("links"), has("[0-9]{4}-[0-9]{2}").alias("dates"), has("(secret|token|password)").alias("secrets"))
 
 
-@query(f"SELECT area, count(*) AS n, count(*) FILTER (length(line) < 8) AS structural, count(DISTINCT line) AS different FROM (SELECT split_part(path, '/', 1) AS area, trim(regexp_replace(line, '[ \\t]+', ' ', 'g')) AS line FROM ({_LINES})) GROUP BY area")
+@query(f"SELECT area, count(*) AS n, count(*) FILTER ({_STRUCTURAL}) AS structural, count(DISTINCT line) AS different FROM (SELECT split_part(path, '/', 1) AS area, {_NORMAL} AS line FROM ({_LINES})) GROUP BY area")
 def structural_lines(spark, d):
-    rows = T.lines(spark, d).select(F.substring_index("path", "/", 1).alias("area"), F.trim(F.regexp_replace("line", "[ \t]+", " ")).alias("line"))
-    return rows.groupBy("area").agg(_count_all().alias("n"), _count_if(F.length("line") < 8).alias("structural"), F.countDistinct("line").alias("different"))
+    rows = T.lines(spark, d).select(F.substring_index("path", "/", 1).alias("area"), normalized_line(F.col("line")).alias("line"))
+    each = rows.groupBy("area", "line").agg(_count_all().alias("n"))  # equal lines meet first, so a hot area is small
+    return each.groupBy("area").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(is_structural(F.col("line")), F.col("n"))), F.lit(0)).alias("structural"), _count_all().alias("different"))
 
 
 @query("SELECT o_orderkey AS file, count(l_orderkey) AS functions, coalesce(max(l_quantity), 0) AS complexity FROM (SELECT DISTINCT o_orderkey FROM orders) LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
@@ -78,9 +81,9 @@ def severity_counts(spark, d):
     return T.table(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("category")).agg(_count_if(q > 45).alias("critical"), _count_if((q > 25) & (q <= 45)).alias("warning"), _count_if(q <= 25).alias("info"))
 
 
-@query("WITH f AS (SELECT l_partkey AS name, string_agg(DISTINCT l_suppkey::VARCHAR, '|' ORDER BY l_suppkey::VARCHAR) AS files FROM lineitem WHERE l_linenumber = 1 GROUP BY l_partkey) SELECT files, count(*) AS names, min(name) AS first_name FROM f GROUP BY files HAVING count(*) > 1")
+@query("WITH f AS (SELECT l_partkey AS name, string_agg(DISTINCT l_returnflag || l_linestatus || l_linenumber % 3, '|' ORDER BY l_returnflag || l_linestatus || l_linenumber % 3) AS files FROM lineitem GROUP BY l_partkey) SELECT files, count(*) AS names, min(name) AS first_name FROM f GROUP BY files HAVING count(*) > 1")
 def shared_name_groups(spark, d):
-    held = T.table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("name"), F.col("l_suppkey").cast("string").alias("file"))
+    held = T.table(spark, d, "lineitem").select(F.col("l_partkey").alias("name"), F.concat("l_returnflag", "l_linestatus", (F.col("l_linenumber") % 3).cast("string")).alias("file"))
     sets = held.groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("file")), "|").alias("files"))
     return sets.groupBy("files").agg(_count_all().alias("names"), F.min("name").alias("first_name")).where("names > 1")
 
@@ -99,21 +102,26 @@ def metric_drift(spark, d):
     return counts.withColumn("delta", F.col("after_n") - F.col("before_n")).where("delta <> 0")
 
 
-@query(f"SELECT o_orderkey AS id, days, CASE WHEN days < 1 THEN 'today' WHEN days < 60 THEN days || ' days' WHEN days < 730 THEN days // 30 || ' months' ELSE days // 365 || ' years' END AS age FROM (SELECT o_orderkey, greatest(0, date_diff('day', o_orderdate::DATE, DATE '{_NOW}'))::BIGINT AS days FROM orders)")
+_MINUTES = f"floor(date_diff('second', o_orderdate, TIMESTAMP '{_NOW}') / 60.0 + 0.5)"
+
+
+@query(f"""SELECT o_orderkey AS id, greatest(0, floor(date_diff('second', o_orderdate, TIMESTAMP '{_NOW}') / 86400.0 + 0.5))::BIGINT AS days,
+CASE WHEN m IS NULL THEN 'earlier' WHEN m < 2 THEN 'just now' WHEN m < 60 THEN m::BIGINT || ' minutes ago' WHEN floor(m / 60 + 0.5) < 24 THEN floor(m / 60 + 0.5)::BIGINT || CASE WHEN floor(m / 60 + 0.5) = 1 THEN ' hour ago' ELSE ' hours ago' END
+ELSE floor(floor(m / 60 + 0.5) / 24 + 0.5)::BIGINT || CASE WHEN floor(floor(m / 60 + 0.5) / 24 + 0.5) = 1 THEN ' day ago' ELSE ' days ago' END END AS age FROM (SELECT *, {_MINUTES} AS m FROM orders)""")
 def commit_ages(spark, d):
-    days = F.greatest(F.lit(0), F.datediff(F.lit(_NOW).cast("date"), F.col("o_orderdate").cast("date"))).cast("long")
-    n = F.col("days")
-    text = lambda per, unit: F.concat(F.floor(n / per).cast("string"), F.lit(unit))
-    age = F.when(n < 1, "today").when(n < 60, text(1, " days")).when(n < 730, text(30, " months")).otherwise(text(365, " years"))
-    return T.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), days.alias("days")).withColumn("age", age)
+    date, now = F.col("o_orderdate").cast("string"), F.lit(_NOW).cast("timestamp")
+    return T.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), days_since(date, now).alias("days"), age_text(date, now).alias("age"))
 
 
-@query("SELECT n_name AS typed, min_by(r_name, (levenshtein(n_name, r_name), r_name)) AS suggestion FROM nation, region WHERE levenshtein(n_name, r_name) <= greatest(4, length(n_name) // 4) GROUP BY n_name")
+@query("SELECT typed, min_by(r_name, (distance, r_regionkey)) AS suggestion FROM (SELECT typed, r_name, r_regionkey, levenshtein(lower(typed), lower(r_name)) AS distance FROM (SELECT DISTINCT lower(substr(r_name, 1, length(r_name) - 1)) AS typed FROM region UNION SELECT n_name FROM nation), region) GROUP BY typed HAVING min(distance) <= greatest(1, greatest(length(typed), length(min_by(r_name, (distance, r_regionkey)))) // 4)")
 def did_you_mean(spark, d):
     # both sides are fixed vocabularies of names, a few dozen rows at any scale
-    distance = F.levenshtein("n_name", "r_name")
-    pairs = T.table(spark, d, "nation").join(F.broadcast(T.table(spark, d, "region")), distance <= F.greatest(F.lit(4), F.floor(F.length("n_name") / 4)))
-    return pairs.groupBy(F.col("n_name").alias("typed")).agg(F.min_by("r_name", F.struct(distance.alias("d"), "r_name")).alias("suggestion"))
+    region = T.table(spark, d, "region")
+    typed = region.select(F.lower(F.expr("substr(r_name, 1, length(r_name) - 1)")).alias("typed")).union(T.table(spark, d, "nation").select("n_name")).distinct()
+    pairs = typed.join(region, how="cross").withColumn("distance", F.levenshtein(F.lower("typed"), F.lower("r_name")))
+    best = pairs.groupBy("typed").agg(F.min("distance").alias("distance"), F.min_by("r_name", F.struct("distance", "r_regionkey")).alias("suggestion"))
+    budget = F.greatest(F.lit(1), F.floor(F.greatest(F.length("typed"), F.length("suggestion")) / 4))
+    return best.where(F.col("distance") <= budget).select("typed", "suggestion")
 
 
 @query("SELECT o_orderkey AS change, count(*) AS files, count(DISTINCT l_suppkey) AS areas, CASE WHEN sum(l_quantity) > 150 THEN 'large' WHEN sum(l_quantity) > 50 THEN 'medium' ELSE 'small' END AS magnitude FROM (SELECT DISTINCT o_orderkey FROM orders) JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import fingerprint
 from quern.operators import graph
 from quern.plans.catalogue import _CLOSURE, _EDGES, _FILES, _LINES, query
+from quern.plans.reports_project import RATIONALE, is_rationale
 from quern.sources import tables as T
 
 #: Fixed limits of the rules on functions: rule, measure, limit.
@@ -117,10 +118,9 @@ def issue_list_length(spark, d):
     return T.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("scope")).agg(critical.alias("critical"), F.least(F.lit(5), F.greatest(F.lit(3), critical)).cast("long").alias("listed"))
 
 
-@query("SELECT role, count(*) AS n, count(*) FILTER (regexp_matches(text, '(?i)(because|so that|instead of|to avoid|in order to)')) AS reasons FROM conversations GROUP BY role")
+@query("SELECT role, count(*) AS n, count(*) FILTER (regexp_matches(coalesce(text, '') || ' ', '(?i)" + "|".join(RATIONALE) + "')) AS reasons FROM conversations GROUP BY role")
 def rationale_commits(spark, d):
-    reason = F.col("text").rlike("(?i)(because|so that|instead of|to avoid|in order to)")
-    return T.table(spark, d, "conversations").groupBy("role").agg(_count_all().alias("n"), _count_if(reason).alias("reasons"))
+    return T.table(spark, d, "conversations").groupBy("role").agg(_count_all().alias("n"), _count_if(is_rationale(F.coalesce("text", F.lit("")), F.lit(""))).alias("reasons"))
 
 
 @query("SELECT l_orderkey AS file, bool_or(l_quantity > 40 OR l_linenumber > 5) AS behaves FROM lineitem GROUP BY l_orderkey")

@@ -8,7 +8,7 @@ import pytest
 
 from quern.operators import graph
 from quern.functions import globs
-from quern.plans import catalogue, reports, rules
+from quern.plans import catalogue, project_queries, reports, rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,7 +38,7 @@ def test_globs_cover_folders_choices_and_exclusions(spark):
     assert kept("src", "!src/gen") == {"src/a.ts", "src/x/b.tsx"} and kept("**/*.{ts,tsx}", "!**/a.ts", "lib/**") == {"src/x/b.tsx", "src/gen/c.ts", "lib/a.ts"}
 
 
-@pytest.mark.parametrize("name", ["sloc_per_file", "dup_block_windows", "edges_first_wins", "layer_relations", "session_debounce", "unused_dependencies", *(n for n, f in catalogue.QUERIES.items() if f.__module__ in (reports.__name__, rules.__name__))])
+@pytest.mark.parametrize("name", ["sloc_per_file", "dup_block_windows", "edges_first_wins", "layer_relations", "session_debounce", "unused_dependencies", *(n for n, f in catalogue.QUERIES.items() if f.__module__ in (reports.__name__, rules.__name__, project_queries.__name__) and n in catalogue.SQL)])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
