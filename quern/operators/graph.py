@@ -102,6 +102,12 @@ def closure(edges: DataFrame, most: int | None = None) -> DataFrame:
     return known
 
 
+def strong_components(pairs: DataFrame) -> DataFrame:
+    """(node, component) for nodes on cycles, from a closure: the definition that ``components`` follows without holding all pairs."""
+    back = pairs.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
+    return pairs.select("src", "dst").join(back, ["src", "dst"]).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
+
+
 def reach(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """(start, node, distance) along edges from each of ``starts`` (start), the start itself left out, ``most`` steps at most.
 

@@ -41,8 +41,16 @@ def _components(depths):
     return out
 
 
-@pytest.mark.parametrize("seed, n, m", [(1, 30, 36), (2, 30, 60)])
-def test_operators_equal_brute_force(spark, seed, n, m):
+@pytest.fixture(params=["in memory", "by joins"])
+def way(request, monkeypatch):
+    """Both ways of solving: within the local bound and beyond it."""
+    if request.param == "by joins":
+        monkeypatch.setattr(graph, "LOCAL_EDGES", -1)
+
+
+@pytest.mark.parametrize("seed, n, m, bound", [(1, 30, 36, graph.LOCAL_EDGES), (2, 30, 60, graph.LOCAL_EDGES), (3, 14, 22, -1)])
+def test_operators_equal_brute_force(spark, monkeypatch, seed, n, m, bound):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", bound)
     rng = random.Random(seed)
     rows = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]  # self edges and repeats too
     df, depths = spark.createDataFrame(rows, "src long, dst long"), _depths(rows)
@@ -50,6 +58,52 @@ def test_operators_equal_brute_force(spark, seed, n, m):
     assert {r.node: r.affected for r in graph.reach_counts(df).collect()} == _affected(depths)
 
 
+def _longest(edges):
+    """Longest chains by the definition: a component of n counts n - 1, then the best way on."""
+    depths = _depths(edges)
+    part = {x: min([x, *(b for (a, b) in depths if a == x and (b, a) in depths)]) for e in edges for x in e}
+    size = {p: sum(q == p for q in part.values()) for p in part.values()}
+    after = {p: {part[b] for a, b in edges if part[a] == p and part[b] != p} for p in size}
+
+    def deep(p):
+        return size[p] - 1 + max((1 + deep(q) for q in after[p]), default=0)
+
+    return {x: deep(p) for x, p in part.items()}
+
+
+EDGES = {
+    "chain": ["ab", "bc", "cd"],
+    "two ways": ["es", "el", "lm", "mn"],
+    "diamond": ["el", "er", "ls", "rs", "sx"],
+    "loop of two": ["ab", "ba", "bt", "tu"],
+    "loop of three": ["ab", "bc", "ca"],
+    "apart": ["ab", "bc", "xy"],
+}
+
+
+@pytest.mark.parametrize("name, bound", [*((n, graph.LOCAL_EDGES) for n in EDGES), ("two ways", -1), ("loop of two", -1)])
+def test_depths(spark, monkeypatch, name, bound):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", bound)
+    rows = [tuple(e) for e in EDGES[name]]
+    got = {r.node: r.depth for r in graph.depths(spark.createDataFrame(rows, "src string, dst string")).collect()}
+    assert got == _longest(rows) and max(got.values()) == {"chain": 3, "two ways": 3, "diamond": 3, "loop of two": 3, "loop of three": 2, "apart": 2}[name]
+
+
+def test_reach_and_loops(spark, way):
+    rows = [tuple(e) for e in ("ab", "bc", "ca", "cd", "de", "xy", "yx")]
+    df = spark.createDataFrame(rows, "src string, dst string")
+    got = {(r.start, r.node): r.distance for r in graph.reach(df, spark.createDataFrame([("a",), ("x",)], "start string"), 3).collect()}
+    assert got == {("a", "b"): 1, ("a", "c"): 2, ("a", "d"): 3, ("x", "y"): 1}
+    assert {r.node for r in graph.dependents(df, spark.createDataFrame([("d",)], "start string")).collect()} == {"a", "b", "c"}
+    assert sorted(r.files for r in graph.loops(df).collect()) == [["a", "b", "c"], ["x", "y"]]
+
+
+def test_depth_of_a_large_branching_graph(spark):
+    rows = [(i, j) for i in range(2000) for j in range(i + 1, min(i + 4, 2000))]
+    got = {r.node: r.depth for r in graph.depths(spark.createDataFrame(rows, "src long, dst long")).collect()}
+    assert got[0] == 1999 and got[1999] == 0
+
+
 def test_no_edges(spark):
     none = spark.createDataFrame([], "src long, dst long")
     assert graph.components(none).count() == graph.reach_counts(none).count() == 0
