@@ -24,6 +24,8 @@ from quern.plans.settings import load as load_settings
 from quern.sources import git
 from quern.sources import project as S
 
+#: What parsed a cached row; another version's rows are parsed again.
+TOOL = "quern-0.2"
 STEPS = ("reading-project", "parsing-files", "building-graph", "checking-architecture", "checking-patterns", "done")
 #: Fixed: shares of the scores in the overall one, and what a count costs.
 WEIGHTS = {"architecture": 0.3, "complexity": 0.2, "maintainability": 0.2, "dependencies": 0.15, "typeSafety": 0.15}
@@ -172,15 +174,20 @@ def from_texts(spark: SparkSession, texts: DataFrame, info: S.ProjectInfo | None
     return Analysis(spark, graph.cut(extract.parse_files(texts)), info or S.ProjectInfo(), settings or base_settings(), **more)
 
 
-def analyze(spark: SparkSession, root: str, settings: Settings | None = None, max_files: int = MAX_FILES, changes: git.Changes | None = None, progress: Callable[[str], None] = lambda step: None) -> Analysis:
-    """An analysis of a folder; ``progress`` hears each of ``STEPS``."""
+def analyze(spark: SparkSession, root: str, settings: Settings | None = None, max_files: int = MAX_FILES, changes: git.Changes | None = None, progress: Callable[[str], None] = lambda step: None, cache: bool = False) -> Analysis:
+    """An analysis of a folder; ``progress`` hears each of ``STEPS``; with ``cache``, unchanged files aren't parsed again."""
     progress(STEPS[0])
     settings = settings or load_settings(root)
     paths, cut_short = S.scan(root, settings, max_files)
     info = S.detect(root, paths)
     progress(STEPS[1])
     before = manifest_at(spark, root, changes.base) if changes and changes.base else None
-    a = from_texts(spark, S.read_texts(spark, root, paths), info, settings, truncated=cut_short, base_packages=before)
+    if cache:
+        from quern.sources.state import State, parse_cached
+
+        a = Analysis(spark, parse_cached(State(spark, root), paths, TOOL), info, settings, cut_short, before)
+    else:
+        a = from_texts(spark, S.read_texts(spark, root, paths), info, settings, truncated=cut_short, base_packages=before)
     for step, built in zip(STEPS[2:5], ("edges", "cycles", "findings")):
         progress(step)
         getattr(a, built)

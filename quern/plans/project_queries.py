@@ -21,7 +21,11 @@ _KEPT: dict[tuple[str, str], A.Analysis] = {}
 def analysis(spark: SparkSession, d: str) -> A.Analysis:
     """The sample project's analysis; files are parsed once for a session and folder."""
     key = spark.sparkContext.applicationId, d
-    if key not in _KEPT:
+    try:
+        known = key in _KEPT and _KEPT[key].files.limit(1).count() >= 0
+    except Exception:  # the scratch folder was emptied: parse again
+        known = False
+    if not known:
         _KEPT[key] = A.from_texts(spark, sample.texts(spark, d), sample.INFO, SETTINGS)
     return _KEPT[key]
 

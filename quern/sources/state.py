@@ -6,15 +6,17 @@ Every table carries its version; one of another version reads as no rows.
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions.extract import PARSED
+from quern.functions.extract import PARSED, parse_files
 from quern.plans import settings as S
 from quern.sources import git
+from quern.sources.project import read_texts
 
 BASELINE_VERSION, HISTORY_VERSION, SNAPSHOT_VERSION, CACHE_VERSION = "1", "1", "1", "3"
 MAX_HISTORY = 50
@@ -57,9 +59,21 @@ class State:
         rows.write.parquet(path)
         with open(self._pointer(name) + ".new", "w", encoding="utf-8") as f:
             f.write(fresh)
+        held = self._held(name)
         os.replace(self._pointer(name) + ".new", self._pointer(name))
+        folder = os.path.dirname(self._pointer(name))
+        for old in os.listdir(folder):  # the version before stays for those who still read it
+            if old not in ("CURRENT", fresh, held):
+                shutil.rmtree(os.path.join(folder, old), ignore_errors=True)
         return path
 
+    def _held(self, name: str) -> str | None:
+        try:
+            with open(self._pointer(name), encoding="utf-8") as f:
+                return f.read().strip()
+        except OSError:
+            return None
+
     # baseline ---------------------------------------------------------------
 
     def baseline(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -121,6 +135,25 @@ class State:
         self.write("cache", rows.select(F.lit(CACHE_VERSION).alias("version"), F.lit(tool).alias("tool"), *names))
 
 
+def parse_cached(state: State, paths: list[str], tool: str) -> DataFrame:
+    """Parsed rows of a tree's files, with their text: those whose time and size, or else content, are cached aren't parsed again.
+
+    The cache is replaced by what is returned, so that dead paths go.
+    """
+    spark, root = state.spark, state.root
+    stats = [(p, os.stat(os.path.join(root, p))) for p in paths if os.path.exists(os.path.join(root, p))]
+    listing = spark.createDataFrame([(p, s.st_mtime_ns, s.st_size) for p, s in stats], "path string, mtime long, size long")
+    cached = state.cached(tool)
+    hits, misses = cache_hits(listing, cached)
+    asked = [r.path for r in misses.select("path").collect()]
+    texts = misses.join(read_texts(spark, root, asked), "path").withColumn("hash", F.substring(F.sha1(F.coalesce("text", F.lit("")).cast("binary")), 1, 16))
+    same, new = revalidated(texts, cached)
+    names = [c for c in cached.columns if c not in ("version", "tool")]
+    parsed = parse_files(new).join(listing, "path")
+    state.save_cache(tool, hits.select(names).unionByName(same.select(names)).unionByName(parsed.select(names)))
+    return state.cached(tool).drop("version", "tool", "mtime", "size")
+
+
 def cache_hits(listing: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cached rows whose file has the same time and size, listed files without one)."""
     hits = cached.join(listing.select("path", "mtime", "size"), ["path", "mtime", "size"], "left_semi")
