@@ -38,10 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def _local(edges: DataFrame) -> list[tuple] | None:
-    """All edges, if they are few enough."""
-    rows = edges.limit(LOCAL_EDGES + 1).toArrow()
-    if rows.num_rows > LOCAL_EDGES:
+    """All edges, if they are few enough; they are counted first."""
+    edges = cut(edges)
+    if edges.count() > LOCAL_EDGES:
         return None
+    rows = edges.toArrow()
     return list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
 
 
