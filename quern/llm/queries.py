@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontam, langid, lm, neardup, packing, pii, quality, secretscan, substring, toxicity
+from quern.llm import audit, codes, decontam, langid, lm, neardup, packing, pii, quality, secretscan, substring, toxicity
 from quern.llm.store import materialize
 
 
@@ -61,6 +61,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.find_hits(docs, _table(spark, sf_dir, "benchmark")))
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_language, op3_quality, op4_neardup, op5_lm, op6_secrets, op7_pii, op8_toxicity, op9_substrings, op10_decontamination, pipeline)
+    f.__name__: f for f in (op1_packing, op2_language, op3_quality, op4_neardup, op5_lm, op6_secrets, op7_pii, op8_toxicity, op9_substrings, op10_decontamination, op12_codes, op13_audit, pipeline)
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -93,7 +101,51 @@ def _fence(name: str, keys: str) -> str:
 _REASONS = " ".join(f"WHEN bin_{f} > cut_{f} THEN '{f}'" for f in quality.FEATURES)
 _CUTS = ", ".join(f"max(cut) FILTER (feature = '{f}') AS cut_{f}" for f in quality.FEATURES)
 
+
+
+def _lloyd(k: int) -> str:
+    """Round k in SQL: every part's nearest entry of book k, and book k + 1."""
+    return f"""
+near{k} AS MATERIALIZED (
+  SELECT p.row, p.part, p.v, min(struct_pack(d := p.vv - 2 * list_inner_product(p.v, b.v) + b.vv, e := b.entry)) AS best FROM parts p JOIN book{k} b ON b.part = p.part GROUP BY p.row, p.part, p.v),
+mean{k} AS (SELECT part, best.e AS entry, i, floor(sum(v[i]) / count(*)) AS x FROM near{k}, unnest(range(1, len(v) + 1)) AS t(i) GROUP BY ALL),
+next{k} AS (SELECT part, entry, list(x ORDER BY i) AS v FROM mean{k} GROUP BY part, entry),
+book{k + 1} AS MATERIALIZED (SELECT part, entry, v, list_inner_product(v, v) AS vv FROM (SELECT b.part, b.entry, coalesce(n.v, b.v) AS v FROM book{k} b LEFT JOIN next{k} n USING (part, entry))),"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_codes": f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT row, part, v, list_inner_product(v, v) AS vv FROM (SELECT row, part, v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)] AS v FROM kept, unnest(range(4)) AS t(part))),
+book0 AS MATERIALIZED (SELECT part, row - 1 AS entry, v, vv FROM parts WHERE row <= {codes.ENTRIES}),
+{"".join(_lloyd(k) for k in range(codes.ROUNDS + 1))}
+coded AS (SELECT row, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM near{codes.ROUNDS} GROUP BY row),
+digest AS (SELECT sha256(string_agg(v[i]::BIGINT::VARCHAR, ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM book{codes.ROUNDS}, unnest(range(1, len(v) + 1)) AS t(i))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (row), digest""",
+    "op13_audit": """
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+words AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS least FROM texts),
+marked AS (
+  SELECT doc_id, part, CASE WHEN len(ws) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask
+  FROM words),
+flags AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+cells AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS n_good, coalesce(sum(toxic), 0) AS n_toxic FROM marked LEFT JOIN flags USING (doc_id) GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.f NOT IN (b.f, c.f, d.f, e.f) AND b.f NOT IN (c.f, d.f, e.f) AND c.f NOT IN (d.f, e.f) AND d.f <> e.f),
+steps AS (SELECT filter_order, step, filter_order[step] AS filter, (1 << (ascii(filter_order[step]) - 65))::INTEGER AS bit FROM orders, unnest(range(1, 6)) AS t(step)),
+long AS (SELECT *, mask & bit AS failed, coalesce(bit_or(mask & bit) OVER (PARTITION BY part, mask, filter_order ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM cells, steps),
+counted AS (
+  SELECT part, filter_order, step, filter,
+    sum(CASE WHEN failed = 0 AND earlier = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN failed <> 0 AND earlier = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN failed <> 0 AND earlier <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN failed <> 0 AND earlier = 0 THEN n_good ELSE 0 END) AS good_lost, sum(CASE WHEN failed <> 0 AND earlier = 0 THEN n_toxic ELSE 0 END) AS toxic_lost
+  FROM long GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, filter, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM counted""",
     "op3_quality": f"""
 WITH texts AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 words AS (SELECT doc_id, lang, source, text, regexp_extract_all(text, {_WORD}) AS ws FROM texts),

@@ -10,16 +10,29 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; where none is set, one in the warehouse, and a local one only if all runs in one process."""
+    """The folder that the cluster shares; where none is set, one in the warehouse, and a local one only if all runs in one process.
+
+    A cluster whose warehouse lies on a local file system has no folder that
+    all machines see: that is an error, not a folder of the driver's own.
+    """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
-        local = sc.master.startswith("local")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quern-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/quern-scratch")
+        if sc.master.startswith("local"):
+            root = tempfile.mkdtemp(prefix="quern-")
+        else:
+            root = f"{spark.conf.get('spark.sql.warehouse.dir')}/quern-scratch"
+            if _path(spark, root).getFileSystem(sc._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        sc.setCheckpointDir(root)
         root = sc.getCheckpointDir()
     return root
 
 
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -28,11 +41,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = _path(spark, path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table that ``materialize`` wrote, once nothing reads it any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if f"/quern-{df.sparkSession.sparkContext.applicationId}/" in folder:
+            _delete(df.sparkSession, folder)
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete all tables that this application materialized; call it once results are written, since they read from these."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/quern-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{scratch_dir(spark)}/quern-{spark.sparkContext.applicationId}")
 
 
 def text_bytes(docs: DataFrame) -> int:
