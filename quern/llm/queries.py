@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import audit, codes, decontam, langid, lm, neardup, packing, pii, quality, secretscan, substring, toxicity
+from quern.llm import audit, codes, decontam, langid, lm, neardup, packing, pii, quality, search, secretscan, substring, toxicity
 from quern.llm.store import materialize
 
 
@@ -61,6 +61,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.find_hits(docs, _table(spark, sf_dir, "benchmark")))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "embeddings"), every=100)
+
+
 def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(_table(spark, sf_dir, "embeddings")).drop("label")
 
@@ -76,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_language, op3_quality, op4_neardup, op5_lm, op6_secrets, op7_pii, op8_toxicity, op9_substrings, op10_decontamination, op12_codes, op13_audit, pipeline)
+    f.__name__: f for f in (op1_packing, op2_language, op3_quality, op4_neardup, op5_lm, op6_secrets, op7_pii, op8_toxicity, op9_substrings, op10_decontamination, op11_neighbours, op12_codes, op13_audit, pipeline)
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
