@@ -1,8 +1,12 @@
-"""Graph operators on (src, dst) edges.
-
-A graph of at most ``LOCAL_EDGES`` edges, counted first, is solved in memory
-on the driver by linear algorithms; a larger one by rounds of joins that hold
-a row per node or edge.  Both ways give the same rows.
+"""Graph operators on (src, dst) edges, as rounds of joins that hold a row per node or edge.
+
+A graph of at most ``LOCAL_EDGES`` edges, counted first, is solved in memory;
+both ways give the same rows.  What a larger graph costs is its rounds.  Long chains take no round a step: nodes
+with a single way on are contracted by doubling pointers, and depths double
+the steps that they look ahead.  Strong components come from searches of 64
+pivots at a time, a bit each, and from colours, which split what is left.
+Every round is written to the folder that the cluster shares and the one
+before it deleted, so plans don't grow and lost executors lose no round.
 """
 
 from __future__ import annotations
@@ -10,25 +14,50 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections import defaultdict, deque
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Edges solved in memory: some 100 MB of Python objects.
-LOCAL_EDGES = 1_000_000
+#: Edges of a graph that is solved in memory: a few MB, as small as a table that is broadcast, and spared some hundred jobs.
+LOCAL_EDGES = 20_000
+#: Starts whose reach in such a graph is held in memory: at most this many times its nodes.
+LOCAL_STARTS = 50
+#: Pivots of a search: the bits of a long.
+PIVOTS = 64
+#: Nodes with a single way on are contracted if they are more than this share of the edges, and more than a few.
+WORTH, FEW = 0.1, 32
+#: Rows that a round of ``depths`` may join to look twice as far ahead: a multiple of the edges, or this many.
+AHEAD, LEAST_AHEAD = 8, 16_000_000
+#: Rows of a sketch: sums over fewer parts are exact, others have a standard error of 1 / sqrt(SKETCH - 2).
+SKETCH = 1024
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that the cluster shares; where none is set, one in the warehouse, and a local one only if all runs in one process."""
+    """The folder that the cluster shares; where none is set, one in the warehouse, and a local one only if all runs in one process.
+
+    A cluster whose warehouse lies on a local file system has no folder that
+    all machines see: that is an error, not a folder of the driver's own.
+    """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
-        local = sc.master.startswith("local")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quern-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/quern-scratch")
+        if sc.master.startswith("local"):
+            root = tempfile.mkdtemp(prefix="quern-")
+        else:
+            root = f"{spark.conf.get('spark.sql.warehouse.dir')}/quern-scratch"
+            if _folder(spark, root)[1].getUri().getScheme() == "file":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        sc.setCheckpointDir(root)
         root = sc.getCheckpointDir()
     return root
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write to the shared checkpoint folder and read back, so that plans don't grow with the rounds."""
     spark = df.sparkSession
@@ -37,6 +66,19 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, once nothing reads them any more."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/graph-" in path:
+                at, system = _folder(df.sparkSession, path)
+                system.delete(at, True)
+
+
+def _back(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
 def _local(edges: DataFrame) -> list[tuple] | None:
     """All edges, if they are few enough; they are counted first."""
     edges = cut(edges)
@@ -115,11 +157,10 @@ def reach(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataF
     Holds a row for each start and node it reaches, so the starts decide the
     size: a change, the tests, a page, not all nodes of a large graph.
     """
-    edges = edges.select("src", "dst").distinct()
-    starts = starts.select("start").distinct()
+    edges, starts = edges.select("src", "dst").distinct(), starts.select("start").distinct()
     pairs = _local(edges)
-    asked = [r.start for r in starts.limit(1001).collect()] if pairs is not None else []
-    if pairs is not None and len(asked) <= 1000:
+    asked = [r.start for r in starts.limit(LOCAL_STARTS + 1).collect()] if pairs is not None else []
+    if pairs is not None and len(asked) <= LOCAL_STARTS:
         after, rows = _adjacency(pairs), []
         for s in asked:
             seen, queue = {s: 0}, deque([s])
@@ -146,79 +187,174 @@ def reach(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataF
 
 def dependents(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """``reach`` against the edges: who could break if a start changes."""
-    return reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts, most)
+    return reach(_back(edges), starts, most)
 
 
-def _spread(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(node, label): the least of ``start``'s labels that reaches each node, its own among them."""
-    known = fresh = cut(start)
+def _flow(edges: DataFrame, start: DataFrame, merge: Callable[[str], Column]) -> DataFrame:
+    """(node, label): ``start``'s labels merged along all paths, a node's own included; merging is idempotent and only ever changes a label one way."""
+    known, fresh = start, cut(start)
     while not fresh.isEmpty():
-        step = fresh.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("label"))
-        old = known.withColumnRenamed("label", "old")
-        fresh = cut(step.join(old, "node", "left").where("old is null or label < old").select("node", "label"))
-        known = cut(known.union(fresh).groupBy("node").agg(F.min("label").alias("label")))
+        step = fresh.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "label").groupBy("node").agg(merge("label").alias("label"))
+        old = known.select("node", F.col("label").alias("old"))
+        both = step.join(old, "node", "left").select("node", F.explode(F.array("label", F.coalesce("old", "label"))).alias("label"), "old").groupBy("node", "old").agg(merge("label").alias("label"))
+        fresh, last = cut(both.where("old is null or label <> old").select("node", "label")), fresh
+        known, before = cut(known.join(fresh, "node", "left_anti").union(fresh)), known
+        discard(last, *([] if before is start else [before]))
     return known
 
 
-def _trim(edges: DataFrame) -> DataFrame:
-    """Without nodes that nothing enters or nothing leaves, which are on no cycle."""
+def _contract(edges: DataFrame, loops: DataFrame, n: int) -> dict | None:
+    """What is left of ``n`` edges when nodes with a single way on are merged into where they lead, as long as that is single too; None if it isn't worth it.
+
+    Pointers are doubled: after k rounds a node points 2**k steps on, or to the
+    first node that has several ways or none.  Pointers that never end are on
+    or lead into a cycle without an exit, a component by itself.  ``jumps`` are
+    the pointers of every round; ``into`` where each merged node ends.
+    """
+    pointers = cut(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("at")).where("n = 1").select(F.col("src").alias("node"), "at", F.least("src", "at").alias("least"), F.lit(False).alias("done")))
+    jumps, left = [pointers], pointers.count()
+    if left <= max(FEW, WORTH * n):
+        return None
+    for _ in range(left.bit_length() + 1):
+        on = pointers.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("least").alias("l"), F.col("done").alias("d"))
+        moved = pointers.where("not done").join(on, "at", "left").select("node", F.coalesce("next", "at").alias("at"), F.least("least", F.coalesce("l", "least")).alias("least"), (F.col("next").isNull() | F.col("d")).alias("done"))
+        pointers = cut(moved.union(pointers.where("done")))
+        jumps.append(pointers)
+        if pointers.where("not done").isEmpty():
+            break
+    ends = pointers.where("not done")
+    closed = cut(ends.select(F.col("at").alias("node")).distinct().join(pointers.select("node", "least"), "node"))
+    merged = pointers.select("node", "at", "done")
+    lead = edges.join(merged.select(F.col("node").alias("src")), "src", "left_anti").join(merged.select(F.col("node").alias("dst"), "at", "done"), "dst", "left").where("done is null or done")
+    lead = cut(lead.select("src", F.coalesce("at", "dst").alias("dst")).distinct())
+    own = loops.join(merged.select("node"), "node", "left_anti").union(lead.where("src = dst").select(F.col("src").alias("node"))).distinct()
+    return {"edges": lead.where("src <> dst"), "loops": cut(own), "before": edges, "before_loops": loops, "closed": closed, "jumps": jumps, "into": pointers.where("done").select("node", "at")}
+
+
+def _restore(level: dict, found: DataFrame) -> DataFrame:
+    """(node, component) before a contraction from those after it.
+
+    A merged node is on a cycle if a node that was kept enters it, or one
+    that leads to it, and belongs with where it ends; the jumps carry that on.
+    """
+    into = level["into"]
+    entered = level["before"].join(into.select(F.col("node").alias("dst"), "at"), "dst").join(found.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(found.select(F.col("node").alias("at"), F.col("component").alias("b")), "at").where("a = b")
+    marked = cut(entered.select(F.col("dst").alias("node")).distinct())
+    for jump in level["jumps"]:
+        further = marked.join(jump.select("node", F.col("at").alias("to")), "node").select(F.col("to").alias("node"))
+        marked, last = cut(marked.union(further).distinct()), marked
+        discard(last)
+    more = marked.join(into, "node").join(found.select(F.col("node").alias("at"), "component"), "at").select("node", "component")
+    found = found.union(more).union(level["closed"].select("node", F.col("least").alias("component")))
+    alone = level["before_loops"].join(found, "node", "left_anti")
+    return cut(found.union(alone.select("node", F.col("node").alias("component"))))
+
+
+def _trim(edges: DataFrame, rounds: int) -> DataFrame:
+    """Without nodes that nothing enters or nothing leaves, which are on no cycle; ``rounds`` at most."""
     n = edges.count()
-    while n:
+    for _ in range(rounds):
         src, dst = edges.select("src").distinct(), edges.select(F.col("dst").alias("src")).distinct()
         both = src.join(dst, "src", "left_semi")
         edges = cut(edges.join(both, "src", "left_semi").join(both.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst"))
         before, n = n, edges.count()
-        if n == before:
+        if n in (0, before):
             break
     return edges
 
 
+def _search(edges: DataFrame, kind: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of the components that hold a pivot, and (node, kind) of the other nodes, split by what they reach.
+
+    Every kind of nodes has up to ``PIVOTS`` pivots, a bit each; edges stay
+    inside a kind.  Nodes of one component reach the same pivots and are
+    reached by the same, so a node that shares a bit both ways is in that
+    pivot's component, and no component is split.
+    """
+    h = F.xxhash64("node", F.lit(turn))
+    slots = kind.select("kind", "node", h.alias("h")).groupBy("kind", F.pmod(F.col("h"), F.lit(PIVOTS)).cast("int").alias("slot")).agg(F.min_by("node", "h").alias("node"))
+    pivots = cut(slots.select("node", F.expr("shiftleft(1L, slot)").alias("label")))
+    ahead, behind = _flow(edges, pivots, F.bit_or), _flow(_back(edges), pivots, F.bit_or)
+    seen = kind.join(ahead.withColumnRenamed("label", "f"), "node", "left").join(behind.withColumnRenamed("label", "b"), "node", "left").fillna(0, ["f", "b"])
+    seen = cut(seen.withColumn("own", F.col("f").bitwiseAND(F.col("b"))))
+    names = seen.where("own <> 0").groupBy("kind", "own").agg(F.min("node").alias("component"))
+    return cut(seen.where("own <> 0").join(names, ["kind", "own"]).select("node", "component")), seen.where("own = 0").select("node", F.xxhash64("kind", "f", "b").alias("kind"))
+
+
+def _colour(edges: DataFrame, kind: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``_search``: each node takes the least node that reaches it as its colour; those that reach it inside the colour are its component."""
+    colour = _flow(edges, kind.select("node", F.col("node").alias("label")), F.min)
+    a, b = colour.toDF("src", "a"), colour.toDF("dst", "b")
+    inside = cut(edges.join(a, "src").join(b, "dst").where("a = b").select("src", "dst"))
+    found = _flow(_back(inside), cut(colour.where("node = label")), F.min)
+    rest = kind.join(found.select("node"), "node", "left_anti").join(colour, "node")
+    return found.select("node", F.col("label").alias("component")), rest.select("node", F.xxhash64("kind", "label").alias("kind"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for nodes on cycles: the least node of those that reach it and that it reaches.
 
-    Beyond the local bound: in each round every node takes the least node that
-    reaches it as its colour; the nodes that reach their colour's node inside
-    the colour are one component and leave the graph.
+    Chains and trees are contracted both ways first.  What is left is searched
+    from many pivots and by colours in turn; found components leave, and edges
+    between nodes that were told apart are cut.  Rounds follow the diameter
+    of what can't be contracted, not the length of chains.
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     pairs = _local(edges)
     if pairs is not None:
         own = {a for a, b in pairs if a == b}
         groups = [g for g in _strong(_adjacency(pairs)) if len(g) > 1 or g[0] in own]
         kind = _node_type(edges)
         return edges.sparkSession.createDataFrame([(n, min(g)) for g in groups for n in g], f"node {kind}, component {kind}")
-    live = edges = cut(edges)
-    parts = []
-    while not (live := _trim(live)).isEmpty():
-        colour = _spread(live, live.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct())
-        a, b = colour.toDF("src", "a"), colour.toDF("dst", "b")
-        inside = cut(live.join(a, "src").join(b, "dst").where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        gone = _spread(inside, colour.where("node = label"))
-        parts.append(gone)
-        live = cut(live.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
-    found = edges.select(F.col("src").alias("node"), F.col("src").alias("label")).limit(0)
-    for p in parts:
-        found = found.union(p)
-    # a component of one node is a cycle only by a self edge
-    cyclic = found.groupBy("label").count().where("count > 1").select("label").union(edges.where("src = dst").select(F.col("src").alias("label"))).distinct()
-    return cut(found.join(cyclic, "label", "left_semi").select("node", F.col("label").alias("component")))
+    loops = cut(edges.where("src = dst").select(F.col("src").alias("node")))
+    live = _trim(cut(edges.where("src <> dst")), 2)
+    levels, sides, n = [], [False, True], live.count()
+    while n and sides:
+        back = sides.pop(0)
+        level = _contract(_back(live) if back else live, loops, n)
+        if level:
+            live, loops = cut(_back(level["edges"]) if back else level["edges"]), level["loops"]
+            n = live.count()
+            levels.append(level)
+            sides.append(back)
+    found, turn = live.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0), 0
+    live = _trim(live, 2)
+    kind = live.select(F.col("src").alias("node"), F.lit(0).cast("long").alias("kind")).distinct()
+    while not live.isEmpty():
+        kind = cut(kind)
+        gone, kind = _search(live, kind, turn) if turn % 2 == 0 else _colour(live, kind)
+        found, turn = found.union(gone), turn + 1
+        kind = cut(kind)
+        a, b = kind.select(F.col("node").alias("src"), F.col("kind").alias("a")), kind.select(F.col("node").alias("dst"), F.col("kind").alias("b"))
+        live = _trim(cut(live.join(a, "src").join(b, "dst").where("a = b").select("src", "dst")), 2)
+        kind = kind.join(live.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
+    # a part of one node is a cycle only by a self edge
+    cyclic = found.groupBy("component").count().where("count > 1").select("component")
+    found = found.join(cyclic, "component", "left_semi").select("node", "component")
+    found = cut(found.union(loops.join(found, "node", "left_anti").select("node", F.col("node").alias("component"))))
+    for level in reversed(levels):
+        found = _restore(level, found)
+    names = found.groupBy("component").agg(F.min("node").alias("least"))
+    return cut(found.join(names, "component").select("node", F.col("least").alias("component")))
 
 
 def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, part, size) of every node, and the edges between different parts; a part is a strong component."""
-    edges = edges.select("src", "dst").distinct()
+    """(node, part, size, cyclic) of every node, and the edges between different parts; a part is a strong component."""
+    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
-    part = cut(nodes.join(components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("part")))
-    part = part.join(part.groupBy("part").agg(F.count(F.lit(1)).alias("size")), "part").select("node", "part", "size")
+    part = cut(nodes.join(components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("part"), F.col("component").isNotNull().alias("cyclic")))
+    part = part.join(part.groupBy("part").agg(F.count(F.lit(1)).alias("size")), "part").select("node", "part", "size", "cyclic")
     a, b = part.select(F.col("node").alias("src"), F.col("part").alias("a")), part.select(F.col("node").alias("dst"), F.col("part").alias("b"))
-    return part, edges.join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    return cut(part), cut(edges.join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
 
 
 def depths(edges: DataFrame) -> DataFrame:
     """(node, depth): the longest chain of edges from each node, where a component of n nodes counts n - 1.
 
-    Beyond the local bound: depths of parts grow from those that lead nowhere
-    until none changes, a round for each step of the longest chain.
+    Over the parts, ``deep`` is the longest chain of under 2**k steps and
+    ``ahead`` the longest of exactly 2**k steps to each part so far away; both
+    double in a round.  Where the pairs ahead would be too many (``AHEAD``,
+    ``LEAST_AHEAD``), k stays, and rounds of 2**k steps go on until no depth grows.
     """
     edges = edges.select("src", "dst").where("src <> dst").distinct()
     pairs = _local(edges)
@@ -231,13 +367,31 @@ def depths(edges: DataFrame) -> DataFrame:
             deep.update(dict.fromkeys(group, len(group) - 1 + beyond))
         return edges.sparkSession.createDataFrame(list(deep.items()), f"node {_node_type(edges)}, depth int")
     part, between = condensed(edges)
-    part, between = cut(part), cut(between)
-    known = fresh = cut(part.select(F.col("part").alias("node"), (F.col("size") - 1).cast("int").alias("depth"), "size").distinct())
-    while not fresh.isEmpty():
-        step = between.join(fresh.select(F.col("node").alias("dst"), "depth"), "dst").groupBy(F.col("src").alias("node")).agg(F.max("depth").alias("below"))
-        fresh = cut(known.join(step, "node").withColumn("new", (F.col("size") + F.col("below")).cast("int")).where("new > depth").select("node", F.col("new").alias("depth"), "size"))
-        known = cut(known.union(fresh).groupBy("node", "size").agg(F.max("depth").alias("depth")).select("node", "depth", "size"))
-    return part.select("node", "part").join(known.select(F.col("node").alias("part"), "depth"), "part").select("node", "depth")
+    size = part.select(F.col("part").alias("src"), "size").distinct()
+    ahead = cut(between.join(size, "src").select("src", "dst", F.col("size").cast("long").alias("far")))
+    most = max(AHEAD * ahead.count(), LEAST_AHEAD)
+    deep = cut(part.select(F.col("part").alias("node"), (F.col("size") - 1).cast("long").alias("depth")).distinct())
+    doubling = True
+    while not ahead.isEmpty():
+        more = ahead.join(deep.select(F.col("node").alias("dst"), "depth"), "dst").groupBy(F.col("src").alias("node")).agg(F.max(F.col("far") + F.col("depth")).alias("new"))
+        grown = deep.join(more, "node", "left").select("node", F.greatest("depth", F.coalesce("new", "depth")).alias("depth"), (F.col("new") > F.col("depth")).alias("grew"))
+        grown = cut(grown)
+        changed = not grown.where("grew").isEmpty()
+        discard(deep)
+        deep = grown.select("node", "depth")
+        if not doubling:
+            if not changed:
+                break
+            continue
+        into, out = ahead.groupBy(F.col("dst").alias("at")).agg(F.count(F.lit(1)).alias("i")), ahead.groupBy(F.col("src").alias("at")).agg(F.count(F.lit(1)).alias("o"))
+        pairs = into.join(out, "at").agg(F.sum(F.col("i") * F.col("o"))).first()[0] or 0
+        if pairs > most:
+            doubling = False
+            continue
+        a, b = ahead.select("src", F.col("dst").alias("at"), F.col("far").alias("x")), ahead.select(F.col("src").alias("at"), "dst", F.col("far").alias("y"))
+        ahead, last = cut(a.join(b, "at").groupBy("src", "dst").agg(F.max(F.col("x") + F.col("y")).alias("far"))), ahead
+        discard(last)
+    return part.select("node", "part").join(deep.select(F.col("node").alias("part"), "depth"), "part").select("node", F.col("depth").cast("int").alias("depth"))
 
 
 def loops(edges: DataFrame) -> DataFrame:
@@ -252,7 +406,9 @@ def loops(edges: DataFrame) -> DataFrame:
     inside = edges.join(a, "src").join(b, "dst").where("component = other and src <> dst").select("component", "src", "dst").distinct()
 
     def one(pairs: list[tuple]) -> list:
-        after = {k: sorted(v) for k, v in _adjacency(pairs).items()}
+        after: dict = {}
+        for a, b in sorted(pairs):
+            after.setdefault(a, []).append(b)
         start = min(after)
         path, seen, work = [start], {start}, [iter(after[start])]
         while work:
@@ -276,14 +432,41 @@ def loops(edges: DataFrame) -> DataFrame:
     return inside.groupBy("component").applyInPandas(run, f"component {kind}, files array<{kind}>")
 
 
-def reach_counts(edges: DataFrame) -> DataFrame:
-    """(node, affected): how many nodes reach each node that any reaches, itself too if on a cycle; pairs are held of components only."""
-    edges = cut(edges.select("src", "dst").distinct())
-    own = components(edges)
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
-    part = cut(nodes.join(own, "node", "left").select("node", F.coalesce("component", "node").alias("part"), F.col("component").isNotNull().alias("cyclic")))
-    size = part.groupBy("part").agg(F.count(F.lit(1)).alias("size"), F.bool_or("cyclic").alias("cyclic"))
-    a, b = part.select(F.col("node").alias("src"), F.col("part").alias("a")), part.select(F.col("node").alias("dst"), F.col("part").alias("b"))
-    above = closure(edges.join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    into = above.join(size.select(F.col("part").alias("src"), "size"), "src").select(F.col("dst").alias("part"), "size").union(size.where("cyclic").select("part", "size"))
-    return part.select("node", "part").join(into.groupBy("part").agg(F.sum("size").alias("affected")), "part").select("node", "affected")
+def _sketches(between: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """(part, id, rank, size): of the parts that reach a part, itself too, the ``k`` of least rank.
+
+    A part's rank is exponential with its size as the rate, from its hash, so
+    that sketches of overlapping sets merge by keeping the least ranks.  They
+    are merged along the edges; in a round only entries that were new and stayed go on.
+    """
+    uniform = (F.pmod(F.xxhash64("part", F.lit(29)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    known = fresh = cut(weights.select("part", F.col("part").alias("id"), (-F.log(uniform) / F.col("size")).alias("rank"), "size"))
+    least = Window.partitionBy("part").orderBy("rank", "id")
+    while not fresh.isEmpty():
+        step = fresh.withColumnRenamed("part", "src").join(between, "src").select(F.col("dst").alias("part"), "id", "rank", "size").distinct()
+        new = step.join(known.select("part", "id"), ["part", "id"], "left_anti").withColumn("new", F.lit(True))
+        both = cut(known.withColumn("new", F.lit(False)).unionByName(new).withColumn("k", F.row_number().over(least)).where(F.col("k") <= k).drop("k"))
+        if fresh is not known:
+            discard(known)
+        known, fresh = both.drop("new"), both.where("new").drop("new")
+    return known
+
+
+def reach_counts(edges: DataFrame, k: int = SKETCH) -> DataFrame:
+    """(node, affected, exact): how many nodes reach each node that any reaches, itself too if on a cycle.
+
+    Holds at most ``k`` rows a part.  Where under ``k`` parts reach a part their
+    sizes are added up; otherwise each but the k-th is counted by one over its chance to be
+    listed: unbiased, with a standard error of at most 1 / sqrt(k - 2) of the sum.
+    ``reach`` counts exactly for nodes that are asked for.
+    """
+    part, between = condensed(edges)
+    size = part.groupBy("part").agg(F.first("size").alias("size"), F.first("cyclic").alias("cyclic"))
+    last = F.max("rank").over(Window.partitionBy("part"))
+    entries = _sketches(between, size.select("part", "size"), k).withColumn("last", last)
+    # an entry is among the least by the chance that its rank is under the last one
+    share = F.when(F.col("rank") < F.col("last"), F.col("size") / (1 - F.exp(-F.col("size") * F.col("last"))))
+    sums = entries.groupBy(F.col("part").alias("id")).agg(F.sum("size").alias("all"), F.count(F.lit(1)).alias("n"), F.sum(share).alias("estimate"))
+    total = F.when(F.col("n") < k, F.col("all")).otherwise(F.greatest(F.col("all"), F.round("estimate").cast("long")))
+    per = sums.join(size.withColumnRenamed("part", "id"), "id").select("id", (total - F.when(F.col("cyclic"), 0).otherwise(1)).alias("affected"), (F.col("n") < k).alias("exact"))
+    return part.select("node", F.col("part").alias("id")).join(per.where("affected > 0"), "id").select("node", "affected", "exact")

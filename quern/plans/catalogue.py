@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import fingerprint, round_half_up, sloc
 from quern.operators import graph
-from quern.plans.findings import is_structural, normalized_line
+from quern.plans.findings import informative, is_structural, normalized_line
 from quern.sources import tables as T
 from quern.streaming.sessions import bursts
 
@@ -80,8 +80,8 @@ g AS (SELECT sha1(block) AS block, count(*) AS places, count(DISTINCT path) AS f
 def dup_block_windows(spark, d):
     # windows of three lines are cut inside the row; regions and overlaps are in project_duplicate_blocks
     lines = F.transform(F.split("text", "\n"), normalized_line)
-    rows = T.files(spark, d).select("path", lines.alias("l")).withColumn("s", F.transform("l", lambda x: is_structural(x).cast("int"))).where("size(l) > 2")
-    free = F.filter(F.sequence(F.lit(1), F.size("l") - 2), lambda i: ~F.array_contains(F.slice("s", i, 3), 1))
+    rows = T.files(spark, d).select("path", lines.alias("l")).withColumn("s", F.transform("l", is_structural)).where("size(l) > 2")
+    free = F.filter(F.sequence(F.lit(1), F.size("l") - 2), lambda i: informative("s", i, 3))
     each = rows.select("path", F.explode(F.transform(free, lambda i: F.sha1(F.array_join(F.slice("l", i, 3), "\n").cast("binary")))).alias("block"))
     per = each.groupBy("block", "path").agg(F.count(F.lit(1)).alias("n"))  # a file's windows meet before they are dealt out by block
     return per.groupBy("block").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("files"), F.min("path").alias("first_path")).where("places > 1")
@@ -102,7 +102,7 @@ def in_out_degree(spark, d):
 
 @query(f"WITH RECURSIVE {_CLOSURE} SELECT dst AS node, count(*) AS affected FROM reach GROUP BY dst")
 def reverse_reachable(spark, d):
-    return graph.reach_counts(T.edges(spark, d))
+    return graph.reach_counts(T.edges(spark, d)).select("node", "affected")
 
 
 @query(f"WITH RECURSIVE {_CLOSURE} SELECT a.src AS node, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src")

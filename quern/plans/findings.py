@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import globs
 from quern.functions import paths as P
-from quern.operators import layers, resolve
+from quern.operators import layers, marks, resolve
+from quern.operators.graph import cut
 
 if TYPE_CHECKING:
     from quern.plans.analysis import Analysis
@@ -148,11 +149,11 @@ def is_package_init(files: Column) -> Column:
     return (F.size(inits) > 0) & F.forall(files, lambda f: F.array_contains(inits, f) | F.exists(folders, lambda d: f.startswith(d)))
 
 
-@rule("architecture/circular-dependency", "architecture", "Files that import each other, directly or through a chain.")
+@rule("architecture/circular-dependency", "architecture", "Loops of imports.")
 def circular(a):
     files = F.col("files")
     chain = F.array_join(F.concat(files, F.slice(files, 1, 1)), " -> ")
-    return rows(a.cycles.where(~is_package_init(files)), file=F.get(files, F.lit(0)), title=said("Circular dependency across ", F.size(files), " files"), message=F.lit("These files depend on each other in a loop, so none can be loaded, tested or understood alone."), detail=F.array(chain), suggestion="Move what both sides need into a module they can import, or turn one dependency round.", key=((files,),), current=files, kind="a")
+    return rows(a.cycles.where(~is_package_init(files)), file=F.get(files, F.lit(0)), title=said(F.size(files), " files import one another in a loop"), message=F.lit("Whoever needs one of them gets all of them."), detail=F.array(chain), suggestion="Find the import that the loop can do without, and take what it needs out of the loop.", key=((files,),), current=files, kind="a")
 
 
 def layered_edges(a: Analysis) -> DataFrame:
@@ -171,21 +172,21 @@ def _layer_rule(a: Analysis, wanted: str) -> DataFrame | None:
     low, high = F.col("a"), F.col("b")
     after = F.element_at(F.create_map(*[F.lit(x) for layer in m.order for x in (layer, m.after(layer))]), low)
     if wanted == "skip":
-        title, expected = said(low, " imports ", high, " directly"), said(low, " -> ", after, " -> ", high)
-        message, fix = said(F.col("src"), " imports ", F.col("dst"), ", past the ", after, f" layer. The structure is {m.chain}."), said("Route the call through ", after, ".")
+        title, expected = said(low, " goes straight to ", high), said(low, " -> ", after, " -> ", high)
+        message, fix = said(F.col("src"), " takes ", F.col("dst"), " and leaves ", after, f" out; the order is {m.chain}."), said("Ask ", after, " for it.")
     else:
-        title, expected = said(low, " imports ", high, ", which sits above it"), said(high, " -> ", low)
-        message, fix = said(F.col("src"), " imports ", F.col("dst"), f". {m.chain} flows downward, so this points the wrong way."), said("Let ", high, " call into ", low, ", or move what both need below them.")
+        title, expected = said(low, " depends upwards on ", high), said(high, " -> ", low)
+        message, fix = said(F.col("src"), " takes ", F.col("dst"), f", against the order {m.chain}."), said("Hand it over from ", high, ", or put it where ", low, " may look.")
     found = said(low, " -> ", high)
     return rows(e, file=F.col("src"), line=F.col("line"), title=title, message=message, detail=F.array(said("found:    ", found), said("expected: ", expected)), suggestion=fix, key=(F.col("dst"), F.col("line")), current=found, kind="s")
 
 
-@rule("architecture/layer-violation", "architecture", "A lower layer importing a higher one.")
+@rule("architecture/layer-violation", "architecture", "Imports that go up the layers.")
 def layer_violation(a):
     return _layer_rule(a, "inverted")
 
 
-@rule("architecture/layer-skip", "architecture", "A layer reaching past its neighbour.")
+@rule("architecture/layer-skip", "architecture", "Imports that leave a layer out.")
 def layer_skip(a):
     return _layer_rule(a, "skip")
 
@@ -195,15 +196,15 @@ def feature_edges(a: Analysis) -> DataFrame:
     return e.where("f is not null and g is not null and f <> '' and g <> '' and f <> g")
 
 
-@rule("architecture/cross-feature-import", "architecture", "One feature reaching into another.")
+@rule("architecture/cross-feature-import", "architecture", "Imports between features.")
 def cross_feature(a):
     if not a.layers.feature_root:
         return None
     pair = said(F.col("f"), " -> ", F.col("g"))
-    return rows(feature_edges(a), file=F.col("src"), line=F.col("line"), title=said('Feature "', F.col("f"), '" imports from feature "', F.col("g"), '"'), message=said(F.col("src"), " imports ", F.col("dst"), f"; features side by side under {a.layers.feature_root}/ are meant to be independent."), detail=F.array(pair), suggestion="Share it through the feature's public entry, or move it where both may depend on it.", key=(F.col("dst"), F.col("line")), current=pair, kind="s")
+    return rows(feature_edges(a), file=F.col("src"), line=F.col("line"), title=said(F.col("f"), " reaches into the feature ", F.col("g")), message=said(F.col("src"), " takes ", F.col("dst"), f" from another folder of {a.layers.feature_root}/."), detail=F.array(pair), suggestion="Take it from where the other feature offers it, or give it a place of its own.", key=(F.col("dst"), F.col("line")), current=pair, kind="s")
 
 
-@rule("architecture/forbidden-dependency", "architecture", "Dependencies that the settings forbid.")
+@rule("architecture/forbidden-dependency", "architecture", "Imports that the settings rule out.")
 def forbidden(a):
     pairs = a.settings.forbidden
     if not pairs:
@@ -211,14 +212,14 @@ def forbidden(a):
     # the pairs are a handful: one pass over the edges asks them all
     hits = F.array_compact(F.array(*[F.when(globs.matches_project("src", x) & globs.matches_project("dst", y), F.lit(f"{x} -> {y}")) for x, y in pairs]))
     e = a.edges.select("*", F.explode(hits).alias("pair"))
-    return rows(e, file=F.col("src"), line=F.col("line"), title=F.lit("Forbidden dependency"), message=said(F.col("src"), " imports ", F.col("dst"), ", which the settings forbid (", F.col("pair"), ")."), suggestion="Remove the import, or drop the pair if it no longer applies.", key=(F.col("dst"), F.col("pair")), current=F.col("pair"), kind="s")
+    return rows(e, file=F.col("src"), line=F.col("line"), title=F.lit("An import that the settings rule out"), message=said(F.col("src"), " takes ", F.col("dst"), "; the pair ", F.col("pair"), " stands against it."), suggestion="Do without the import, or without the pair.", key=(F.col("dst"), F.col("pair")), current=F.col("pair"), kind="s")
 
 
-@rule("architecture/deep-import-chain", "architecture", "Modules above a very long chain of imports.")
+@rule("architecture/deep-import-chain", "architecture", "Roots that load a long line of modules.")
 def deep_chain(a):
     limit = a.settings.thresholds["maxImportDepth"]
     deep = a.root_depths.where(F.col("depth") > limit)
-    return rows(deep, file=F.col("node"), title=said("Import chain ", F.col("depth"), " modules deep"), message=said("Loading ", F.col("node"), " pulls in a chain of ", F.col("depth"), f" modules (limit {limit})."), suggestion="Flatten the middle of the chain, or split the entry point.", key=(F.col("depth"),), baseline=limit, current=F.col("depth"))
+    return rows(deep, file=F.col("node"), title=said("Loads ", F.col("depth"), " modules in a row"), message=said(F.col("depth"), " modules in a row stand behind ", F.col("node"), f"; {limit} are allowed."), suggestion="Let modules in the row be loaded by the root itself, or later.", key=(F.col("depth"),), baseline=limit, current=F.col("depth"))
 
 
 def withheld(layered: Column, total: Column) -> Column:
@@ -230,28 +231,28 @@ def rounded(x: Column) -> Column:
     return F.floor(x + F.lit(0.5))
 
 
-@rule("architecture/unlayered-code", "architecture", "Folders that no layer covers.")
+@rule("architecture/unlayered-code", "architecture", "Code outside all layers.")
 def unlayered(a):
     c = a.coverage.where("total > 0")
     if not a.layers.usable:
         few = "only one layer" if len(a.layers.order) == 1 else "no layers"
-        return rows(c, file=F.lit(None), title=F.lit("No layered structure to check"), message=F.lit(f"A boundary needs two sides and {few} are known here, so no boundary was checked."), detail=F.array().cast("array<string>"), suggestion="Declare layers in the settings.", key=("none",), current=0)
+        return rows(c, file=F.lit(None), title=F.lit("No layers to hold imports against"), message=F.lit(f"With {few} there is no border that an import could cross."), detail=F.array().cast("array<string>"), suggestion="Name the layers in the settings.", key=("none",), current=0)
     percent = rounded(F.col("share") * 100)
     where = F.transform(F.slice(F.col("places"), 1, 6), lambda p: said(p["directory"], ": ", count_label(p["files"], "file")))
     places = a.unplaced.agg(F.array_sort(F.collect_list(F.struct((-F.col("files")).alias("o"), "directory", "files"))).alias("places"))
     c = c.where(F.col("share") < layers.TARGET).join(F.broadcast(places), how="cross")
     lost = rounded(withheld(F.col("layered"), F.col("total")))
-    return rows(c, file=F.lit(None), title=said(F.col("total") - F.col("layered"), " files sit outside every declared layer"), message=said("Only ", percent, "% of source files belong to a layer; the architecture score is ", count_label(lost, "point"), " lower for what could not be checked."), detail=where, suggestion="Add these folders to the layers, or leave them out on purpose.", key=(percent,), baseline=int(layers.TARGET * 100 + 0.5), current=percent)
+    return rows(c, file=F.lit(None), title=said(F.col("total") - F.col("layered"), " sources belong to no layer"), message=said(percent, "% of the sources have a layer; the rest costs the architecture score ", count_label(lost, "point"), "."), detail=where, suggestion="Give these folders a layer.", key=(percent,), baseline=int(layers.TARGET * 100 + 0.5), current=percent)
 
 
 # complexity ----------------------------------------------------------------------
 
 
-@rule("complexity/large-file", "complexity", "Files past the line budget.")
+@rule("complexity/large-file", "complexity", "Files with more lines than allowed.")
 def large_file(a):
     limit = a.settings.thresholds["maxFileLines"]
     f = a.sources.where(F.col("lines") > limit)
-    return rows(f, file=F.col("path"), title=said(F.col("path"), " is ", F.format_number("lines", 0), " lines"), message=F.lit(f"This file is over the budget of {limit:,} lines."), detail=F.array(said(F.size("functions"), " functions, ", F.format_number("sloc", 0), " lines of code")), suggestion="Split the file along its clearest seam.", baseline=limit, current=F.col("lines"))
+    return rows(f, file=F.col("path"), title=said(F.col("path"), " has grown to ", F.format_number("lines", 0), " lines"), message=F.lit(f"Files here may have {limit:,} lines."), detail=F.array(said(F.size("functions"), " functions, ", F.format_number("sloc", 0), " lines of code")), suggestion="Look for a part that the rest rarely mentions, and move it out.", baseline=limit, current=F.col("lines"))
 
 
 def _function_rule(a: Analysis, measure: str, limit_name: str, where: Column, title, message, suggestion: str) -> DataFrame:
@@ -260,34 +261,34 @@ def _function_rule(a: Analysis, measure: str, limit_name: str, where: Column, ti
     return rows(f, file=F.col("path"), line=F.col("line"), title=title, message=message(limit), suggestion=suggestion, key=(F.col("name"), F.col("line")), baseline=limit, current=F.col(measure))
 
 
-@rule("complexity/large-function", "complexity", "Functions longer than the limit.")
+@rule("complexity/large-function", "complexity", "Functions with more lines than allowed.")
 def large_function(a):
     n = F.col("name")
-    return _function_rule(a, "lines", "maxFunctionLines", ~F.col("is_component"), said(n, "() is ", F.col("lines"), " lines"), lambda x: said(n, "() in ", F.col("path"), " runs for ", F.col("lines"), f" lines (limit {x})."), "Pull the distinct steps out into named helpers.")
+    return _function_rule(a, "lines", "maxFunctionLines", ~F.col("is_component"), said("The body of ", n, "() takes ", F.col("lines"), " lines"), lambda x: said(F.col("lines"), " lines of ", F.col("path"), " are ", n, f"(); {x} are allowed."), "Give its steps names and functions of their own.")
 
 
-@rule("complexity/large-component", "complexity", "Components larger than their budget.")
+@rule("complexity/large-component", "complexity", "Components with more lines than allowed.")
 def large_component(a):
     n = F.col("name")
-    return _function_rule(a, "lines", "maxComponentLines", F.col("is_component"), said("<", n, "> is ", F.col("lines"), " lines"), lambda x: said("The ", n, " component is ", F.col("lines"), f" lines (budget {x})."), "Split the sub-sections into components, and data logic into hooks.")
+    return _function_rule(a, "lines", "maxComponentLines", F.col("is_component"), said("Component ", n, " takes ", F.col("lines"), " lines"), lambda x: said(n, " has ", F.col("lines"), f" lines; components may have {x}."), "Let smaller components show its parts, and keep what loads data apart.")
 
 
-@rule("complexity/high-complexity", "complexity", "Functions with too many branches.")
+@rule("complexity/high-complexity", "complexity", "Functions that branch too often.")
 def high_complexity(a):
     n = F.col("name")
-    return _function_rule(a, "complexity", "maxComplexity", F.lit(True), said(n, "() has a complexity of ", F.col("complexity")), lambda x: said(n, "() contains ", F.col("complexity"), f" independent branches (limit {x})."), "Return early, or move each group of branches into its own function.")
+    return _function_rule(a, "complexity", "maxComplexity", F.lit(True), said(n, "() branches ", F.col("complexity"), " ways"), lambda x: said(F.col("complexity"), " ways lead through ", n, f"(); {x} are allowed."), "Answer the simple cases first, and the others by functions of their own.")
 
 
-@rule("complexity/deep-nesting", "complexity", "Deeply nested control flow.")
+@rule("complexity/deep-nesting", "complexity", "Functions with blocks inside blocks.")
 def deep_nesting(a):
     n = F.col("name")
-    return _function_rule(a, "max_nesting", "maxNesting", F.lit(True), said(n, "() nests ", F.col("max_nesting"), " levels deep"), lambda x: said("Control flow in ", n, "() reaches ", F.col("max_nesting"), f" levels (limit {x})."), "Return early on failures, so the main path stays at the top.")
+    return _function_rule(a, "max_nesting", "maxNesting", F.lit(True), said("Blocks in ", n, "() go ", F.col("max_nesting"), " levels down"), lambda x: said(n, "() puts ", F.col("max_nesting"), f" blocks into one another; {x} are allowed."), "Leave the function as soon as a case is settled.")
 
 
-@rule("complexity/too-many-params", "complexity", "Functions with a long list of parameters.")
+@rule("complexity/too-many-params", "complexity", "Functions that take too much.")
 def too_many_params(a):
     n = F.col("name")
-    return _function_rule(a, "params", "maxParams", F.lit(True), said(n, "() takes ", F.col("params"), " parameters"), lambda x: said(n, "() has ", F.col("params"), f" parameters (limit {x})."), "Group related parameters into one object.")
+    return _function_rule(a, "params", "maxParams", F.lit(True), said(F.col("params"), " values to call ", n, "()"), lambda x: said(n, "() wants ", F.col("params"), f" values; {x} are allowed."), "Pass what belongs together as one.")
 
 
 # maintainability -------------------------------------------------------------------
@@ -303,49 +304,66 @@ def is_structural(x: Column) -> Column:
     return (F.length(x) < 8) | x.rlike(r"^[}\]);,]+$") | x.rlike(r"^(//|#|\*)") | x.rlike(r"^(import|export|from|package|use\s)")
 
 
-def duplicate_regions(texts: DataFrame, window: int) -> DataFrame:
-    """(files, lines, span) of runs of ``window`` lines or more that stand in several places; ``texts`` has path, text.
+def informative(structural: str, start: Column, window: int) -> Column:
+    """Whether none of the ``window`` lines from ``start`` (from 1) is structural; ``structural`` has a flag for each line."""
+    return ~reduce(lambda a, b: a | b, [F.get(structural, start + (k - 1)) for k in range(window)])
+
+
+def block_places(texts: DataFrame, window: int) -> DataFrame:
+    """(key, path, line) of all windows of ``window`` lines, none structural; ``texts`` has path, text.
 
-    Windows are cut inside each row and meet by a 128-bit key; a key's places
-    are thinned by a fold, so that overlapping windows of one file count once;
-    windows at the same places and distances join into regions.
+    Windows are cut inside each row and named by a 128-bit key.  Of a file's
+    windows of one key those that overlap one that counts don't count.
     """
     lines = F.transform(F.split("text", "\n"), normalized_line)
-    per_file = texts.where("text is not null").select("path", lines.alias("l")).withColumn("s", F.transform("l", lambda x: is_structural(x).cast("int")))
-    starts = F.sequence(F.lit(1), F.size("l") - window + 1)
-    free = F.filter(starts, lambda i: ~F.array_contains(F.slice("s", i, window), 1))
-    each = per_file.where(F.size("l") >= window).select("path", F.explode(F.transform(free, lambda i: F.struct(i.alias("line"), F.unhex(F.md5(F.array_join(F.slice("l", i, window), "\n").cast("binary"))).alias("key")))).alias("w")).select("path", "w.*")
-    keys = each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("path", "line"))).alias("places")).where("size(places) > 1")
-
-    def thin(kept: Column, p: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        near = last["path"].eqNullSafe(p["path"]) & (p["line"] - last["line"] < window)
-        return F.when(F.coalesce(near, F.lit(False)), kept).otherwise(F.array_append(kept, p))
-
-    kept = F.aggregate("places", F.array().cast("array<struct<path:string,line:int>>"), thin)
-    keys = keys.select(kept.alias("p")).where("size(p) > 1").select(F.transform("p", lambda x: x["path"]).alias("files"), F.transform("p", lambda x: x["line"]).alias("lines"))
-    offsets = F.transform("lines", lambda x: x - F.get("lines", F.lit(0)))
-    at = F.get("lines", F.lit(0))
-    group = Window.partitionBy("files", "offsets").orderBy("at")
-    marked = keys.select("files", "lines", offsets.alias("offsets"), at.alias("at")).withColumn("new", F.coalesce((F.col("at") > F.lag("at").over(group) + window).cast("int"), F.lit(1)))
+    per_file = texts.where("text is not null").select("path", lines.alias("l")).where(F.size("l") >= window)
+    free = F.filter(F.sequence(F.lit(1), F.size("l") - window + 1), lambda i: informative("s", i, window))
+    each = per_file.withColumn("s", F.transform("l", is_structural)).select("path", F.explode(F.transform(free, lambda i: F.struct(i.alias("line"), F.unhex(F.md5(F.array_join(F.slice("l", i, window), "\n").cast("binary"))).alias("key")))).alias("w")).select("path", "w.*")
+    per = each.groupBy("key", "path").agg(F.array_sort(F.collect_list("line")).alias("all"))
+    kept = F.aggregate("all", F.array().cast("array<int>"), lambda kept, i: F.when(i - F.coalesce(F.try_element_at(kept, F.lit(-1)), i - window) < window, kept).otherwise(F.array_append(kept, i)))
+    return per.select("key", "path", F.explode(F.when(F.size("all") == 1, F.col("all")).otherwise(kept)).alias("line"))
+
+
+def duplicate_regions(texts: DataFrame, window: int) -> DataFrame:
+    """(region, n, files, lines, span, mark) of runs of ``window`` lines or more that stand in several places.
+
+    The places of a window become a mark that adds up (``marks``), with lines
+    told from the first place: windows that follow each other at the same
+    places have equal marks and join into a region.  ``n`` counts its places;
+    files and lines list the first ``marks.MANY``, so a block in every file of
+    a project costs rows of bounded size.
+    """
+    places = cut(block_places(texts, window))
+    keys = places.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("path", "line")).alias("first"), marks.sums("path").alias("who"), marks.sums("path", times=F.col("line")).alias("far")).where("n > 1")
+    where = marks.moved(F.col("far"), F.col("first.line"), F.col("who"))
+    keys = keys.select("key", "n", F.col("first.path").alias("path"), F.col("first.line").alias("at"), F.array_join(F.concat("who", where).cast("array<string>"), ".").alias("mark"))
+    group = Window.partitionBy("path", "mark", "n").orderBy("at")
+    marked = keys.withColumn("new", F.coalesce((F.col("at") > F.lag("at").over(group) + window).cast("int"), F.lit(1)))
     islands = marked.withColumn("island", F.sum("new").over(group.rowsBetween(Window.unboundedPreceding, 0)))
-    regions = islands.groupBy("files", "offsets", "island").agg(F.min_by("lines", "at").alias("lines"), (F.max("at") - F.min("at") + window).cast("int").alias("span"))
-    return regions.select("files", "lines", "span")
+    regions = islands.groupBy("path", "mark", "n", "island").agg(F.min_by("key", "at").alias("region"), (F.max("at") - F.min("at") + window).cast("int").alias("span"))
+    regions = cut(regions.select("region", "n", "span", "mark"))
+    shown = marks.listed(places.withColumnRenamed("key", "region").join(regions.select("region"), "region", "left_semi"), ["region"], ["path", "line"], "p")
+    return regions.join(shown, "region").select("region", "n", F.transform("p", lambda x: x["path"]).alias("files"), F.transform("p", lambda x: x["line"]).alias("lines"), "span", "mark")
+
 
+def whole_or_mark(members: Column, n: Column, mark: Column) -> Column:
+    """What a fingerprint takes of a set: all members if they are listed, else its mark."""
+    return F.when(n <= marks.MANY, members).otherwise(F.array(mark))
 
-@rule("maintainability/duplicate-block", "maintainability", "Identical blocks in more than one place.")
+
+@rule("maintainability/duplicate-block", "maintainability", "Runs of lines that occur again.")
 def duplicate_block(a):
     r = duplicate_regions(a.sources.select("path", "text"), a.settings.thresholds["minDuplicateLines"])
     places = F.transform(F.arrays_zip("files", "lines"), lambda p: F.concat_ws(":", p["files"], p["lines"]))
-    n = F.size("files")
-    return rows(r, file=F.get("files", F.lit(0)), line=F.get("lines", F.lit(0)), title=said(F.col("span"), " identical lines repeated ", n, " times"), message=said("The same block of ", F.col("span"), " lines stands in ", n, " places; a fix to one leaves the others behind."), detail=F.slice(places, 1, 5), suggestion="Extract the block into a shared function.", key=((places,), F.col("span")), current=n)
+    n = F.col("n").cast("int")
+    return rows(r, file=F.get("files", F.lit(0)), line=F.get("lines", F.lit(0)), title=said("A block of ", F.col("span"), " lines occurs ", n, " times"), message=said(n, " places hold the same ", F.col("span"), " lines; who changes one has to think of the others."), detail=F.slice(places, 1, 5), suggestion="Give the lines a function, and call it.", key=((whole_or_mark(places, n, F.col("mark")),), F.col("span")), current=n)
 
 
-@rule("maintainability/unresolved-import", "maintainability", "Imports that mean neither a file nor a package.")
+@rule("maintainability/unresolved-import", "maintainability", "Imports without a target.")
 def unresolved_import(a):
     per = a.unresolved.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ordinal", "specifier", "line"))).alias("u"))
     n, u = F.size("u"), F.col("u")
-    return rows(per, file=F.col("path"), line=F.get(u, F.lit(0))["line"], title=said(count_label(n, "import"), " could not be resolved"), message=said(count_label(n, "import"), " in ", F.col("path"), " match no file and no declared package."), detail=F.transform(F.slice(u, 1, 5), lambda x: said(x["specifier"], " (line ", x["line"], ")")), suggestion="Usually an alias that the compiler's settings don't name.", key=((F.transform(u, lambda x: x["specifier"]),),), current=n)
+    return rows(per, file=F.col("path"), line=F.get(u, F.lit(0))["line"], title=said("No target for ", count_label(n, "import")), message=said(F.col("path"), " asks for ", count_label(n, "module"), " that neither the files nor the declared packages hold."), detail=F.transform(F.slice(u, 1, 5), lambda x: said(x["specifier"], " (line ", x["line"], ")")), suggestion="Look for a file that moved, or an alias that no settings explain.", key=((F.transform(u, lambda x: x["specifier"]),),), current=n)
 
 
 # types -----------------------------------------------------------------------------
@@ -370,24 +388,24 @@ def _source() -> Column:
     return ~F.col("is_test")
 
 
-@rule("type-safety/explicit-any", "type-safety", "Files that lean on `any`.")
+@rule("type-safety/explicit-any", "type-safety", "Files that say `any` too often.")
 def explicit_any(a):
     budget = F.greatest(F.lit(2), rounded(F.col("sloc") / 1000 * a.settings.thresholds["maxAnyPerKLoc"]).cast("int"))
     f = _marked(a, ("any",), _source() & (F.col("language") == "typescript")).withColumn("budget", budget).where("size(m) > budget")
     n = F.size("m")
-    return rows(f, file=F.col("path"), line=F.get("m", F.lit(0))["line"], title=said(n, " uses of `any` in ", F.col("path")), message=said("`any` stands ", n, " times in ", F.format_number("sloc", 0), " lines of code (budget ", F.col("budget"), ")."), detail=_line_list(), suggestion="Replace the widest ones by `unknown` with a check, or by a real type.", baseline=F.col("budget"), current=n)
+    return rows(f, file=F.col("path"), line=F.get("m", F.lit(0))["line"], title=said(F.col("path"), " says `any` ", n, " times"), message=said("Of ", F.format_number("sloc", 0), " lines of code ", F.col("budget"), " may say `any`."), detail=_line_list(), suggestion="Start with those that most code passes through.", baseline=F.col("budget"), current=n)
 
 
-@rule("type-safety/suppression", "type-safety", "`@ts-ignore` comments.")
+@rule("type-safety/suppression", "type-safety", "Comments that switch the compiler off.")
 def suppression(a):
-    return _each_marker(a, "ts-ignore", _source(), "@ts-ignore suppresses a type error", "silences the compiler, even after the error is gone.", "Fix the type, or expect the error with a reason.")
+    return _each_marker(a, "ts-ignore", _source(), "A compiler error is switched off here", "hides what the compiler would say, now and later.", "Mend the type, or use the directive that complains once the error has gone.")
 
 
-@rule("type-safety/unsafe-assertion", "type-safety", "Assertions through `any` or `unknown`.")
+@rule("type-safety/unsafe-assertion", "type-safety", "Assertions that nothing checks.")
 def unsafe_assertion(a):
     f = _marked(a, ("unsafe-assertion",), _source() & (F.col("language") == "typescript"))
     n = F.size("m")
-    return rows(f, file=F.col("path"), line=F.get("m", F.lit(0))["line"], title=count_label(n, "unchecked type assertion"), message=said(F.col("path"), " asserts through `any` or `unknown` ", count_label(n, "time"), "."), detail=_line_list(), suggestion="Narrow with a guard, or check the value where it enters.", current=n)
+    return rows(f, file=F.col("path"), line=F.get("m", F.lit(0))["line"], title=said(count_label(n, "assertion"), " that the compiler can't check"), message=said(F.col("path"), " goes from `any` or `unknown` to a type ", count_label(n, "time"), "."), detail=_line_list(), suggestion="Test the value before it gets its type.", current=n)
 
 
 def is_untyped(path: Column, language: Column, is_test: Column) -> Column:
@@ -405,29 +423,29 @@ def _listed(of: DataFrame, column: str = "path") -> DataFrame:
     return of.agg(F.array_sort(F.collect_list(column)).alias("all")).where("size(all) > 0")
 
 
-@rule("type-safety/js-in-ts-project", "type-safety", "JavaScript inside a TypeScript project.")
+@rule("type-safety/js-in-ts-project", "type-safety", "Sources without types beside typed ones.")
 def js_in_ts(a):
     if not a.info.has_typescript:
         return None
     n, every = F.size("all"), F.col("all")
-    return rows(_listed(untyped(a.files, True)), file=F.get(every, F.lit(0)), title=said(n, plural(n, " JavaScript file", " JavaScript files"), " in a TypeScript project"), message=said(count_label(n, "source file"), plural(n, " is", " are"), " not type checked."), detail=F.slice(every, 1, 8), suggestion="Convert them, or ignore them on purpose.", key=((every,),), current=n)
+    return rows(_listed(untyped(a.files, True)), file=F.get(every, F.lit(0)), title=said(count_label(n, "file"), " left in plain JavaScript"), message=said("The compiler passes over ", count_label(n, "source"), "."), detail=F.slice(every, 1, 8), suggestion="Give them types, or say in the settings that they have none.", key=((every,),), current=n)
 
 
 # frameworks -----------------------------------------------------------------------
 
 
-@rule("react/effect-dependency-risk", "maintainability", "Effects without a dependency array.")
+@rule("react/effect-dependency-risk", "maintainability", "Effects that every render repeats.")
 def effect_risk(a):
     f = a.sources.where(F.size(F.coalesce("effects", F.array().cast("array<int>"))) > 0)
     n = F.size("effects")
-    return rows(f, file=F.col("path"), line=F.get("effects", F.lit(0)), title=said(count_label(n, "effect"), " with no dependency array"), message=said(F.col("path"), " runs ", count_label(n, "effect"), " after every render."), detail=F.array(said("lines: ", F.array_join(F.slice("effects", 1, 8).cast("array<string>"), ", "))), suggestion="Add the dependency array, or say why not.", current=n)
+    return rows(f, file=F.col("path"), line=F.get("effects", F.lit(0)), title=said(count_label(n, "effect"), " without a list of what they depend on"), message=said("Each render of ", F.col("path"), " starts ", count_label(n, "effect"), " again."), detail=F.array(said("lines: ", F.array_join(F.slice("effects", 1, 8).cast("array<string>"), ", "))), suggestion="List what the effect depends on, or note why each render needs it.", current=n)
 
 
-@rule("next/server-import-in-client", "architecture", "A client module importing a server-only package.")
+@rule("next/server-import-in-client", "architecture", "Packages for servers in browser code.")
 def server_import(a):
     own = F.coalesce("server_only", F.array().cast("array<string>"))
     f = a.files.where(F.col("use_client") & (F.size(own) > 0))
-    return rows(f, file=F.col("path"), title=F.lit("Client component imports a server-only package"), message=said(F.col("path"), " runs in the browser but imports ", F.array_join(own, ", "), "."), detail=F.transform(own, lambda x: said("imports ", x)), suggestion="Do the work on the server and pass the result down.", key=((own,),), current=own, kind="a")
+    return rows(f, file=F.col("path"), title=F.lit("Browser code takes a package meant for servers"), message=said("No browser can run ", F.array_join(own, ", "), ", which ", F.col("path"), " asks for."), detail=F.transform(own, lambda x: said("imports ", x)), suggestion="Let a module of the server use the package and hand over what it finds.", key=((own,),), current=own, kind="a")
 
 
 def leaks_by(a: Analysis, kind: str) -> DataFrame:
@@ -439,56 +457,56 @@ def chain_text(chain: Column) -> Column:
     return F.array_join(chain, " → ")
 
 
-@rule("next/secret-in-client-bundle", "architecture", "A client module that can reach code reading a secret.")
+@rule("next/secret-in-client-bundle", "architecture", "Ways from browser code to secrets.")
 def secret_in_bundle(a):
     names, chain, direct = F.slice("secrets", 1, 4), F.col("chain"), F.size("chain") == 1
-    message = F.when(direct, said(F.col("client"), " reads ", F.array_join(names, ", "), " and runs in the browser.")).otherwise(said(F.col("client"), " reaches ", F.col("target"), ", which reads ", F.array_join(names, ", "), "; all of it ships to the browser."))
+    message = F.when(direct, said(F.col("client"), " is browser code and asks for ", F.array_join(names, ", "), ".")).otherwise(said("By way of ", F.col("client"), " the browser gets ", F.col("target"), " too, which asks for ", F.array_join(names, ", "), "."))
     detail = F.concat(F.array(chain_text(chain)), F.transform(F.slice("secrets", 1, 6), lambda x: said("reads process.env.", x)))
-    return rows(leaks_by(a, "secret"), file=F.col("client"), line=F.when(direct, F.col("line")), title=F.when(direct, "Client component reads a secret from the environment").otherwise("A secret can reach the browser through this component"), message=message, detail=detail, suggestion="Read the secret on the server only.", key=(F.col("target"), (names,)), current=chain, kind="a")
+    return rows(leaks_by(a, "secret"), file=F.col("client"), line=F.when(direct, F.col("line")), title=F.when(direct, "A secret is read in browser code").otherwise("Browser code leads to a module that reads a secret"), message=message, detail=detail, suggestion="Keep the module with the secret out of what the browser loads.", key=(F.col("target"), (names,)), current=chain, kind="a")
 
 
-@rule("next/server-module-in-client-bundle", "architecture", "A client module that can reach server-only packages.")
+@rule("next/server-module-in-client-bundle", "architecture", "Ways from browser code to packages for servers.")
 def server_module_in_bundle(a):
     names = F.slice("packages", 1, 4)
     detail = F.concat(F.array(chain_text(F.col("chain"))), F.transform(names, lambda x: said(F.col("target"), " imports ", x)))
     found = leaks_by(a, "package").where("size(chain) > 1")
-    return rows(found, file=F.col("client"), title=F.lit("Server-only code can reach the browser through this component"), message=said(F.col("client"), " reaches ", F.col("target"), ", which uses ", F.array_join(names, ", "), "."), detail=detail, suggestion="Break the chain: do the work on the server.", key=(F.col("target"), (names,)), current=F.col("chain"), kind="a")
+    return rows(found, file=F.col("client"), title=F.lit("Browser code leads to a module meant for servers"), message=said("By way of ", F.col("client"), " the browser gets ", F.col("target"), ", which needs ", F.array_join(names, ", "), "."), detail=detail, suggestion="Cut the way at its weakest step, and let the server answer instead.", key=(F.col("target"), (names,)), current=F.col("chain"), kind="a")
 
 
 # languages ------------------------------------------------------------------------
 
 
-@rule("python/bare-except", "maintainability", "`except:` that swallows everything.")
+@rule("python/bare-except", "maintainability", "Handlers without a type.")
 def bare_except(a):
-    return _each_marker(a, "bare-except", _source() & (F.col("language") == "python"), "Bare `except:` catches everything", "catches every exception, interrupts among them.", "Catch the types this block can handle.")
+    return _each_marker(a, "bare-except", _source() & (F.col("language") == "python"), "An `except:` without a type", "answers to whatever goes wrong, and to the user's wish to stop.", "Name what the handler is for.")
 
 
-@rule("python/mutable-default", "maintainability", "Mutable default arguments.")
+@rule("python/mutable-default", "maintainability", "Defaults that calls share and can change.")
 def mutable_default(a):
-    return _each_marker(a, "mutable-default", F.col("language") == "python", "Mutable default argument", "shares one default between all calls.", "Default to None and build the value inside.")
+    return _each_marker(a, "mutable-default", F.col("language") == "python", "A default that calls can change", "makes its default once, for all calls together.", "Make the value in the function where none is given.")
 
 
-@rule("python/global-state", "maintainability", "Functions writing to module globals.")
+@rule("python/global-state", "maintainability", "Functions that set names of their module.")
 def global_state(a):
     f = _marked(a, ("global-state",), _source() & (F.col("language") == "python"))
     n = F.size("m")
-    return rows(f, file=F.col("path"), line=F.get("m", F.lit(0))["line"], title=count_label(n, "`global` statement"), message=said(F.col("path"), " rebinds module state from inside functions."), detail=_line_list(), suggestion="Pass the value in and return the new one.", current=n)
+    return rows(f, file=F.col("path"), line=F.get("m", F.lit(0))["line"], title=said("Module names set by ", count_label(n, "`global` statement")), message=said("Functions of ", F.col("path"), " change what others read."), detail=_line_list(), suggestion="Let the function take the old value and give the new one back.", current=n)
 
 
-@rule("go/ignored-error", "maintainability", "Results discarded with `_`.")
+@rule("go/ignored-error", "maintainability", "Results that are dropped.")
 def ignored_error(a):
     f = _marked(a, ("ignored-error",), _source() & (F.col("language") == "go"))
     n = F.size("m")
     detail = F.transform(F.slice("m", 1, 5), lambda x: F.trim(said("line ", x["line"], ": ", F.coalesce(x["text"], F.lit("")))))
-    return rows(f, file=F.col("path"), line=F.get("m", F.lit(0))["line"], title=count_label(n, "discarded return value"), message=said(F.col("path"), " throws a result away ", count_label(n, "time"), "; usually an error."), detail=detail, suggestion="Handle the error, or say why not.", current=n)
+    return rows(f, file=F.col("path"), line=F.get("m", F.lit(0))["line"], title=said(count_label(n, "result"), " dropped unseen"), message=said(F.col("path"), " drops what a call gives back ", count_label(n, "time"), ", errors among it."), detail=detail, suggestion="Look at the error, or note why it can be left.", current=n)
 
 
-@rule("go/large-package", "complexity", "Packages far past the file budget.")
+@rule("go/large-package", "complexity", "Packages of many lines.")
 def large_package(a):
     limit = a.settings.thresholds["maxFileLines"] * 5
     folder = F.coalesce(F.nullif(P.directory("path"), F.lit("")), F.lit("."))
     per = a.sources.where("language = 'go'").groupBy(folder.alias("d")).agg(F.sum("lines").alias("n"), F.count(F.lit(1)).alias("files"), F.min("path").alias("first")).where(F.col("n") > limit)
-    return rows(per, file=F.col("first"), title=said("Package ", F.col("d"), " is ", F.format_number("n", 0), " lines"), message=said("The ", F.col("d"), " package spans ", F.col("files"), " files and ", F.format_number("n", 0), f" lines (budget {limit:,})."), suggestion="Split the package.", key=(F.col("d"),), baseline=limit, current=F.col("n"))
+    return rows(per, file=F.col("first"), title=said(F.col("d"), " adds up to ", F.format_number("n", 0), " lines"), message=said(F.col("files"), " files of ", F.col("d"), " have ", F.format_number("n", 0), f" lines; {limit:,} are allowed."), suggestion="Let a part of it become a package.", key=(F.col("d"),), baseline=limit, current=F.col("n"))
 
 
 # patterns --------------------------------------------------------------------------
@@ -502,43 +520,50 @@ def defined_exports(files: DataFrame) -> DataFrame:
 
 
 def shared_names(a: Analysis) -> DataFrame:
-    """(files, names) of names that the same set of files defines, without sets that a design explains.
+    """(set, n, files, names) of names that the same set of files defines, without sets that a design explains.
 
+    A name's files become a mark that adds up, and names of one mark a group.
     A set is explained if one of its files imports all others, or another
-    module imports all of them: members are joined to edges and counted.
+    module imports all of them: members are rows, joined to edges and counted.
+    ``n`` counts its files; ``files`` lists the first ``marks.MANY``.
     """
-    per = defined_exports(a.sources).groupBy("name").agg(F.array_sort(F.collect_list("path")).alias("files")).where("size(files) > 1")
-    groups = per.groupBy("files").agg(F.array_sort(F.collect_list("name")).alias("names"))
-    member = groups.select("files", F.explode(F.array_distinct("files")).alias("dst"))
-    takers = member.join(a.edges.select("src", "dst"), "dst").groupBy("files", "src").agg(F.countDistinct("dst").alias("taken"))
-    needed = F.size(F.array_distinct("files")) - F.array_contains("files", F.col("src")).cast("int")
-    return groups.join(takers.where(F.col("taken") >= needed).select("files").distinct(), "files", "left_anti")
-
-
-@rule("patterns/duplicate-helper", "maintainability", "One helper implemented in several files.")
+    defined = cut(defined_exports(a.sources))
+    per = defined.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.array_join(marks.sums("path").cast("array<string>"), ".").alias("set")).where("n > 1")
+    groups = cut(per.groupBy("set", "n").agg(F.array_sort(F.collect_list("name")).alias("names")))
+    places = cut(defined.join(groups.select("set", F.get("names", F.lit(0)).alias("name")), "name").select("set", "path"))
+    member = places.distinct()
+    takers = member.join(a.edges.select("src", F.col("dst").alias("path")), "path").groupBy("set", "src").agg(F.countDistinct("path").alias("taken"))
+    inside = member.select("set", F.col("path").alias("src"), F.lit(1).alias("own"))
+    sizes = member.groupBy("set").agg(F.count(F.lit(1)).alias("size"))
+    explained = takers.join(sizes, "set").join(inside, ["set", "src"], "left").where(F.col("taken") >= F.col("size") - F.coalesce("own", F.lit(0))).select("set").distinct()
+    shown = marks.listed(places, ["set"], ["path"], "p").select("set", F.transform("p", lambda x: x["path"]).alias("files"))
+    return groups.join(explained, "set", "left_anti").join(shown, "set").select("set", "n", "files", "names")
+
+
+@rule("patterns/duplicate-helper", "maintainability", "Functions that several files define.")
 def duplicate_helper(a):
-    g = shared_names(a).where(F.size("names") < PARALLEL).select("files", F.explode("names").alias("name"))
-    n = F.size("files")
-    return rows(g, file=F.get("files", F.lit(0)), title=said(F.col("name"), "() is implemented in ", n, " places"), message=said(n, " files each define and export `", F.col("name"), "`; a fix to one leaves the others behind."), detail=F.col("files"), suggestion="Keep one and import it, or name them by how they differ.", key=(F.col("name"), (F.col("files"),)), current=F.col("files"), kind="a")
+    g = shared_names(a).where(F.size("names") < PARALLEL).select("set", "n", "files", F.explode("names").alias("name"))
+    n = F.col("n").cast("int")
+    return rows(g, file=F.get("files", F.lit(0)), title=said(n, " files have their own ", F.col("name"), "()"), message=said("`", F.col("name"), "` is defined and offered by ", n, " files, and each has to be kept right."), detail=F.col("files"), suggestion="Let one file offer it, or give them names that tell them apart.", key=(F.col("name"), (whole_or_mark(F.col("files"), n, F.col("set")),)), current=F.col("files"), kind="a")
 
 
-@rule("patterns/parallel-implementations", "maintainability", "Modules that define the same names.")
+@rule("patterns/parallel-implementations", "maintainability", "Modules with the same names inside.")
 def parallel(a):
     g = shared_names(a).where(F.size("names") >= PARALLEL)
-    names, files = F.col("names"), F.col("files")
-    return rows(g, file=F.get(files, F.lit(0)), title=said(F.size(files), " modules define the same ", F.size(names), " names"), message=said(F.array_join(files, " and "), " each define ", F.array_join(F.slice(names, 1, 4), ", "), F.when(F.size(names) > 4, " and others").otherwise(""), "."), detail=names, suggestion="Decide which one is real, or put a module in front that chooses.", key=((files,), (names,)), current=names, kind="a")
+    names, files, n = F.col("names"), F.col("files"), F.col("n").cast("int")
+    return rows(g, file=F.get(files, F.lit(0)), title=said(F.size(names), " names that ", n, " modules share"), message=said(F.array_join(F.slice(names, 1, 4), ", "), F.when(F.size(names) > 4, " and more").otherwise(""), " are found in each of ", F.array_join(F.slice(files, 1, 4), ", "), F.when(n > 4, " and more").otherwise(""), "."), detail=names, suggestion="Settle on one of the modules, or on one place that picks between them.", key=((whole_or_mark(files, n, F.col("set")),), (names,)), current=names, kind="a")
 
 
-@rule("patterns/thin-wrapper", "maintainability", "A module that only forwards a call.")
+@rule("patterns/thin-wrapper", "maintainability", "Modules that pass one call on.")
 def thin_wrapper(a):
     own = a.resolved.join(a.files.where("language <> 'go'").select("path"), "path", "left_semi")
     one = own.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("target")).where("n = 1")
     f = a.sources.where("size(exports) = 1 and size(functions) = 1").withColumn("fn", F.get("functions", F.lit(0))).where("fn.complexity <= 1 and fn.lines <= 3 and array_contains(exports, fn.name)")
     f = f.join(one, "path").join(a.edges.select(F.col("dst").alias("path")).distinct(), "path", "left_semi")
-    return rows(f, file=F.col("path"), line=F.col("fn.line"), title=said(P.base_name("path"), " only forwards to ", P.base_name("target")), message=said(F.col("path"), " exports one function of ", F.col("fn.lines"), " lines that calls into ", F.col("target"), "."), detail=F.array(said(F.col("path"), " -> ", F.col("target"))), suggestion="Import the target directly.", key=(F.col("target"),), current=F.col("target"), kind="s")
+    return rows(f, file=F.col("path"), line=F.col("fn.line"), title=said(P.base_name("path"), " adds nothing to ", P.base_name("target")), message=said("All that ", F.col("path"), " offers is one function of ", F.col("fn.lines"), " lines over ", F.col("target"), "."), detail=F.array(said(F.col("path"), " -> ", F.col("target"))), suggestion="Let its users take the target.", key=(F.col("target"),), current=F.col("target"), kind="s")
 
 
-@rule("patterns/abstraction-growth", "architecture", "A folder of many small single-use modules.")
+@rule("patterns/abstraction-growth", "architecture", "Folders of small modules with one user each.")
 def abstraction_growth(a):
     into = a.edges.groupBy(F.col("dst").alias("path")).agg(F.count(F.lit(1)).alias("dependents"))
     folder = F.when(F.contains("path", F.lit("/")), P.directory("path")).otherwise(".")
@@ -546,7 +571,7 @@ def abstraction_growth(a):
     per = a.sources.join(into, "path", "left").groupBy(folder.alias("d")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(single, F.col("path")))).alias("single"))
     per = per.where((F.col("n") >= GROWTH_FILES) & (F.size("single") >= GROWTH_SINGLE) & (F.size("single") / F.col("n") >= GROWTH_SHARE))
     k = F.size("single")
-    return rows(per, file=F.get("single", F.lit(0)), title=said(F.col("d"), "/ holds ", k, " small modules each used once"), message=said(k, " of the ", F.col("n"), " files in ", F.col("d"), f"/ are under {SMALL_SLOC} lines and have one caller."), detail=F.slice("single", 1, 8), suggestion="Fold the pieces into their callers, or into one module.", key=(F.col("d"), k), current=k)
+    return rows(per, file=F.get("single", F.lit(0)), title=said(k, " small modules of ", F.col("d"), "/ have a single user"), message=said("Of ", F.col("n"), " files in ", F.col("d"), "/ ", k, f" have at most {SMALL_SLOC} lines and one importer."), detail=F.slice("single", 1, 8), suggestion="Put small modules where they are used.", key=(F.col("d"), k), current=k)
 
 
 # dependencies ------------------------------------------------------------------------
@@ -557,13 +582,13 @@ def major(version: Column) -> Column:
     return F.nullif(F.regexp_extract(F.regexp_replace(version, r"^[\^~>=<\s]*", ""), r"(\d+)\.", 1), F.lit(""))
 
 
-@rule("dependencies/major-version-change", "dependencies", "Dependencies whose major version moved.")
+@rule("dependencies/major-version-change", "dependencies", "Packages with another major number than before.")
 def major_change(a):
     if a.base_packages is None:
         return None
     both = a.packages.join(a.base_packages.withColumnRenamed("version", "old"), "package").withColumns({"x": major(F.col("old")), "y": major(F.col("version"))}).where("x <> y")
     p, old, new = F.col("package"), F.col("old"), F.col("version")
-    return rows(both, file=F.lit("package.json"), title=said(p, " moved from v", F.col("x"), " to v", F.col("y")), message=said(p, " changed its major version (", old, " -> ", new, ")."), suggestion=said("Read ", p, "'s changes between the two."), key=(p, old, new), baseline=old, current=new, kind="s")
+    return rows(both, file=F.lit("package.json"), title=said(p, " goes from major ", F.col("x"), " to ", F.col("y")), message=said("The range of ", p, " was ", old, " and is ", new, "."), suggestion=said("See what ", p, " no longer does."), key=(p, old, new), baseline=old, current=new, kind="s")
 
 
 def _one_list(found: DataFrame, title, message, detail, suggestion: str) -> DataFrame:
@@ -571,24 +596,24 @@ def _one_list(found: DataFrame, title, message, detail, suggestion: str) -> Data
     return rows(found, file=F.lit("package.json"), title=title(n), message=message(F.array_join(every, ", ")), detail=detail, suggestion=suggestion, key=((every,),), current=every, kind="a")
 
 
-@rule("dependencies/new-dependency", "dependencies", "Dependencies that this change adds.")
+@rule("dependencies/new-dependency", "dependencies", "Packages that weren't declared before.")
 def new_dependency(a):
     if a.base_packages is None:
         return None
     added = a.packages.join(a.base_packages, "package", "left_anti").agg(F.array_sort(F.collect_list("package")).alias("all"), F.array_sort(F.collect_list(F.concat_ws("@", "package", "version"))).alias("at")).where("size(all) > 0")
-    return _one_list(added, lambda n: count_label(n, "new dependency", "new dependencies"), lambda s: said("This change adds ", s, "."), F.col("at"), "Confirm that each is needed.")
+    return _one_list(added, lambda n: said(count_label(n, "package"), " not declared before"), lambda s: said("Declared since the base: ", s, "."), F.col("at"), "Ask of each what it is for.")
 
 
-@rule("dependencies/unused-dependency", "dependencies", "Declared dependencies that nothing imports.")
+@rule("dependencies/unused-dependency", "dependencies", "Declared packages without an import.")
 def unused_dependency(a):
     found = _listed(resolve.unused_packages(list(a.info.dependencies), a.external), "package")
-    return _one_list(found, lambda n: said(count_label(n, "dependency", "dependencies"), " with no imports found"), lambda s: said("No import of ", s, " was found; they may still be loaded at run time."), F.col("all"), "Remove what really is unused.")
+    return _one_list(found, lambda n: said("Nothing imports ", count_label(n, "declared package")), lambda s: said("No source names ", s, "; other tools may."), F.col("all"), "Take out those that no tool needs either.")
 
 
-@rule("dependencies/duplicate-dependency", "dependencies", "Packages declared twice.")
+@rule("dependencies/duplicate-dependency", "dependencies", "Packages in both lists.")
 def duplicate_dependency(a):
     twice = sorted(set(a.info.dependencies) & set(a.info.dev_dependencies))
     if not twice:
         return None
     found = a.spark.createDataFrame([(twice,)], "all array<string>")
-    return _one_list(found, lambda n: said(count_label(n, "package"), " declared twice"), lambda s: said(s, " stand in both lists, so which version wins depends on the installer."), F.col("all"), "Keep the declaration in one place.")
+    return _one_list(found, lambda n: said(count_label(n, "package"), " in both dependency lists"), lambda s: said("Two ranges are given for ", s, "."), F.col("all"), "Leave each in the list that fits.")

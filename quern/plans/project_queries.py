@@ -11,6 +11,7 @@ from quern.plans import analysis as A
 from quern.plans import findings as R
 from quern.plans import reports_project as Q
 from quern.plans import settings as S
+from quern.plans import words as W
 from quern.plans.catalogue import QUERIES, query
 from quern.sources import sample
 
@@ -146,8 +147,19 @@ def _whole(f):
     return f
 
 
+# lines that are not structural: every fifth supplier's block, and the steps of an order
+_TOLD = f"""SELECT 'src/db/s' || s_suppkey || '.ts' AS path, 3 + i AS line, 'register(table' || i || ', column' || i || ');' AS said FROM supplier, unnest(range(7)) AS t(i) WHERE s_suppkey % 5 = 0
+UNION ALL SELECT 'src/services/o' || l_orderkey || '.ts', 2 * count(*) OVER (PARTITION BY l_orderkey) + 1 + i, CASE WHEN l_linestatus = 'O' THEN 'if (a > ' || l_linenumber || ' && b) {{ const v' || l_linenumber || ': any = pkg' || l_suppkey || '; }}' ELSE 'if (a > ' || l_linenumber || ') {{ go(' || l_linenumber || '); }}' END FROM ({_LINES}) WHERE l_orderkey IN (SELECT o_orderkey FROM orders)"""
+_SIX = "lead(line, 5) OVER p = line + 5 AS whole, concat_ws(chr(10), said, lead(said) OVER p, lead(said, 2) OVER p, lead(said, 3) OVER p, lead(said, 4) OVER p, lead(said, 5) OVER p)"
+_REGIONS = f"""SELECT max(spot) - min(spot) + 6 AS span, any_value(len(files)) AS places, files FROM (
+  SELECT *, sum(new) OVER (PARTITION BY files, far ORDER BY spot ROWS UNBOUNDED PRECEDING) AS island FROM (
+    SELECT *, CASE WHEN spot <= lag(spot) OVER (PARTITION BY files, far ORDER BY spot) + 6 THEN 0 ELSE 1 END AS new FROM (
+      SELECT files, ls[1] AS spot, list_transform(ls, lambda x: x - ls[1]) AS far FROM (
+        SELECT list(path ORDER BY path, line) AS files, list(line ORDER BY path, line) AS ls FROM (
+          SELECT *, lag(line) OVER (PARTITION BY block, path ORDER BY line) AS before FROM (SELECT path, line, {_SIX} AS block FROM ({_TOLD}) WINDOW p AS (PARTITION BY path ORDER BY line)) WHERE whole)
+        WHERE before IS NULL OR line - before >= 6 GROUP BY block HAVING count(*) > 1)))) GROUP BY files, far, island"""
 _ROUND = lambda x: f"greatest(0, least(100, floor({x} + 0.5)))"
-_SCORES = f"""{_DEPTHS}, s AS ({_STATS}), x AS (SELECT s.*, greatest(1, files / 100.0) AS per, greatest(1, linesOfCode / 1000.0) AS kloc, (SELECT count(*) FROM supplier JOIN customer ON c_custkey = s_suppkey WHERE s_suppkey % 10 = 0) AS cycles, (SELECT CASE WHEN count(*) > 1 THEN 1 ELSE 0 END FROM supplier WHERE s_suppkey % 5 = 0) AS dups, (SELECT coalesce(max(d), 0) FROM depths WHERE node NOT IN (SELECT dst FROM ({_EDGES}))) AS deep FROM s),
+_SCORES = f"""{_DEPTHS}, s AS ({_STATS}), x AS (SELECT s.*, greatest(1, files / 100.0) AS per, greatest(1, linesOfCode / 1000.0) AS kloc, (SELECT count(*) FROM supplier JOIN customer ON c_custkey = s_suppkey WHERE s_suppkey % 10 = 0) AS cycles, (SELECT count(*) FROM ({_REGIONS})) AS dups, (SELECT coalesce(max(d), 0) FROM depths WHERE node NOT IN (SELECT dst FROM ({_EDGES}))) AS deep FROM s),
 y AS (SELECT {_ROUND('100 - (cycles * 10 + layerViolations * 5 + layerSkips * 2) / per')} AS architecture, {_ROUND('100 - complexFunctions / functions * 180 - deeplyNested / functions * 60')} AS complexity, {_ROUND('100 - largeFiles / files * 200 - largeFunctions / functions * 100 - dups / per * 2')} AS maintainability, {_ROUND('100 - unresolvedImports / per * 3 - greatest(0, deep - 8) * 2')} AS dependencies, {_ROUND('100 - anyUsages / kloc * 3')} AS typeSafety FROM x)
 SELECT {_ROUND('architecture * 0.3 + complexity * 0.2 + maintainability * 0.2 + dependencies * 0.15 + typeSafety * 0.15')}::BIGINT AS overall, architecture::BIGINT AS architecture, complexity::BIGINT AS complexity, maintainability::BIGINT AS maintainability, dependencies::BIGINT AS dependencies, typeSafety::BIGINT AS typeSafety FROM y"""
 
@@ -185,25 +197,39 @@ def project_test_reach(spark, d):
     return Q.test_reach(analysis(spark, d)).select("test", "path")
 
 
-@_whole
+_TESTED = f"SELECT DISTINCT test, path FROM (WITH RECURSIVE e AS ({_EDGES}), hit AS (SELECT src AS test, dst AS path FROM e WHERE src LIKE 'tests/%' UNION SELECT hit.test, e.dst FROM hit JOIN e ON e.src = hit.path) SELECT test, path FROM hit)"
+_GAPS = f"""SELECT CASE WHEN n = 0 THEN 'skipped' WHEN o_orderkey % 50 = 0 THEN 'covered' ELSE 'none' END AS coverage, CASE WHEN n > 0 AND o_orderkey % 50 <> 0 THEN 1 ELSE 0 END AS untested FROM ({_PER_ORDER})
+UNION ALL SELECT CASE WHEN p_size % 6 = 0 THEN 'skipped' WHEN 'src/domain/p' || p_partkey || '.ts' IN (SELECT path FROM ({_TESTED})) THEN 'partial' ELSE 'none' END, CASE WHEN p_size % 6 = 0 THEN 0 ELSE 1 END FROM part WHERE p_size <= {sample.LARGEST}
+UNION ALL SELECT 'skipped', 0 FROM customer UNION ALL SELECT 'skipped', 0 FROM supplier"""
+
+
+@query(f"SELECT coverage, count(*) AS files, sum(untested)::BIGINT AS untested FROM ({_GAPS}) GROUP BY coverage")
 def project_test_gaps(spark, d) -> DataFrame:
     return Q.test_gaps(analysis(spark, d)).groupBy("coverage").agg(F.count(F.lit(1)).alias("files"), F.sum(F.size("untested")).alias("untested"))
 
 
-@_whole
+# files that nothing imports; each exports a name, which is a caveat
+@query(f"SELECT path, 'medium' AS confidence, lines, CASE WHEN path LIKE 'src/domain/%' THEN 2 ELSE 1 END AS exports FROM ({_FILES}) WHERE path NOT LIKE 'tests/%' AND path NOT IN (SELECT dst FROM ({_EDGES}))")
 def project_dead_code(spark, d) -> DataFrame:
     return Q.dead_code(analysis(spark, d))[0].select("path", "confidence", "lines", "exports")
 
 
+@query(f"SELECT 'src/services/o' || l_orderkey || '.ts' AS path, (2 * count(*) OVER (PARTITION BY l_orderkey) + 1 + i)::INT AS line, 'order' || l_orderkey || '()' AS function FROM ({_LINES}) WHERE l_orderkey IN (SELECT o_orderkey FROM orders) QUALIFY l_linestatus = 'O'")
+def project_markers_in_functions(spark, d):
+    a = analysis(spark, d)
+    m = a.files.select(F.col("path").alias("file"), F.explode(F.filter("markers", lambda m: m["kind"] == "any")).alias("m")).select(F.concat_ws(":", "file", "m.line").alias("fingerprint"), "file", F.col("m.line").alias("line"))
+    return m.distinct().join(W.enclosing_functions(m, a.functions), "fingerprint").select(F.col("file").alias("path"), "line", "function")
+
+
 @query(f"SELECT 'src/domain/p' || p_partkey || '.ts' AS path, 'spare' || p_partkey AS names, 'high' AS confidence FROM part WHERE p_size <= {sample.LARGEST} AND 'src/domain/p' || p_partkey || '.ts' IN (SELECT dst FROM ({_EDGES}))")
 def project_unused_exports(spark, d):
     return Q.unused_exports(analysis(spark, d)).select("path", F.array_join("names", ",").alias("names"), "confidence")
 
 
-@query("SELECT 7 AS span, 1 AS regions, count(*) AS places FROM supplier WHERE s_suppkey % 5 = 0 HAVING count(*) > 1")
+@query(f"SELECT span::INT AS span, count(*) AS regions, sum(places)::BIGINT AS places FROM ({_REGIONS}) GROUP BY span")
 def project_duplicate_blocks(spark, d):
     r = R.duplicate_regions(analysis(spark, d).sources.select("path", "text"), SETTINGS.thresholds["minDuplicateLines"])
-    return r.groupBy("span").agg(F.count(F.lit(1)).alias("regions"), F.sum(F.size("files")).alias("places"))
+    return r.groupBy("span").agg(F.count(F.lit(1)).alias("regions"), F.sum("n").alias("places"))
 
 
 @query(f"SELECT 'src/components/c' || k || '.tsx' AS client, 'src/db/s' || k || '.ts' AS target, 'src/components/c' || k || '.tsx → src/db/s' || k || '.ts' AS chain FROM ({_LOOPS})")

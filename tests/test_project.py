@@ -118,7 +118,7 @@ def test_duplicate_blocks_merge_into_regions(spark):
     files = {"a.ts": "start();\n" + block, "b.ts": "begin();\n" + block + "ending();\n", "c.test.ts": block}
     a = _analysis(spark, files)
     got = [r.asDict() for r in a.findings_of("maintainability/duplicate-block").collect()]
-    assert len(got) == 1 and got[0]["title"] == "20 identical lines repeated 2 times" and got[0]["detail"] == ["a.ts:2", "b.ts:2"] and got[0]["current"] == "2"
+    assert len(got) == 1 and got[0]["title"] == "A block of 20 lines occurs 2 times" and got[0]["detail"] == ["a.ts:2", "b.ts:2"] and got[0]["current"] == "2"
     two = {"a.ts": block + "middle();\n" * 9 + block.replace("value", "other"), "b.ts": block.replace("value", "other") + "between();\n" + block}
     assert _analysis(spark, two).findings_of("maintainability/duplicate-block").count() >= 2
 
@@ -192,7 +192,7 @@ def test_layer_inference_and_coverage(spark):
     assert [tuple(r) for r in a.unplaced.collect()] == [("src/misc", 20)]
     assert ("architecture/unlayered-code", None) in _ids(a, "architecture/unlayered-code")
     one = _analysis(spark, {"src/services/s.ts": ""})
-    assert not one.layers.folders and one.findings_of("architecture/unlayered-code").where("title = 'No layered structure to check'").count() == 1
+    assert not one.layers.folders and one.findings_of("architecture/unlayered-code").where("title = 'No layers to hold imports against'").count() == 1
     counts = dict.fromkeys(ST.STATS, 0) | {"files": 31, "layeredFiles": 11}
     both = spark.createDataFrame([counts, counts | {"layeredFiles": 0}], ", ".join(f"{k} long" for k in ST.STATS))
     assert [r.architecture for r in A.scores(both, True).collect()] == [78, 100]  # 50 * (0.8 - 11 / 31) points are withheld
@@ -205,7 +205,7 @@ def test_dependency_rules(spark):
     a.base_packages = before
     got = {r.id: r for r in a.findings_of(*[r.id for r in R.RULES if r.category == "dependencies"]).collect()}
     assert json.loads(got["dependencies/unused-dependency"].current) == ["lodash"] and json.loads(got["dependencies/duplicate-dependency"].current) == ["lodash"]
-    assert got["dependencies/major-version-change"].title == "react moved from v17 to v18"
+    assert got["dependencies/major-version-change"].title == "react goes from major 17 to 18"
     assert got["dependencies/new-dependency"].detail == ["@types/node@20", "lodash@1.0.0"]
     report = Q.dependency_report(a)
     assert report == {"declared": 3, "imported": 1, "undeclared": [], "unused": ["lodash"], "implicit": 1}
@@ -359,3 +359,51 @@ def test_commands_on_a_folder(spark, tmp_path):
 def test_packages_of_specifiers(spark):
     df = spark.createDataFrame([(x,) for x in ("./a", "/b", "@/c", "@s/p/q", "@s", "lodash/fp", "node:fs")], "raw string")
     assert [r[0] for r in df.select(resolve.package_of(F.col("raw"))).collect()] == [None, None, None, "@s/p", "@s", "lodash", "node:fs"]
+
+
+def test_a_block_in_many_files_has_rows_of_bounded_size(spark, monkeypatch):
+    from quern.operators import marks
+
+    block = "\n".join(f"register(thing{i}, other{i});" for i in range(8))
+    texts = [(f"f{i:03}", f"const own{i} = start({i});\n" * (i % 3 + 1) + block + ("\nextra(line, number, one);" if i < 40 else "")) for i in range(120)]
+    whole = sorted(tuple(r) for r in R.duplicate_regions(spark.createDataFrame(texts, "path string, text string"), 6).select("n", "span", "files", "lines").collect())
+    # all files hold eight lines, the first 40 nine, and both start where the file's own lines end
+    assert [(n, span, len(files)) for n, span, files, _ in whole] == [(40, 6, 40), (120, 8, 120)]
+    assert whole[1][2] == [p for p, _ in texts] and whole[1][3] == [i % 3 + 2 for i in range(120)]
+    monkeypatch.setattr(marks, "MANY", 10)
+    some = sorted(tuple(r) for r in R.duplicate_regions(spark.createDataFrame(texts, "path string, text string"), 6).select("n", "span", "files", "lines").collect())
+    assert some == [(n, span, files[:10], lines[:10]) for n, span, files, lines in whole]
+
+
+def test_marks_tell_sets_apart_whatever_their_order(spark):
+    from quern.operators import marks
+
+    sets = {"a": [1, 2, 3], "b": [3, 2, 1], "c": [1, 2, 4], "d": [1, 2, 3, 3], "e": [2, 3], "f": [1, 1, 2, 3]}
+    rows = spark.createDataFrame([(k, x) for k, v in sets.items() for x in v], "k string, x long").repartition(3)
+    got = {r.k: tuple(r.m) for r in rows.groupBy("k").agg(marks.sums("x").alias("m")).collect()}
+    assert got["a"] == got["b"] and len(set(got.values())) == 5
+
+
+def test_points_in_ranges_equal_brute_force(spark):
+    import random
+
+    from quern.operators.intervals import within
+
+    rng = random.Random(5)
+    ranges = [(rng.choice("ab"), i, x, x + rng.choice([0, 0, 1, 5, 63, 64, 1000, -3])) for i in range(200) for x in [rng.randrange(1500)]]
+    points = [(rng.choice("abc"), rng.randrange(1600)) for _ in range(150)]
+    p = spark.createDataFrame([*points, (None, 5), ("a", None)], "f string, at int")
+    r = spark.createDataFrame([*ranges, (None, 999, 0, 9)], "f string, id int, x int, z int")
+    assert sorted((t.f, t.at, t.id) for t in within(p, r, "f", "at", "x", "z").collect()) == sorted((f, at, i) for f, at in points for g, i, x, z in ranges if f == g and x <= at <= z)
+    assert within(p, r.limit(0), "f", "at", "x", "z").count() == 0
+
+
+def test_one_file_of_many_functions(spark):
+    # 100,000 functions of three lines inside one of all lines: a finding meets two functions, not all
+    f = spark.range(100_000).selectExpr("'a' as path", "cast(id + 1 as int) as ordinal", "concat('f', id) as name", "cast(id * 3 + 2 as int) as line", "cast(id * 3 + 4 as int) as end_line")
+    f = f.unionByName(spark.createDataFrame([("a", 0, "all", 1, 300_002)], f.schema))
+    found = spark.range(1000).selectExpr("cast(id as string) as fingerprint", "'a' as file", "cast(id * 300 + 3 as int) as line")
+    got = W.enclosing_functions(found, f).collect()
+    assert len(got) == 1000 and {r.function for r in got} == {"all()"}
+    inner = W.enclosing_functions(found, f.where("name <> 'all'")).collect()
+    assert {(r.fingerprint, r.function) for r in inner} == {(str(i), f"f{i * 100}()") for i in range(1000)}

@@ -41,11 +41,10 @@ def _components(depths):
     return out
 
 
-@pytest.fixture(params=["in memory", "by joins"])
-def way(request, monkeypatch):
-    """Both ways of solving: within the local bound and beyond it."""
-    if request.param == "by joins":
-        monkeypatch.setattr(graph, "LOCAL_EDGES", -1)
+@pytest.fixture
+def by_joins(monkeypatch):
+    """Beyond the local bound."""
+    monkeypatch.setattr(graph, "LOCAL_EDGES", -1)
 
 
 @pytest.mark.parametrize("seed, n, m, bound", [(1, 30, 36, graph.LOCAL_EDGES), (2, 30, 60, graph.LOCAL_EDGES), (3, 14, 22, -1)])
@@ -53,11 +52,50 @@ def test_operators_equal_brute_force(spark, monkeypatch, seed, n, m, bound):
     monkeypatch.setattr(graph, "LOCAL_EDGES", bound)
     rng = random.Random(seed)
     rows = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]  # self edges and repeats too
-    df, depths = spark.createDataFrame(rows, "src long, dst long"), _depths(rows)
+    df, depths = spark.createDataFrame([*rows, (None, 1), (2, None)], "src long, dst long"), _depths(rows)
     assert {r.node: r.component for r in graph.components(df).collect()} == _components(depths)
     assert {r.node: r.affected for r in graph.reach_counts(df).collect()} == _affected(depths)
 
 
+class Rounds:
+    """Counts the rounds of an operator: every table it writes."""
+
+    def __init__(self, monkeypatch):
+        self.n, write = 0, graph.cut
+
+        def cut(df):
+            self.n += 1
+            return write(df)
+
+        monkeypatch.setattr(graph, "cut", cut)
+
+
+def test_contraction_of_chains_trees_and_cycles(spark, monkeypatch, by_joins):
+    # a cycle of 300 without a way out, one of 300 through a hub, a tree into each, a chain out of each, two hubs with a loop of their own
+    ring = [(i, (i + 1) % 300) for i in range(300)]
+    hub = [(1000 + i, 1000 + (i + 1) % 300) for i in range(300)] + [(1000, 5000), (1000, 1000), (5000, 5001), (5001, 5001)]
+    tree = [(2000 + i, 2000 + (i - 1) // 2) for i in range(1, 64)] + [(2000, 5), (2040, 1007)]
+    chain = [(3000 + i, 3001 + i) for i in range(300)] + [(1100, 3000)]
+    rows = ring + hub + tree + chain
+    count = Rounds(monkeypatch)
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(rows, "src long, dst long")).collect()}
+    assert got == {**{i: 0 for i in range(300)}, **{1000 + i: 1000 for i in range(300)}, 5001: 5001}
+    assert count.n < 120
+
+
+def test_sketches_estimate_within_their_error(spark):
+    # 400 tops, each over two of 20 middles, which all stand over one node
+    rows = [(100 + i, j) for i in range(400) for j in (i % 20, (i * 7 + 3) % 20)] + [(j, 99) for j in range(20)]
+    df, truth = spark.createDataFrame(rows, "src long, dst long"), _affected(_depths(rows))
+    assert truth[99] == 420 and max(n for x, n in truth.items() if x != 99) < 63
+    exact = {r.node: (r.affected, r.exact) for r in graph.reach_counts(df).collect()}
+    assert exact == {n: (c, True) for n, c in truth.items()}
+    some = {r.node: (r.affected, r.exact) for r in graph.reach_counts(df, 64).collect()}
+    assert some.pop(99)[1] is False and some == {n: (c, True) for n, c in truth.items() if n != 99}
+    estimates = [{r.node: r.affected for r in graph.reach_counts(df, k).collect()}[99] for k in (64, 200)]
+    assert all(abs(n - 420) < 3 / (k - 2) ** 0.5 * 420 for n, k in zip(estimates, (64, 200)))
+
+
 def _longest(edges):
     """Longest chains by the definition: a component of n counts n - 1, then the best way on."""
     depths = _depths(edges)
@@ -81,15 +119,14 @@ EDGES = {
 }
 
 
-@pytest.mark.parametrize("name, bound", [*((n, graph.LOCAL_EDGES) for n in EDGES), ("two ways", -1), ("loop of two", -1)])
-def test_depths(spark, monkeypatch, name, bound):
-    monkeypatch.setattr(graph, "LOCAL_EDGES", bound)
+@pytest.mark.parametrize("name", EDGES)
+def test_depths(spark, name):
     rows = [tuple(e) for e in EDGES[name]]
     got = {r.node: r.depth for r in graph.depths(spark.createDataFrame(rows, "src string, dst string")).collect()}
     assert got == _longest(rows) and max(got.values()) == {"chain": 3, "two ways": 3, "diamond": 3, "loop of two": 3, "loop of three": 2, "apart": 2}[name]
 
 
-def test_reach_and_loops(spark, way):
+def test_reach_and_loops(spark):
     rows = [tuple(e) for e in ("ab", "bc", "ca", "cd", "de", "xy", "yx")]
     df = spark.createDataFrame(rows, "src string, dst string")
     got = {(r.start, r.node): r.distance for r in graph.reach(df, spark.createDataFrame([("a",), ("x",)], "start string"), 3).collect()}
@@ -104,6 +141,22 @@ def test_depth_of_a_large_branching_graph(spark):
     assert got[0] == 1999 and got[1999] == 0
 
 
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch, by_joins):
+    rows = [(i, i + 1) for i in range(10_000)]
+    monkeypatch.setattr(graph, "components", lambda edges: edges.sparkSession.createDataFrame([], "node long, component long"))
+    count = Rounds(monkeypatch)
+    got = {r.node: r.depth for r in graph.depths(spark.createDataFrame(rows, "src long, dst long")).collect()}
+    assert got == {i: 10_000 - i for i in range(10_001)}
+    assert count.n <= 2 * 15 + 5  # a table of depths and one of pairs for each
+
+
+@pytest.mark.parametrize("bound", [40])
+def test_depths_when_pairs_are_bounded(spark, monkeypatch, by_joins, bound):
+    monkeypatch.setattr(graph, "AHEAD", 0), monkeypatch.setattr(graph, "LEAST_AHEAD", bound)
+    rows = [(i, j) for i in range(12) for j in range(i + 1, min(i + 3, 12))] + [(3, 2)]
+    assert {r.node: r.depth for r in graph.depths(spark.createDataFrame(rows, "src long, dst long")).collect()} == _longest(rows)
+
+
 def test_no_edges(spark):
     none = spark.createDataFrame([], "src long, dst long")
     assert graph.components(none).count() == graph.reach_counts(none).count() == 0
