@@ -54,3 +54,19 @@ def test_watch_tells_what_is_new(spark, tmp_path):
     told = session.reports[0]
     assert told["touched"] == ["b.ts"] and [(n["id"], n["file"], n["place"]) for n in told["new"] if n["severity"] == "error"] == [("architecture/circular-dependency", "a.ts", "inAffected")]
     assert told["dropped"]["architecture"] < 0
+
+
+def test_findings_are_told_again_after_a_quiet_time(spark, tmp_path):
+    # two files, read one after the other; what comes late but inside the watermark counts
+    from quern.streaming import told as T
+
+    first = [("a", _at(s)) for s in (0, 30, 61, 100, 122)] + [("b", _at(5)), (None, _at(1)), ("c", None)]
+    second = [("a", _at(200)), ("b", _at(50)), ("b", _at(400)), ("d", _at(401)), ("d", _at(401))]
+    for k, rows in enumerate((first, second)):
+        spark.createDataFrame(rows, "fingerprint string, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("fingerprint string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    T.run_to_end(T.told(stream, 60, "300 seconds"), f"{tmp_path}/out", f"{tmp_path}/cp")
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    got = sorted((r.fingerprint, (r.ts - T0).total_seconds()) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("a", 0), ("a", 61), ("a", 122), ("a", 200), ("b", 5), ("b", 400), ("d", 401)]
