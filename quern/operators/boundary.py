@@ -1,9 +1,12 @@
 """From client modules to what must stay on a server: the shortest chain of imports to each such module.
 
-A round extends all clients' frontiers at once by one join.  A row holds its
-chain; the first chain of the least length wins, by the order in which a walk
-from the client meets modules.  Modules that must stay on a server end the
-walk, as do ``MAX_DEPTH`` steps and ``MAX_VISITS`` modules met from a client.
+A round extends all clients' frontiers at once by one join.  A row is of fixed
+size: client, module, the module it was met from and its place in the order in
+which a walk from the client meets modules; of chains of the least length the
+first in that order wins.  Chains are put together afterwards, for the modules
+that were sought alone, by following the rows back.  Modules that must stay on
+a server end the walk, as do ``MAX_DEPTH`` steps and ``MAX_VISITS`` modules
+met from a client.
 """
 
 from __future__ import annotations
@@ -39,20 +42,34 @@ def runtime_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
     return edges.where("not type_only").join(actions, "dst", "left_anti").select("src", "dst", "line")
 
 
-def client_leaks(files: DataFrame, edges: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
-    """(client, target, chain, secrets, packages, line): one row for each client and module it must not reach."""
-    why = cut(reasons(files))
-    steps = cut(runtime_edges(edges, files).join(files.select(F.col("path").alias("dst")), "dst", "left_semi"))
-    known = fresh = cut(files.where("use_client and not is_test").select(F.col("path").alias("client"), F.col("path").alias("node"), F.array("path").alias("chain"), F.array().cast("array<struct<l:int,d:string>>").alias("order")))
+def walks(starts: DataFrame, steps: DataFrame, ends: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
+    """(client, node, parent, rank, depth) of all modules that walks from ``starts`` (client) meet by ``steps`` (src, dst, line); they stop at ``ends`` (node)."""
+    known = fresh = cut(starts.select("client", F.col("client").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(1).alias("rank"), F.lit(0).alias("depth")))
     depth = 0
     while depth < most and not fresh.isEmpty():
         depth += 1
-        visits = known.groupBy("client").agg(F.count(F.lit(1)).alias("visits")).where(F.col("visits") < MAX_VISITS)
-        live = fresh.join(why.select(F.col("path").alias("node")), "node", "left_anti").join(visits, "client", "left_semi")
-        step = live.join(steps, F.col("node") == F.col("src"))
-        step = step.select("client", F.col("dst").alias("node"), F.array_append("chain", F.col("dst")).alias("chain"), F.array_append("order", F.struct(F.col("line").alias("l"), F.col("dst").alias("d"))).alias("order"))
-        first = Window.partitionBy("client", "node").orderBy("order")
-        step = step.join(known.select("client", "node"), ["client", "node"], "left_anti").withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
-        fresh = cut(step)
+        few = known.groupBy("client").agg(F.count(F.lit(1)).alias("visits")).where(F.col("visits") < MAX_VISITS)
+        live = fresh.join(ends.select("node"), "node", "left_anti").join(few, "client", "left_semi")
+        met = live.join(steps, F.col("node") == F.col("src")).select("client", F.col("dst").alias("to"), F.struct(F.col("rank").alias("of"), "line", F.col("dst").alias("dst")).alias("order"), "node")
+        met = met.join(known.select("client", F.col("node").alias("to")), ["client", "to"], "left_anti").groupBy("client", "to").agg(F.min("order").alias("order"), F.min_by("node", "order").alias("parent"))
+        fresh = cut(met.select("client", F.col("to").alias("node"), "parent", F.row_number().over(Window.partitionBy("client").orderBy("order")).alias("rank"), F.lit(depth).alias("depth")))
         known = known.union(fresh)
-    return known.join(why.withColumnRenamed("path", "node"), "node").select("client", F.col("node").alias("target"), "chain", "secrets", "packages", "line")
+    return known
+
+
+def chains(hits: DataFrame, known: DataFrame) -> DataFrame:
+    """``hits`` (client, node) with the chain from the client to the node, following ``known`` back a step a round."""
+    back = known.select("client", F.col("node").alias("_at"), F.col("parent").alias("_next"))
+    out = hits.withColumns({"chain": F.array("node"), "_at": F.col("node")})
+    for _ in range(known.agg(F.max("depth")).first()[0] or 0):
+        out = out.join(back, ["client", "_at"], "left").withColumn("chain", F.when(F.col("_next").isNull(), F.col("chain")).otherwise(F.array_prepend("chain", F.col("_next")))).drop("_at").withColumnRenamed("_next", "_at")
+    return out.drop("_at")
+
+
+def client_leaks(files: DataFrame, edges: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
+    """(client, target, chain, secrets, packages, line): one row for each client and module it must not reach."""
+    why = cut(reasons(files).withColumnRenamed("path", "node"))
+    steps = cut(runtime_edges(edges, files).join(files.select(F.col("path").alias("dst")), "dst", "left_semi"))
+    known = cut(walks(files.where("use_client and not is_test").select(F.col("path").alias("client")), steps, why, most))
+    found = cut(known.select("client", "node").join(why, "node"))
+    return chains(found, known).select("client", F.col("node").alias("target"), "chain", "secrets", "packages", "line")

@@ -407,3 +407,17 @@ def test_one_file_of_many_functions(spark):
     assert len(got) == 1000 and {r.function for r in got} == {"all()"}
     inner = W.enclosing_functions(found, f.where("name <> 'all'")).collect()
     assert {(r.fingerprint, r.function) for r in inner} == {(str(i), f"f{i * 100}()") for i in range(1000)}
+
+
+def test_walks_from_many_clients_over_a_hub(spark):
+    # 2,000 clients import a hub that leads to 50 modules, two of which read secrets; chains exist for hits alone
+    from quern.operators import boundary, graph
+
+    starts = spark.range(2000).selectExpr("concat('c', id) as client")
+    pairs = [("hub", f"m{i}", i + 1) for i in range(50)] + [(f"m{i}", "deep", 1) for i in (7, 3, 9)] + [("deep", "s2", 1), ("m5", "s1", 1), ("s1", "beyond", 1)]
+    steps = starts.selectExpr("client as src", "'hub' as dst", "1 as line").union(spark.createDataFrame(pairs, "src string, dst string, line int"))
+    ends = spark.createDataFrame([("s1",), ("s2",)], "node string")
+    known = graph.cut(boundary.walks(starts, steps, ends))
+    assert known.where("node = 'beyond'").isEmpty() and known.count() == 2000 * (1 + 1 + 50 + 2 + 1)
+    got = {r.node: (r.n, r.chains) for r in boundary.chains(known.select("client", "node").join(ends, "node", "left_semi"), known).groupBy("node").agg(F.count("*").alias("n"), F.collect_set(F.array_join(F.slice("chain", 2, 9), " ")).alias("chains")).collect()}
+    assert got == {"s1": (2000, ["hub m5 s1"]), "s2": (2000, ["hub m3 deep s2"])}
