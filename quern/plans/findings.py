@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import globs
 from quern.functions import paths as P
-from quern.operators import layers, marks, resolve
+from quern.operators import layers, marks, patterns, resolve
 from quern.operators.graph import cut
 
 if TYPE_CHECKING:
@@ -206,12 +206,10 @@ def cross_feature(a):
 
 @rule("architecture/forbidden-dependency", "architecture", "Imports that the settings rule out.")
 def forbidden(a):
-    pairs = a.settings.forbidden
+    pairs = list(a.settings.forbidden)
     if not pairs:
         return None
-    # the pairs are a handful: one pass over the edges asks them all
-    hits = F.array_compact(F.array(*[F.when(globs.matches_project("src", x) & globs.matches_project("dst", y), F.lit(f"{x} -> {y}")) for x, y in pairs]))
-    e = a.edges.select("*", F.explode(hits).alias("pair"))
+    e = patterns.forbidden_edges(a.edges, pairs)
     return rows(e, file=F.col("src"), line=F.col("line"), title=F.lit("An import that the settings rule out"), message=said(F.col("src"), " takes ", F.col("dst"), "; the pair ", F.col("pair"), " stands against it."), suggestion="Do without the import, or without the pair.", key=(F.col("dst"), F.col("pair")), current=F.col("pair"), kind="s")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import paths as P
 from quern.operators import layers
+from quern.operators.patterns import forbidden_edges
 from quern.plans import analysis as A
 from quern.plans import findings as R
 from quern.plans import reports_project as Q
@@ -14,6 +15,7 @@ from quern.plans import settings as S
 from quern.plans import words as W
 from quern.plans.catalogue import QUERIES, query
 from quern.sources import sample
+from quern.sources import tables as T
 
 SETTINGS = S.resolve({"thresholds": {"maxFileLines": 20, "maxFunctionLines": 7, "maxComplexity": 9, "maxNesting": 4, "maxParams": 5, "maxImportDepth": 8, "minDuplicateLines": 6, "maxAnyPerKLoc": 6}})
 _KEPT: dict[tuple[str, str], A.Analysis] = {}
@@ -242,6 +244,20 @@ def project_issue_numbers(spark, d) -> DataFrame:
     return A.numbered(analysis(spark, d).findings).select("number", "id", "file", "line", "fingerprint")
 
 
+# every part of these sizes is forbidden to services, and a few folders and names to components
+_FORBIDDEN = [("**/c1?.tsx", "src/db"), ("components/**", "**/s*0.ts"), ("src/**", "src/components/c2*.tsx")]
+
+
+@query(f"""SELECT src, dst, 'src/services/** -> domain/p' || p_partkey || '.ts' AS pair FROM ({_EDGES}) JOIN part ON dst = 'src/domain/p' || p_partkey || '.ts' WHERE src LIKE 'src/services/%' AND p_size BETWEEN 36 AND {sample.LARGEST}
+UNION ALL SELECT src, dst, '**/c1?.tsx -> src/db' FROM ({_EDGES}) WHERE regexp_matches(src, '(^|/)c1[^/]\\.tsx$') AND dst LIKE 'src/db/%'
+UNION ALL SELECT src, dst, 'components/** -> **/s*0.ts' FROM ({_EDGES}) WHERE src LIKE 'src/components/%' AND regexp_matches(dst, '/s[^/]*0\\.ts$')
+UNION ALL SELECT src, dst, 'src/** -> src/components/c2*.tsx' FROM ({_EDGES}) WHERE src LIKE 'src/%' AND regexp_matches(dst, '^src/components/c2[^/]*\\.tsx$')""")
+def project_forbidden(spark, d):
+    parts = T.table(spark, d, "part").where(f"p_size between 36 and {sample.LARGEST}").select("p_partkey").collect()  # settings: a pattern for each
+    pairs = [("src/services/**", f"domain/p{r[0]}.ts") for r in parts] + _FORBIDDEN
+    return forbidden_edges(analysis(spark, d).edges.select("src", "dst"), pairs)
+
+
 @query(f"SELECT path, regexp_extract(path, '^(src/)?([a-z]+)/', 2) AS first, CASE WHEN path LIKE 'src/%' THEN regexp_extract(path, '^(src/[a-z]+)/', 1) ELSE 'tests' END AS area FROM ({_FILES})")
 def project_paths(spark, d):
     return analysis(spark, d).files.select("path", F.get(P.meaningful_segments("path"), F.lit(0)).alias("first"), P.area("path").alias("area"))

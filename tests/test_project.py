@@ -421,3 +421,16 @@ def test_walks_from_many_clients_over_a_hub(spark):
     assert known.where("node = 'beyond'").isEmpty() and known.count() == 2000 * (1 + 1 + 50 + 2 + 1)
     got = {r.node: (r.n, r.chains) for r in boundary.chains(known.select("client", "node").join(ends, "node", "left_semi"), known).groupBy("node").agg(F.count("*").alias("n"), F.collect_set(F.array_join(F.slice("chain", 2, 9), " ")).alias("chains")).collect()}
     assert got == {"s1": (2000, ["hub m5 s1"]), "s2": (2000, ["hub m3 deep s2"])}
+
+
+def test_indexed_patterns_equal_asking_each(spark):
+    from quern.functions import globs
+    from quern.operators import patterns
+
+    paths = ["src/a/x.ts", "src/a/b/y.ts", "lib/x.ts", "x.ts", "src/db", "src/db/q.ts", "db/q.ts", "source/db/q.ts", "dbx/q.ts", "src/b.c/z.ts", "b+c/z.ts"]
+    given = ["src/a/**", "**/x.ts", "x.ts", "db", "src/db", "*.ts", "src/*/y.ts", "{src,lib}/x.ts", "src/{a/b,db}/*.ts", "b?c/**", "./src/a/", "**", "src/b.c/z.ts"]
+    pairs = [(x, y) for x in given for y in given]
+    edges = [(x, y, 1) for x in paths for y in paths]
+    got = {(r.src, r.dst, r.pair) for r in patterns.forbidden_edges(spark.createDataFrame(edges, "src string, dst string, line int"), pairs).collect()}
+    spelled = lambda path, glob: any(globs.admits(path, [g]) for g in globs.project_globs(glob))
+    assert got == {(x, y, f"{a} -> {b}") for x, y, _ in edges for a, b in pairs if spelled(x, a) and spelled(y, b)}
