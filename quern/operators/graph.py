@@ -66,6 +66,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> bool:
+    """Whether the files that a table of ``cut`` reads are still there."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        at, system = _folder(df.sparkSession, path)
+        if not system.exists(at):
+            return False
+    return True
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` wrote, once nothing reads them any more."""
     for df in tables:

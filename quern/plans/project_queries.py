@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import paths as P
-from quern.operators import layers
+from quern.operators import graph, layers
 from quern.operators.patterns import forbidden_edges
 from quern.plans import analysis as A
 from quern.plans import findings as R
@@ -21,15 +21,11 @@ SETTINGS = S.resolve({"thresholds": {"maxFileLines": 20, "maxFunctionLines": 7,
 _KEPT: dict[tuple[str, str], A.Analysis] = {}
 
 
-def analysis(spark: SparkSession, d: str) -> A.Analysis:
+def analysis(spark: SparkSession, d: str, texts=sample.texts, info=sample.INFO) -> A.Analysis:
     """The sample project's analysis; files are parsed once for a session and folder."""
-    key = spark.sparkContext.applicationId, d
-    try:
-        known = key in _KEPT and _KEPT[key].files.limit(1).count() >= 0
-    except Exception:  # the scratch folder was emptied: parse again
-        known = False
-    if not known:
-        _KEPT[key] = A.from_texts(spark, sample.texts(spark, d), sample.INFO, SETTINGS)
+    key = spark.sparkContext.applicationId, f"{info.name} {d}"
+    if key not in _KEPT or not graph.kept(_KEPT[key].files):  # the scratch folder may have been emptied
+        _KEPT[key] = A.from_texts(spark, texts(spark, d), info, SETTINGS)
     return _KEPT[key]
 
 
@@ -274,3 +270,28 @@ def project_neighbours(spark, d):
 @query("SELECT CASE l_suppkey % 10 WHEN 0 THEN 'Stripe' ELSE 'Supabase' END AS name, CASE l_suppkey % 10 WHEN 0 THEN 'stripe' ELSE '@supabase/js' END AS packages, count(DISTINCT l_orderkey) AS used_in FROM lineitem WHERE l_suppkey % 10 < 2 GROUP BY 1, 2")
 def project_services(spark, d):
     return Q.external_services(analysis(spark, d).external).select("name", F.array_join("packages", ",").alias("packages"), "used_in")
+
+
+_PY = "'py/s' || s_suppkey || '.py'"
+_GO = "'go/b' || p_partkey % 10 || '/p' || p_partkey || '.go'"
+_TS = "'src/lib/h' || c_custkey || CASE WHEN c_custkey % 50 = 0 THEN '.js' ELSE '.ts' END"
+_MIXED = f"""SELECT 'python/mutable-default' AS id, {_PY} AS file, 1 AS n FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL SELECT 'python/global-state', {_PY}, 1 FROM supplier WHERE s_suppkey % 4 = 0
+UNION ALL SELECT 'python/bare-except', {_PY}, 1 FROM supplier WHERE s_suppkey % 5 = 0
+UNION ALL SELECT 'go/ignored-error', {_GO}, 1 FROM part WHERE p_partkey % 4 = 0
+UNION ALL SELECT 'go/large-package', min({_GO}), 7 * count(*) FROM part GROUP BY p_partkey % 10 HAVING 7 * count(*) > 5 * 20
+UNION ALL SELECT 'type-safety/suppression', {_TS}, 1 FROM customer WHERE c_custkey % 6 = 0
+UNION ALL SELECT 'type-safety/unsafe-assertion', {_TS}, 1 FROM customer WHERE c_custkey % 7 = 0 AND c_custkey % 50 <> 0
+UNION ALL SELECT 'react/effect-dependency-risk', {_TS}, 1 FROM customer WHERE c_custkey % 9 = 0
+UNION ALL SELECT 'type-safety/js-in-ts-project', min({_TS}), count(*) FROM customer WHERE c_custkey % 50 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'patterns/duplicate-helper', min({_TS}), count(*) FROM customer GROUP BY c_custkey // 3 HAVING count(*) > 1"""
+
+
+@query(f"SELECT id, file, n::BIGINT AS n FROM ({_MIXED})")
+def project_language_findings(spark, d):
+    a = analysis(spark, d, sample.mixed_texts, sample.MIXED)
+    ids = ["python/mutable-default", "python/global-state", "python/bare-except", "go/ignored-error", "go/large-package", "type-safety/suppression", "type-safety/unsafe-assertion", "react/effect-dependency-risk", "type-safety/js-in-ts-project", "patterns/duplicate-helper"]
+    found = R.run_all(a, tuple(ids))
+    # what a finding counts: its number, the files of a set, or itself
+    count = F.when(F.col("current").startswith("["), F.size(F.from_json("current", "array<string>"))).otherwise(F.coalesce("current_num", F.lit(1)))
+    return found.select("id", "file", count.cast("long").alias("n"))

@@ -101,3 +101,26 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
     for more in (services, domain, storage, tests):
         out = out.unionByName(more(spark, d))
     return out
+
+
+#: The second project: Python, Go and TypeScript with what the rules on languages, types and patterns look for.
+MIXED = ProjectInfo(name="mixed", languages=("typescript", "python", "go"), has_typescript=True, source_roots=("src",))
+
+
+def mixed_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(path, text): supplier -> py/s<key>.py, part -> go/b<key % 10>/p<key>.go, customer -> src/lib/h<key>.ts, every fiftieth as .js.
+
+    Suppliers: every third has a mutable default, every fourth sets a global,
+    every fifth catches all.  Every fourth part drops an error.  Customers:
+    three by three they define a function of one name; every sixth ignores the
+    compiler, every seventh asserts unchecked, every ninth has an effect
+    without a list of dependencies.
+    """
+    s, p, c = F.col("s_suppkey"), F.col("p_partkey"), F.col("c_custkey")
+    either = lambda where, a, b="": F.when(where, a).otherwise(b)
+    python = F.concat(F.lit("TOTAL = 0\n\n\ndef load"), s.cast("string"), either(s % 3 == 0, "(a, cache=[]):\n", "(a, cache=None):\n"), either(s % 4 == 0, "    global TOTAL\n    TOTAL = a\n"), F.lit("    try:\n        go(a)\n"), either(s % 5 == 0, "    except:\n", "    except ValueError:\n"), F.lit("        pass\n"))
+    go = F.concat(F.lit("package b\n\nfunc Part"), p.cast("string"), F.lit("() int {\n"), either(p % 4 == 0, "\tv, _ := load()\n", "\tv := load()\n"), F.lit("\treturn v\n}\n"))
+    script = F.concat(F.lit("export function tax"), F.floor(c / 3).cast("string"), F.lit("(x: number) {\n  if (x > "), c.cast("string"), F.lit(") { return 2; }\n  return 1;\n}\n"), either(c % 6 == 0, _said("// @ts-ignore\ngo(", c, ");\n")), either(c % 7 == 0, _said("const v", c, " = raw as unknown as Thing;\n")), either(c % 9 == 0, "useEffect(() => { go(); });\n"))
+    out = table(spark, d, "supplier").select(_said("py/s", s, ".py").alias("path"), python.alias("text"))
+    out = out.unionByName(table(spark, d, "part").select(_said("go/b", p % 10, "/p", p, ".go").alias("path"), go.alias("text")))
+    return out.unionByName(table(spark, d, "customer").select(F.concat(_said("src/lib/h", c), either(c % 50 == 0, ".js", ".ts")).alias("path"), script.alias("text")))
