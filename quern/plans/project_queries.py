@@ -133,12 +133,6 @@ _STATS = f"""SELECT count(*) FILTER (path NOT LIKE 'tests/%') AS files, count(*)
 {_IF("relation = 'inverted' AND NOT type_only AND src NOT LIKE 'tests/%'", _RELATION)} AS layerViolations, {_IF("relation = 'skip' AND NOT type_only AND src NOT LIKE 'tests/%'", _RELATION)} AS layerSkips, {_IF('true', _UNRESOLVED)} AS unresolvedImports FROM ({_FILES})"""
 
 
-@query(_STATS)
-def project_stats(spark, d):
-    names = ["files", "layeredFiles", "linesOfCode", "functions", "largeFiles", "anyUsages", "largeFunctions", "complexFunctions", "deeplyNested", "layerViolations", "layerSkips", "unresolvedImports"]
-    return analysis(spark, d).stats.select(*names)
-
-
 def _whole(f):
     """A query without SQL: it is held against plain versions in tests."""
     QUERIES[f.__name__] = f
@@ -162,6 +156,13 @@ y AS (SELECT {_ROUND('100 - (cycles * 10 + layerViolations * 5 + layerSkips * 2)
 SELECT {_ROUND('architecture * 0.3 + complexity * 0.2 + maintainability * 0.2 + dependencies * 0.15 + typeSafety * 0.15')}::BIGINT AS overall, architecture::BIGINT AS architecture, complexity::BIGINT AS complexity, maintainability::BIGINT AS maintainability, dependencies::BIGINT AS dependencies, typeSafety::BIGINT AS typeSafety FROM y"""
 
 
+@query(f"""{_DEPTHS}, s AS ({_STATS}) SELECT s.*, 0::BIGINT AS crossFeatureImports, (SELECT count(*) FROM supplier JOIN customer ON c_custkey = s_suppkey WHERE s_suppkey % 10 = 0) AS cycles, (SELECT count(*) FROM ({_REGIONS})) AS duplicateBlocks,
+0::BIGINT AS suppressions, 0::BIGINT AS unsafeAssertions, 0::BIGINT AS jsFilesInTsProject, (SELECT coalesce(max(d), 0) FROM depths WHERE node NOT IN (SELECT dst FROM ({_EDGES})))::BIGINT AS maxImportDepth FROM s""")
+def project_stats(spark, d):
+    names = ["files", "layeredFiles", "linesOfCode", "functions", "largeFiles", "anyUsages", "largeFunctions", "complexFunctions", "deeplyNested", "layerViolations", "layerSkips", "unresolvedImports"]
+    return analysis(spark, d).stats.select(*names, "crossFeatureImports", "cycles", "duplicateBlocks", "suppressions", "unsafeAssertions", "jsFilesInTsProject", "maxImportDepth")
+
+
 @query(_SCORES)
 def project_scores(spark, d):
     return analysis(spark, d).metrics
