@@ -342,7 +342,7 @@ def test_commands_on_a_folder(spark, tmp_path):
     review, said = p.review(scope=["src/services/**"])
     assert said["status"] == "degraded" and [f["id"] for f in said["newFindings"] if f["severity"] == "error"] and said["drift"]["architecture"] < 0
     assert said["scope"]["outOfScope"] == ["src/lib/db/client.ts"] or said["scope"] is not None
-    assert "circular" in W.prompt(review, "compact") and not p.ci()["ci"]["passed"] and p.compare()[0]["id"] == 1
+    assert "1. Open the loop src/lib/db/client.ts" in W.prompt(review, "compact") and not p.ci()["ci"]["passed"] and p.compare()[0]["id"] == 1
     out = p.verify()
     assert {r["outcome"] for r in out["issues"]} >= {"introduced"} and p.check()["counts"]["error"] >= 1
     assert "## Issue #1" in p.fix(1) and p.explain_issue(1)["related"]
