@@ -25,8 +25,8 @@ LOCAL_EDGES = 20_000
 LOCAL_STARTS = 50
 #: Pivots of a search: the bits of a long.
 PIVOTS = 64
-#: Nodes with a single way on are contracted if they are more than this share of the edges, and more than a few.
-WORTH, FEW = 0.1, 32
+#: Nodes with a single way on are contracted if they are more than these: a long chain is costly however small its share.
+FEW = 32
 #: Rows that a round of ``depths`` may join to look twice as far ahead: a multiple of the edges, or this many.
 AHEAD, LEAST_AHEAD = 8, 16_000_000
 #: Rows of a sketch: sums over fewer parts are exact, others have a standard error of 1 / sqrt(SKETCH - 2).
@@ -212,8 +212,8 @@ def _flow(edges: DataFrame, start: DataFrame, merge: Callable[[str], Column]) ->
     return known
 
 
-def _contract(edges: DataFrame, loops: DataFrame, n: int) -> dict | None:
-    """What is left of ``n`` edges when nodes with a single way on are merged into where they lead, as long as that is single too; None if it isn't worth it.
+def _contract(edges: DataFrame, loops: DataFrame) -> dict | None:
+    """What is left when nodes with a single way on are merged into where they lead, as long as that is single too; None if it isn't worth it.
 
     Pointers are doubled: after k rounds a node points 2**k steps on, or to the
     first node that has several ways or none.  Pointers that never end are on
@@ -222,7 +222,7 @@ def _contract(edges: DataFrame, loops: DataFrame, n: int) -> dict | None:
     """
     pointers = cut(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("at")).where("n = 1").select(F.col("src").alias("node"), "at", F.least("src", "at").alias("least"), F.lit(False).alias("done")))
     jumps, left = [pointers], pointers.count()
-    if left <= max(FEW, WORTH * n):
+    if left <= FEW:
         return None
     for _ in range(left.bit_length() + 1):
         on = pointers.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("least").alias("l"), F.col("done").alias("d"))
@@ -320,7 +320,7 @@ def components(edges: DataFrame) -> DataFrame:
     levels, sides, n = [], [False, True], live.count()
     while n and sides:
         back = sides.pop(0)
-        level = _contract(_back(live) if back else live, loops, n)
+        level = _contract(_back(live) if back else live, loops)
         if level:
             live, loops = cut(_back(level["edges"]) if back else level["edges"]), level["loops"]
             n = live.count()
