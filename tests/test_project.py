@@ -434,3 +434,22 @@ def test_indexed_patterns_equal_asking_each(spark):
     got = {(r.src, r.dst, r.pair) for r in patterns.forbidden_edges(spark.createDataFrame(edges, "src string, dst string, line int"), pairs).collect()}
     spelled = lambda path, glob: any(globs.admits(path, [g]) for g in globs.project_globs(glob))
     assert got == {(x, y, f"{a} -> {b}") for x, y, _ in edges for a, b in pairs if spelled(x, a) and spelled(y, b)}
+
+
+def test_an_import_is_a_row_for_what_it_spells_and_finds_the_first_file(spark):
+    # every file that ./x could mean, in the order that is tried
+    for base, said in (("src/x", "./x"), ("src/x.js", "./x.js")):
+        bare = base.removesuffix(".js")
+        order = [base, *(base + e for e in resolve.EXTENSIONS), *(f"{base}/index{e}" for e in resolve.EXTENSIONS), *([bare + e for e in resolve.EXTENSIONS] if bare != base else [])]
+        order = list(dict.fromkeys(order))
+        for first in (0, 1, 2, 8, 9, len(order) - 1):
+            a = _analysis(spark, {p: "" for p in order[first:]} | {"src/main.ts": f"import {{ x }} from '{said}';\n"})
+            assert [(r.path, r.target) for r in a.resolved.collect()] == [("src/main.ts", order[first])]
+    files = {f"src/f{i}.ts": f"import './f{i + 1}';\nimport p from 'pkg';\nimport '../gone';\n" for i in range(20)}
+    rows = []
+    resolve.build_graph(_analysis(spark, files).files, PR.ProjectInfo(source_roots=("src",)), lambda df: rows.append(df) or df)
+    plan = rows[0]._jdf.queryExecution().optimizedPlan().toString()
+    # candidates are never dealt out: the extensions stand in no generated rows of imports
+    assert "explode" in plan and "posexplode(flatten" not in plan and rows[0].count() == 60
+    # an import and its file in one table: 19 found, packages and lost ones without target
+    assert rows[0].where("target is not null").count() == 19
