@@ -453,3 +453,16 @@ def test_an_import_is_a_row_for_what_it_spells_and_finds_the_first_file(spark):
     assert "explode" in plan and "posexplode(flatten" not in plan and rows[0].count() == 60
     # an import and its file in one table: 19 found, packages and lost ones without target
     assert rows[0].where("target is not null").count() == 19
+
+
+def test_paths_and_blocks_need_no_parse(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("parsed")
+
+    from quern.plans import project_queries
+
+    monkeypatch.setattr(project_queries.A, "from_texts", never)
+    monkeypatch.setattr(project_queries, "_KEPT", {})
+    d = "/root/testdata/sf0.001"
+    assert project_queries.project_paths(spark, d).where("first = 'services' and area = 'src/services'").count() == spark.read.parquet(f"{d}/orders.parquet").count()
+    assert project_queries.project_duplicate_blocks(spark, d).count() > 0
