@@ -254,3 +254,19 @@ def test_rows_of_a_table(spark):
     rows = {r.path: r for r in extract.parse_files(texts).collect()}
     assert rows["a.py"].functions[0].name == "f" and rows["a.py"].lines == 3 and rows["b.ts"].error
     assert extract.warnings(extract.parse_files(texts)).collect() == [("b.ts", "could not be read")]
+
+
+def test_plain_tokens_are_those_told_apart_one_by_one(monkeypatch):
+    import re
+
+    from quern.functions import script
+
+    text = "import a from './a';\n'use client'\nconst é = /x[/]\\/y/g.test(`t${ {k: `u${v}`}.k }`) ? .5 : 1.e3;\n// any\n#p; x?.y; x?.5:z; a /b/ c; [...d]; \\ @e\x1cf<T>(g)\n<A b='}'>{h && <B/>}</A>\n'open\n\"q\\\"\" 0x1Fn >>>= "
+    for jsx in (False, True):
+        plain = script.Lexer(text, jsx)
+        with monkeypatch.context() as m:
+            m.setattr(script, "_PLAIN", re.compile(r"(?!)"))
+            single = script.Lexer(text, jsx)
+        assert plain.tokens == single.tokens and plain.comments == single.comments
+    s = script.Script("a.tsx", text)
+    assert [i for i, _ in s._sought("import", "any", "(")] == [i for i, t in enumerate(s.t) if t.text in ("import", "any", "(") and t.kind in ("name", "sign")]
