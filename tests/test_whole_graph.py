@@ -193,3 +193,21 @@ def test_plain_queries_equal_their_sql_on_all_edges(spark, name):
 def test_rules_can_fire(spark, edges):
     found = {tuple(r) for r in catalogue.QUERIES["forbidden_dependencies"](spark, SF).select("src", "dst").collect()}
     assert found == {(a, b) for a, b in edges if (a % 4, b % 4) in {(0, 2), (1, 3), (3, 0)}} and any((a % 4, b % 4) == (3, 0) for a, b in found)
+
+
+def test_near_counts_are_those_of_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "NEAR", 64)
+    monkeypatch.setattr(graph, "STRIDE", 8)
+    # loops of two and three, a hub, numbers below zero and far apart
+    pairs = [(1, 2), (2, 1), (2, 3), (3, 4), (4, 2), (-5, 1), (900, -5), (4, 900), (7, 7), (5000, 4), *((100 + i, 3) for i in range(90)), *((3, 300 + i) for i in range(90))]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    want = {}
+    for r in graph.closure(e, 3).collect():
+        one, near = want.get(r.dst, (0, 0))
+        want[r.dst] = one + (r.depth == 1), near + 1
+    closure = graph.closure
+    monkeypatch.setattr(graph, "closure", None)  # no pairs
+    assert {r.node: (r.one, r.near) for r in graph.near_counts(e, 3).collect()} == want
+    monkeypatch.setattr(graph, "closure", closure)
+    monkeypatch.setattr(graph, "NEAR_EDGES", 100)  # some groups by pairs
+    assert {r.node: (r.one, r.near) for r in graph.near_counts(e, 3).collect()} == want
