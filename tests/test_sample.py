@@ -21,3 +21,15 @@ def test_depths_and_loops_share_the_components(spark, monkeypatch):
     assert {r.node: r.depth for r in a.depths.collect()} == {"a.ts": 2, "b.ts": 2, "c.ts": 2}
     assert [r.files for r in a.cycles.collect()] == [["a.ts", "b.ts"]]
     assert asked[0] == 4 and max(asked[1:], default=0) <= 3  # all edges once, then those inside components that are no types
+
+
+def test_slices_resolve_as_the_whole_does(spark, monkeypatch):
+    from quern.operators import resolve
+
+    files = A.from_texts(spark, sample.texts(spark, D).where("crc32(path) % 4 = 0"), sample.INFO).files
+    tables = lambda g: [sorted(map(tuple, g.whole(x, graph.cut).collect())) for x in ("edges", "external", "unresolved", "resolved")]
+    whole = resolve.build_graph(files, sample.INFO, graph.cut)
+    monkeypatch.setattr(resolve, "SLICE", 400)
+    parted = resolve.build_graph(files, sample.INFO, graph.cut)
+    assert not whole.slices and len(parted.slices) > 2
+    assert tables(whole) == tables(parted) and all(tables(whole))
