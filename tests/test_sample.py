@@ -23,6 +23,24 @@ def test_depths_and_loops_share_the_components(spark, monkeypatch):
     assert asked[0] == 4 and max(asked[1:], default=0) <= 3  # all edges once, then those inside components that are no types
 
 
+def _tables(spark):
+    import os
+
+    return {x for x in os.listdir(graph.scratch(spark).removeprefix("file:")) if x.startswith("graph-")}
+
+
+def test_graph_operators_leave_no_table_but_their_result(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 0)
+    edges = graph.cut(spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("e", "a")], "src string, dst string"))
+    before = _tables(spark)
+    parts = graph.components(edges)
+    assert {tuple(r) for r in parts.collect()} == {("a", "a"), ("b", "a")}
+    assert len(_tables(spark) - before) == 1
+    deep = graph.depths(edges, parts)
+    assert {r.node: r.depth for r in deep.collect()} == {"a": 3, "b": 3, "c": 1, "d": 0, "e": 4}
+    assert len(_tables(spark) - before) <= 3
+
+
 def test_slices_resolve_as_the_whole_does(spark, monkeypatch):
     from quern.operators import resolve
 
