@@ -46,12 +46,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the spans of benchmark windows; rows that are mostly such spans go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _columns(decontam.remove_spans(decontam.find_hits(docs.select(*COLUMNS), benchmark)))
+    return _columns(decontam.remove_hits(docs.select(*COLUMNS), benchmark))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind."""
-    return _columns(pii.mask(pii.find_pii(docs.select(*COLUMNS))))
+    return _columns(pii.mask_pii(docs.select(*COLUMNS)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,11 +96,11 @@ def _blocks(benchmark: DataFrame, n: int, max_windows: int) -> list[DataFrame]:
 _OUT = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = MAX_WINDOWS, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
     """``docs`` with n_words, spans (first word, last word + 1, by pairs, of merged hits) and items found.
 
     Keeps every column of ``docs``; the three added names replace any of the
-    same name.
+    same name.  ``then`` may go over the rows of the last scan in the same pass.
     """
     kept = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
     out = docs.select(*kept, F.lit(None).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
@@ -135,7 +135,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: i
                 new = {"n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, _OUT.field("spans").type), "items": pa.array(items, _OUT.field("items").type)}
                 yield pa.RecordBatch.from_arrays([new.get(c, batch.column(x)) for x, c in enumerate(batch.schema.names)], names=batch.schema.names)
 
-        out = out.mapInArrow(X.tidy(scan), out.schema)
+        last = then if then and b + 1 == len(blocks) else iter
+        out = out.mapInArrow(X.tidy(lambda batches, scan=scan, last=last: last(scan(batches))), out.schema)
     return out
 
 
@@ -145,13 +146,8 @@ def digest(hits: DataFrame) -> DataFrame:
     return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def remove_spans(hits: DataFrame, whole_share: float = 0.5) -> DataFrame:
-    """Texts of ``find_hits`` without their hit words.
-
-    A document loses each hit span, from its first word's first byte to its
-    last word's last byte; one with ``whole_share`` of its words hit goes
-    altogether.  Clean rows pass through unchanged.
-    """
+def _cutter(whole_share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts without their hit words."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,4 +170,19 @@ def remove_spans(hits: DataFrame, whole_share: float = 0.5) -> DataFrame:
             cols = [pa.array(out, f.type) if f.name == "text" else batch.column(k) for k, f in enumerate(batch.schema)]
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema).filter(pa.array(keep))
 
-    return hits.mapInArrow(X.tidy(cut), hits.schema)
+    return cut
+
+
+def remove_spans(hits: DataFrame, whole_share: float = 0.5) -> DataFrame:
+    """Texts of ``find_hits`` without their hit words.
+
+    A document loses each hit span, from its first word's first byte to its
+    last word's last byte; one with ``whole_share`` of its words hit goes
+    altogether.  Clean rows pass through unchanged.
+    """
+    return hits.mapInArrow(X.tidy(_cutter(whole_share)), hits.schema)
+
+
+def remove_hits(docs: DataFrame, benchmark: DataFrame, whole_share: float = 0.5, **more) -> DataFrame:
+    """``remove_spans(find_hits(docs, benchmark))`` without a second pass: that would keep two Python workers a task, and send each text twice."""
+    return find_hits(docs, benchmark, then=_cutter(whole_share), **more)

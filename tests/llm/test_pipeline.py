@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quern.llm import quality
+from quern.llm import decontam, pii, quality
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -123,3 +123,20 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path, stage):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     empty = corpus_pipeline.STAGES[stage][1](spark, spark.createDataFrame([], schema), str(tmp_path))
     assert empty.columns == ["doc_id", "text", "lang", "source", "n_chars"] and empty.count() == 0
+
+
+def test_a_stage_scans_and_rewrites_texts_in_one_worker_a_task(spark, tmp_path):
+    rows, bench = _rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    benchmark = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    two = {
+        corpus_pipeline.benchmark_decontamination: decontam.remove_spans(decontam.find_hits(docs, benchmark)),
+        corpus_pipeline.personal_data: pii.mask(pii.find_pii(docs)),
+    }
+    for stage, plain in two.items():
+        out = stage(spark, docs, str(tmp_path))
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        assert sorted(map(repr, out.select("doc_id", "text").collect())) == sorted(map(repr, plain.select("doc_id", "text").collect()))
+    # in blocks, only the last scan rewrites
+    assert sorted(map(repr, decontam.remove_hits(docs, benchmark, max_windows=40).collect())) == sorted(map(repr, decontam.remove_hits(docs, benchmark).collect()))
