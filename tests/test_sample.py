@@ -51,3 +51,18 @@ def test_slices_resolve_as_the_whole_does(spark, monkeypatch):
     parted = resolve.build_graph(files, sample.INFO, graph.cut)
     assert not whole.slices and len(parted.slices) > 2
     assert tables(whole) == tables(parted) and all(tables(whole))
+
+
+def test_modules_only_passed_on_are_asked_of_files_that_pass_names_on(spark):
+    from quern.plans import reports_project as Q
+
+    texts = {
+        "src/a.ts": "export const a = 1;\n", "src/b.ts": "export const b = 1;\n", "src/c.ts": "export const c = 1;\n", "src/d.ts": "export const d = 1;\n",
+        "src/pass.ts": "export { a } from './a';\nexport { b } from './b';\nexport { c } from './c';\nimport { d } from './d';\n",
+        "src/also.ts": "import { a } from './a';\n", "src/user.ts": "import { b } from './pass';\n",
+    }
+    made = lambda t: A.from_texts(spark, spark.createDataFrame(list(t.items()), "path string, text string"))
+    assert [tuple(r) for r in Q.only_reexported(made(texts)).collect()] == [("src/c.ts", "src/pass.ts")]
+    # where none passes names on, no import is joined to its target
+    plain = Q.only_reexported(made({p: t for p, t in texts.items() if p != "src/pass.ts"}))
+    assert plain.count() == 0 and "Join" not in plain._jdf.queryExecution().toString()
