@@ -53,6 +53,38 @@ def test_slices_resolve_as_the_whole_does(spark, monkeypatch):
     assert tables(whole) == tables(parted) and all(tables(whole))
 
 
+def test_parts_of_the_project_are_parsed_apart_and_kept_without_texts(spark, monkeypatch):
+    whole = {tuple(r) for r in sample.texts(spark, D).collect()}
+    monkeypatch.setattr(sample, "PART_ROWS", 2_500)
+    parts = [[tuple(r) for r in p.collect()] for p in sample.parts(spark, D)]
+    assert len(parts) == 3 and all(parts) and sum(map(len, parts)) == len(whole) and {r for p in parts for r in p} == whole
+    some = [p.where("crc32(path) % 4 = 0") for p in sample.parts(spark, D)]
+    a, b = A.from_texts(spark, some, sample.INFO), A.from_texts(spark, sample.texts(spark, D).where("crc32(path) % 4 = 0"), sample.INFO)
+    assert not set(A.NOT_KEPT) & set(a.files.columns) and sorted(map(str, a.files.collect())) == sorted(map(str, b.files.drop(*A.NOT_KEPT).collect()))
+    for tests in (False, True):
+        own = [sorted(tuple(r) for t in x.texts(tests) for r in t.collect()) for x in (a, b)]
+        assert own[0] == own[1] and own[0]
+
+
+def test_tables_of_the_graph_leave_nothing_else(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quern.operators import resolve
+
+    a = A.from_texts(spark, sample.texts(spark, D).where("crc32(path) % 4 = 0"), sample.INFO)
+    whole = resolve.build_graph(a.files, sample.INFO)
+    monkeypatch.setattr(resolve, "SLICE", 1000)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    before, parts = _tables(spark), resolve._parts(a.files)
+    assert parts > 1 and rows(a.edges) == rows(whole.edges) and rows(a.unresolved) == rows(whole.unresolved)
+    assert len(_tables(spark) - before) == 2 * parts
+    assert rows(a.external) == rows(whole.external) and a.external.count() > 0
+    assert len(_tables(spark) - before) == 3 * parts
+    own = a.files.where("path like '%7.ts'")
+    assert rows(a.imported("resolved", own=own)[0]) == rows(whole.resolved.join(own.select("path"), "path", "left_semi"))
+    assert rows(a.imported("external", where=F.col("package") == "stripe")[0]) == rows(whole.external.where("package = 'stripe'"))
+
+
 def test_modules_only_passed_on_are_asked_of_files_that_pass_names_on(spark):
     from quern.plans import reports_project as Q
 
