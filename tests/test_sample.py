@@ -98,3 +98,14 @@ def test_modules_only_passed_on_are_asked_of_files_that_pass_names_on(spark):
     # where none passes names on, no import is joined to its target
     plain = Q.only_reexported(made({p: t for p, t in texts.items() if p != "src/pass.ts"}))
     assert plain.count() == 0 and "Join" not in plain._jdf.queryExecution().toString()
+
+
+def test_written_edges_are_read_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 0)
+    edges = graph.cut(spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string"))
+    starts, made = spark.createDataFrame([("c",)], "start string"), []
+    for written in (False, True):
+        before = _tables(spark)
+        assert {tuple(r) for r in graph.dependents(edges, starts, written=written).collect()} == {("c", "b", 1), ("c", "a", 2)}
+        made.append(len(_tables(spark) - before))
+    assert graph.kept(edges) and made[1] <= made[0]
