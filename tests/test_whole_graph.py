@@ -211,3 +211,19 @@ def test_near_counts_are_those_of_the_pairs(spark, monkeypatch):
     monkeypatch.setattr(graph, "closure", closure)
     monkeypatch.setattr(graph, "NEAR_EDGES", 100)  # some groups by pairs
     assert {r.node: (r.one, r.near) for r in graph.near_counts(e, 3).collect()} == want
+
+
+def test_near_counts_in_wide_groups_and_turns(spark, monkeypatch):
+    pairs = [(i, (i * 7 + j) % 500) for i in range(-40, 1200) for j in (1, 3, 90) if i != (i * 7 + j) % 500]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    want = {}
+    for r in graph.closure(e, 3).collect():
+        one, near = want.get(r.dst, (0, 0))
+        want[r.dst] = one + (r.depth == 1), near + 1
+    dealt = []
+    near_groups = graph._near_groups
+    monkeypatch.setattr(graph, "_near_groups", lambda edges, starts, width, most: dealt.append(width) or near_groups(edges, starts, width, most))
+    monkeypatch.setattr(graph, "NEAR", 64), monkeypatch.setattr(graph, "STRIDE", 32)
+    monkeypatch.setattr(graph, "NEAR_DEALT", 2 * len(pairs))  # two groups at a time
+    assert {r.node: (r.one, r.near) for r in graph.near_counts(e, 3).collect()} == want
+    assert dealt == [128] * 6  # two times 64 starts in a group
