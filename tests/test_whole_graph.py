@@ -227,3 +227,20 @@ def test_near_counts_in_wide_groups_and_turns(spark, monkeypatch):
     monkeypatch.setattr(graph, "NEAR_DEALT", 2 * len(pairs))  # two groups at a time
     assert {r.node: (r.one, r.near) for r in graph.near_counts(e, 3).collect()} == want
     assert dealt == [128] * 6  # two times 64 starts in a group
+
+
+def test_reach_counts_beyond_the_sketch_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SKETCH", 8), monkeypatch.setattr(graph, "REACH_ROWS", 300)
+    # layers that all lead on, a loop of three above and one below: larger parts count with their sizes
+    rng = random.Random(5)
+    rows = [(100 * a + i, 100 * a + 100 + rng.randrange(30)) for a in range(1, 6) for i in range(30) for _ in range(2)]
+    rows += [(1, 2), (2, 3), (3, 1), (3, 105), (600, 601), (601, 600)]
+    truth = _affected(_depths(rows))
+    assert sum(n > 8 for n in truth.values()) > 50
+    got = {r.node: (r.affected, r.exact) for r in graph.reach_counts(spark.createDataFrame(rows, "src long, dst long")).collect()}
+    assert got == {n: (c, True) for n, c in truth.items()}
+
+
+def test_reach_counts_of_many_parts_are_no_estimates(spark):
+    e = spark.createDataFrame([(i, 5000 + i % 2) for i in range(1300)] + [(5000, 6000), (5001, 6000)], "src long, dst long")
+    assert {r.node: (r.affected, r.exact) for r in graph.reach_counts(e).collect()} == {5000: (650, True), 5001: (650, True), 6000: (1302, True)}
