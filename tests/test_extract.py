@@ -270,3 +270,16 @@ def test_plain_tokens_are_those_told_apart_one_by_one(monkeypatch):
         assert plain.tokens == single.tokens and plain.comments == single.comments
     s = script.Script("a.tsx", text)
     assert [i for i, _ in s._sought("import", "any", "(")] == [i for i, t in enumerate(s.t) if t.text in ("import", "any", "(") and t.kind in ("name", "sign")]
+
+
+def test_plain_imports_in_front_are_read_without_tokens():
+    from quern.functions.script import Script
+
+    heads = ["import { a, b$ } from './a';", "import type { T } from \"../t\";", "import d from 'pkg/x';", "import type E from './e';"]
+    others = ["import { any, q } from './q';", "import { a as z } from './z';", "import * as n from 'n';", "import type from 'odd';", "import k, { l } from 'm'"]
+    body = "export const f = async (x: any) => { if (x) { go() } };\n(function () { return 1 })();\n"
+    for text in ("\n".join([*heads, body]), "'use client';\n" + "\n".join([*heads, *others, heads[0], body]), "\n".join([*others, *heads, body])):
+        one, other = _parse("src/a.ts", text), _parse("src/a.ts", text.replace("\n", " //\n", 1))  # a comment behind the first line: by tokens
+        assert {k: v for k, v in one.items() if k != "hash"} == {k: v for k, v in other.items() if k != "hash"}
+    assert [(i["raw"], i["line"], i["type_only"], i["names"]) for i in _parse("src/a.ts", "\n".join(heads) + "\n")["imports"]] == [("./a", 1, False, ["a", "b$"]), ("../t", 2, True, ["T"]), ("pkg/x", 3, False, ["default"]), ("./e", 4, True, ["default"])]
+    assert [t.text for t in Script("src/a.ts", "\n".join(heads) + "\ngo();").t] == [";", "go", "(", ")", ";"]
