@@ -423,6 +423,25 @@ def test_walks_from_many_clients_over_a_hub(spark):
     assert got == {"s1": (2000, ["hub m5 s1"]), "s2": (2000, ["hub m3 deep s2"])}
 
 
+def test_clients_walk_along_imports_that_lead_to_a_hit(spark, monkeypatch):
+    from quern.operators import boundary
+
+    monkeypatch.setattr(boundary, "MAX_VISITS", 8)
+    # near: a secret one step away; far: behind two; wide: behind a hub of ten, so its visits end first; idle: a long chain without one
+    pairs = [("near", "s", 2), ("near", "b", 1), ("far", "a", 2), ("far", "b", 1), ("a", "c", 1), ("b", "c", 1), ("c", "s", 1), ("s", "near", 1), ("wide", "hub", 1), ("hub", "c", 99)]
+    pairs += [("hub", f"h{i}", i) for i in range(10)] + [("idle", "i0", 1)] + [(f"i{i}", f"i{i + 1}", 1) for i in range(12)]
+    names = sorted({x for a, b, _ in pairs for x in (a, b)})
+    files = spark.createDataFrame([(n, [("S_TOKEN", 7)] if n == "s" else [], [], False, n in ("near", "far", "wide", "idle"), False) for n in names], "path string, env_reads array<struct<name:string,line:int>>, server_only array<string>, use_server boolean, use_client boolean, is_test boolean")
+    edges = spark.createDataFrame([(*p, False) for p in pairs], "src string, dst string, line int, type_only boolean")
+    walked, walks = [], boundary.walks
+    monkeypatch.setattr(boundary, "walks", lambda starts, steps, ends, most: walked.append((sorted(r.client for r in starts.collect()), steps.count())) or walks(starts, steps, ends, most))
+    got = {(r.client, r.target, " ".join(r.chain), r.line) for r in boundary.client_leaks(files, edges).collect()}
+    # a step of the whole walk ends with the visits before it: wide has met 12 modules before it asks c
+    assert got == {("near", "s", "near s", 7), ("far", "s", "far b c s", 7)}
+    # nine imports lead to s; those behind other modules are walked to again
+    assert walked == [(["far", "idle", "near", "wide"], 9), (["far", "wide"], len(pairs))]
+
+
 def test_indexed_patterns_equal_asking_each(spark):
     from quern.functions import globs
     from quern.operators import patterns
