@@ -485,3 +485,18 @@ def test_paths_and_blocks_need_no_parse(spark, monkeypatch):
     d = "/root/testdata/sf0.001"
     assert project_queries.project_paths(spark, d).where("first = 'services' and area = 'src/services'").count() == spark.read.parquet(f"{d}/orders.parquet").count()
     assert project_queries.project_duplicate_blocks(spark, d).count() > 0
+
+
+def test_without_dynamic_imports_nothing_is_resolved_for_dead_code(spark, monkeypatch):
+    from quern.operators import resolve
+    from quern.plans import analysis, reports_project
+
+    texts = lambda more: spark.createDataFrame([("src/a.ts", "import { b } from './b';\nconst r = 'src/named.ts';\n"), ("src/b.ts", "export const b = 1;\n"), ("src/named.ts", "export const n = 1;\n"), *more], "path string, text string")
+    a = analysis.from_texts(spark, texts([]))
+    a.edges
+    asked, tables = [], resolve.tables
+    monkeypatch.setattr(resolve, "tables", lambda *more: asked.append(more[0]) or tables(*more))
+    assert reports_project.dynamic_gaps(a).isEmpty() and not asked
+    assert {r.path for r in reports_project.named_in_source(a).collect()} == {"src/named.ts"}
+    b = analysis.from_texts(spark, texts([("src/c.ts", "import(x);\nimport('./b');\n"), ("src/d.ts", "import('./b');\n")]))
+    assert {r.path for r in reports_project.dynamic_gaps(b).collect()} == {"src/c.ts"} and asked == [("resolved",)]
